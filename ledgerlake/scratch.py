@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,10 @@ def durable(df: DataFrame) -> DataFrame:
     """`df`, computed once and written to the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def durable_table(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written as Parquet below the shared checkpoint folder and read again: smaller than a checkpoint and prunable."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
