@@ -8,7 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import spread, table
-from . import boilerplate, bpe, packing, quality
+from . import boilerplate, bpe, neardup, packing, quality
+
+
+LIKENESS = 0.7
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, sf_dir, "chunks").where("chunk_type = 'text'").select("chunk_no", "text")
+    return neardup.near_duplicates(spread(chunks), "chunk_no", "text", LIKENESS)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of text chunks that are at least 0.7 alike."""
+    pairs = neardup.all_pairs(*_near(spark, sf_dir))
+    return pairs.select(F.col("first").alias("chunk_a"), F.col("second").alias("chunk_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text chunk with its class of equal texts and the number of classes near to it."""
+    return neardup.class_links(*_near(spark, sf_dir)).withColumnRenamed("id", "chunk_no")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +80,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p5_found": p5_found, "p5_pages": p5_pages, "p5_sources": p5_sources, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report,
+    "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sources": p5_sources, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report,
     "p8_found": p8_found, "p8_stats": p8_stats,
 }
 
