@@ -9,7 +9,7 @@ window count rises by one wherever no exchange is left.
 At scale the items are first parted by a hash into groups of about `GROUP_ITEMS`, whose number grows
 with the data; groups are packed independently, one task holds one group at a time, and at most one
 part-filled container a group is lost to the parting. An item larger than the capacity is cut into
-consecutive pieces; its full pieces are containers of their own and only the rest is packed.
+consecutive pieces; its full pieces are containers of their own and only the rest is differenced.
 """
 
 from __future__ import annotations
@@ -112,24 +112,20 @@ def pack_items(items: DataFrame, rows: int, id_col: str = "doc_id", size_col: st
     of size null or 0 have no row. Equal ids are items of their own but not told apart by the result.
     Ties are settled by id, so the result depends on the data only.
     """
-    sized = items.select(F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_n")).where("_n > 0")
-    full = sized.where(F.col("_n") >= capacity).select("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_n div {capacity} - 1"))).alias("piece"))
-    full = full.select(
-        F.concat_ws(":", F.lit("full"), F.col("_id").cast("string"), F.col("piece").cast("string")).alias("container"),
-        F.col("_id").alias(id_col), F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("first"), F.lit(capacity).cast("long").alias("n_tokens"),
-    )
     groups = max(1, -(-rows // group_items))
-    rest = sized.select("_id", (F.col("_n") % capacity).alias("n_tokens"), F.expr(f"int(_n div {capacity})").alias("piece")).where("n_tokens > 0")
-    rest = rest.withColumn("_group", F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int"))
+    sized = items.select(F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_n")).where("_n > 0")
+    pieces = sized.select("_id", "_n", F.explode(F.expr(f"sequence(0L, (_n - 1) div {capacity})")).alias("_k"))
+    pieces = pieces.select("_id", F.col("_k").cast("int").alias("piece"), F.least(F.lit(capacity).cast("long"), F.expr(f"_n - _k * {capacity}")).alias("n_tokens"), F.pmod(F.xxhash64("_id", "_k"), F.lit(groups)).cast("int").alias("_group"))
 
     def windows(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "_id"], ascending=[False, True], kind="stable")
-        window = pack(part["n_tokens"].to_numpy(), capacity)
+        part = part.sort_values(["n_tokens", "_id", "piece"], ascending=[False, True, True], kind="stable")
+        sizes = part["n_tokens"].to_numpy()
+        full = int((sizes == capacity).sum())  # these come first and are containers of their own
+        window = np.concatenate([np.arange(full), full + pack(sizes[full:], capacity)])
         return pd.DataFrame({"container": [f"{g}:{w}" for g, w in zip(part["_group"], window, strict=True)], id_col: part["_id"], "piece": part["piece"], "first": part["piece"].astype("int64") * capacity, "n_tokens": part["n_tokens"]})
 
     kind = items.schema[id_col].dataType.simpleString()
-    packed = rest.groupBy("_group").applyInPandas(windows, f"container string, `{id_col}` {kind}, piece int, first long, n_tokens long")
-    return packed.unionByName(full)
+    return pieces.groupBy("_group").applyInPandas(windows, f"container string, `{id_col}` {kind}, piece int, first long, n_tokens long")
 
 
 def container_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
