@@ -8,7 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import spread, table
-from . import boilerplate, bpe, neardup, packing, quality
+from . import boilerplate, bpe, lookalike, neardup, packing, quality
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions of one page or row that differ in characters but not in look."""
+    pages = lookalike.same_looking_texts(table(spark, sf_dir, "page_texts"), "page_id", ["document", "page_number"], "text")
+    rows = lookalike.same_looking_values(table(spark, sf_dir, "financial_rows"), "row_id", ["document", "page", "label"], "row_values")
+    return pages.select(F.lit("page_texts").alias("tab"), "id_a", "id_b").unionByName(rows.select(F.lit("financial_rows").alias("tab"), "id_a", "id_b"))
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text in one form."""
+    return lookalike.one_form(table(spark, sf_dir, "page_texts"), "page_id", "text")
+
+
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's values in one form."""
+    return lookalike.one_form_values(table(spark, sf_dir, "financial_rows"), "row_id", "row_values")
 
 
 LIKENESS = 0.7
@@ -80,6 +97,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found, "p3_texts": p3_texts, "p3_values": p3_values,
     "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sources": p5_sources, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report,
     "p8_found": p8_found, "p8_stats": p8_stats,
 }
