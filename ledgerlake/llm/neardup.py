@@ -9,7 +9,7 @@ Method: a MinHash LSH forest, then exact verification.
 * Prefixes are shortened from full depth. At depth `prefix_depth`, the deepest at which the trees
   together reach the target recall for pairs just at the threshold, all pairs of a bucket are candidates; where the
   bucket one level higher has few rows, its pairs are candidates too, which only adds recall.
-* Candidates whose 64 one-bit values already tell them apart are dropped: the limit is `SLACK` standard
+* Candidates whose one-bit values already tell them apart are dropped: the limit is `SLACK` standard
   deviations below what a pair at the threshold has. The rest is compared exactly.
 
 Equal texts are one class before the forest, so copies cost one signature each and no candidates; no
@@ -111,9 +111,9 @@ def tree_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """64 one-bit values of each row, in one integer."""
-    bits = (mix(values[:, ::2].astype(np.uint64), 5) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1)
+    """One bit of each value: two integers for each row."""
+    bits = (mix(values.astype(np.uint64), 5) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
 
 def sign(texts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -127,21 +127,22 @@ def sign(texts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
             keys = tree_keys(values)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(forms) + 1) * TREES, pa.int32()), pa.array(keys.reshape(-1)))
             has = pa.array(some)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sketch(values)), pa.compute.if_else(has, lists, None)], names=["id", "k1", "k2", "sketch", "keys"])
+            bits = sketch(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for x in (digests, bits) for k in (0, 1)), pa.compute.if_else(has, lists, None)], names=["id", "k1", "k2", "s1", "s2", "keys"])
 
-    return texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, k1 long, k2 long, sketch long, keys array<long>")
+    return texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, k1 long, k2 long, s1 long, s2 long, keys array<long>")
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a < b) of class representatives that share a bucket of the forest and whose sketches allow the threshold."""
     depth = prefix_depth(threshold)
     deep, high = LEVEL_BITS * (DEPTH - depth), LEVEL_BITS * (DEPTH - depth + 1)
-    expected = 64 * (1 + threshold) / 2
-    least = math.ceil(expected - SLACK * math.sqrt(64 * (1 + threshold) * (1 - threshold)) / 2)
+    bits = HASHES * BINS
+    least = math.ceil(bits * (1 + threshold) / 2 - SLACK * math.sqrt(bits * (1 + threshold) * (1 - threshold)) / 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the rows of a branch are in one partition."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
             last = np.searchsorted(held[0] >> high, held[0][-1] >> high) if len(held[0]) else 0
@@ -150,7 +151,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 held = [h[last:] for h in held]
         yield pairs(*held)
 
-    def pairs(key: np.ndarray, ids: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    def pairs(key: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
         top = key >> high
         run_ids = np.cumsum(np.concatenate([[0], top[1:] != top[:-1]])) if len(key) else np.zeros(0, np.int64)
         small = np.bincount(run_ids)[run_ids] <= FEW if len(key) else np.zeros(0, bool)
@@ -160,7 +161,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
             step += 1
             i = i[i + step < len(key)]
             i = i[bucket[i] == bucket[i + step]]
-            same = 64 - np.bitwise_count((sketches[i] ^ sketches[i + step]).view(np.uint64)).astype(int)
+            same = bits - sum(np.bitwise_count((s[i] ^ s[i + step]).view(np.uint64)).astype(int) for s in (s1, s2))
             ok = i[same >= least]
             if len(ok):
                 found.append(np.stack([np.minimum(ids[ok], ids[ok + step]), np.maximum(ids[ok], ids[ok + step])]))
@@ -168,8 +169,8 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         both = np.unique(both, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    rows = classes.select(F.explode("keys").alias("key"), "id", "sketch").withColumn("branch", F.shiftright("key", high))
-    return rows.repartition("branch").sortWithinPartitions("key", "id").select("key", "id", "sketch").mapInArrow(run, "a long, b long").distinct()
+    rows = classes.select(F.explode("keys").alias("key"), "id", "s1", "s2").withColumn("branch", F.shiftright("key", high))
+    return rows.repartition("branch").sortWithinPartitions("key", "id").select("key", "id", "s1", "s2").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int) -> DataFrame:
@@ -211,7 +212,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, threshold: flo
     signed = durable_table(sign(texts, id_col, text_col, shingle), "signatures")
     classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("size"))
     members = durable_table(signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("class", "id", "size"), "members")
-    heads = signed.select("id", "sketch", "keys").join(members.where("class = id").select("id"), "id", "left_semi").where("keys is not null")
+    heads = signed.select("id", "s1", "s2", "keys").join(members.where("class = id").select("id"), "id", "left_semi").where("keys is not null")
     pairs = durable_table(candidates(heads, threshold), "candidates")
     return verified(pairs, texts, id_col, text_col, threshold, shingle), members
 
