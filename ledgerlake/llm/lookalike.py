@@ -24,10 +24,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters with the shape of a Latin letter, by script, and the Latin letters.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһ", "ABESIJKMHOPCTYXaesijopcyxdqwh"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυγκϳ", "ABEZHIKMNOPTYXovaipuykj"
-OTHER = "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ‐‑ɑɡıℓµ", "IVXLCDMivxlcdm--agilμ"
+from ..functions.forms import shapes
+
 #: Signs taken for a dash or a minus sign.
 DASHES = "-‐‑‒–—―−﹘﹣－"
 #: White space of any kind, as a Java character class.
@@ -36,10 +34,6 @@ BLANK = r"[\s\u0085   -     　\u001C-\u001F]"
 FINAL = r"[!-~¡-¬®-´¶-İĲ-ňŊ-ž‒-‧‰-⁞−€、-〩ぁ-ゖァ-ヾ一-鿿]"
 
 
-def shapes() -> dict[str, str]:
-    return {a: b for one, two in (CYRILLIC, GREEK, OTHER) for a, b in zip(one, two, strict=True)}
-
-
 @lru_cache(maxsize=1)
 def mappings() -> tuple[list, list]:
     """Rows (code point, parts with class) of every code point that isn't its own only part, and rows (parts, composed)."""
