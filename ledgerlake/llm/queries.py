@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import spread, table
-from . import boilerplate, bpe, lookalike, neardup, packing, quality
+from . import boilerplate, bpe, lookalike, neardup, packing, quality, sentences
+
+
+def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence unit of pages and chunks with its place."""
+    pages = table(spark, sf_dir, "page_texts").select(F.lit("page_texts").alias("tab"), F.col("page_id").alias("rec_id"), "text")
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tab"), F.col("chunk_no").alias("rec_id"), "text")
+    model = sentences.fit(pages.unionByName(chunks), "text", pages.count() + chunks.count())
+    return sentences.split_sentences(spread(pages.unionByName(chunks)), ["tab", "rec_id"], "text", model)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence unit of pages and chunks ends."""
+    return p1_sentences(spark, sf_dir).select("tab", "rec_id", "end_pos")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +110,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_texts": p3_texts, "p3_values": p3_values,
+    "p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_texts": p3_texts, "p3_values": p3_values,
     "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sources": p5_sources, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report,
     "p8_found": p8_found, "p8_stats": p8_stats,
 }
