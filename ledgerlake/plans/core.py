@@ -1,13 +1,20 @@
-"""The registered queries of the core, and SQL that DuckDB checks them by."""
+"""The registered queries of the core."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import quantities
-from ..tables import spread, table
+from ..functions.text import base_id, capitalised, plain_integer, sentences
+from ..operators import answer, bm25, chunking, evaluate, filters, hybrid, layout, quality, quantities, statements, vectors
+from ..sources import files
+from ..tables import spread, table, union_all
+from .core_sql import SQL as SQL
+
+#: Every row whose id is divisible by this is a query.
+EACH = 20
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +22,379 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantities.quantities(spread(table(spark, sf_dir, "financial_rows")), table(spark, sf_dir, "page_texts"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+# Questions and rankings
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and text: the label, company and year of every row whose id is divisible by EACH."""
+    rows = table(spark, sf_dir, "financial_rows").where((F.col("row_id") % EACH == 0) & F.col("label").isNotNull() & F.col("document").isNotNull())
+    name = F.regexp_replace("document", r"_\d+\.pdf$", "")
+    return rows.select(F.col("row_id").alias("query_id"), F.concat(F.col("label"), F.lit(" "), F.regexp_replace(name, "_", " ")).alias("text"), "document", "label")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").select(F.col("chunk_no").alias("doc"), "text", "company", "fiscal_year", "document", "chunk_type", "section", "pages")
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each question."""
+    return bm25.top_k(bm25.scores(questions(spark, sf_dir), _corpus(spark, sf_dir)), 10).select("query", "doc", "score", "rank")
+
+
+def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best fact chunks of each question; statistics of all chunks."""
+    facts = _corpus(spark, sf_dir).where("chunk_type = 'fact'").select("doc")
+    scored = bm25.scores(questions(spark, sf_dir), _corpus(spark, sf_dir)).join(facts, "doc", "left_semi")
+    return bm25.top_k(scored, 10).select("query", "doc", "score", "rank")
+
+
+def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency and weight of every term of the chunks."""
+    chunks = table(spark, sf_dir, "chunks")
+    weights = bm25.term_weights(bm25.postings(chunks, "chunk_no", "text"), chunks.count())
+    return weights.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every embedding whose id is divisible by EACH."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    return vectors.nearest(rows, rows.where(F.col("doc") % EACH == 0).withColumnRenamed("doc", "query"), 10)
+
+
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among embeddings with the query's label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
+    return vectors.nearest(rows, rows.where(F.col("doc") % EACH == 0).withColumnRenamed("doc", "query"), 10, same=("label", "label"))
+
+
+def _two_rankings(spark: SparkSession, sf_dir: str, same_company: bool = False) -> tuple[list[DataFrame], DataFrame]:
+    """Documents with an embedding ranked by vector and by text, for every one whose id is divisible by EACH; at most to the usual depth."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("doc"), "text", "company", F.col("embedding").alias("vector"))
+    asked = docs.where(F.col("doc") % EACH == 0).withColumnRenamed("doc", "query")
+    queries = asked.select("query", F.col("company").isNotNull().alias("filtered"))
+    by_text = bm25.scores(asked, docs, "query", "text")
+    by_vector = vectors.nearest(docs, asked, hybrid.DEPTH, same=("company", "company") if same_company else None)
+    if same_company:
+        one, two = asked.select("query", F.col("company").alias("c")), docs.select("doc", F.col("company").alias("c"))
+        by_text = by_text.join(one, "query").join(two, ["doc", "c"]).select("query", "doc", "score")
+        named = queries.where("filtered").select("query")
+        by_vector = by_vector.join(named, "query", "left_semi")
+    return [by_vector, bm25.top_k(by_text, hybrid.DEPTH)], queries
+
+
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rankings fused."""
+    return hybrid.fuse(_two_rankings(spark, sf_dir)[0]).where("fused_rank <= 10")
+
+
+def hybrid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused ranking with the rank that each method gave."""
+    return hybrid.trace(*_two_rankings(spark, sf_dir)[0])
+
+
+def hybrid_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rankings among the documents of the query's company; among all where that leaves fewer than three hits or names none."""
+    every, queries = _two_rankings(spark, sf_dir)
+    own, _ = _two_rankings(spark, sf_dir, same_company=True)
+    unnamed = queries.where("not filtered").select("query")
+    own = [union_all(a, b.join(unnamed, "query", "left_semi").select(*a.columns)) for a, b in zip(own, every, strict=True)]
+    return hybrid.trace(*hybrid.with_fallback(own, every, queries)).where("fused_rank <= 10").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
+
+
+def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over chunks from end to end: filters, expansion, hashed vectors and text, fallback, fusion; the eight best."""
+    corpus = _corpus(spark, sf_dir)
+    asked = filters.parse_filters(questions(spark, sf_dir), table(spark, sf_dir, "company_years")).withColumn("text", filters.expand_query(F.col("text")))
+    queries = asked.select(F.col("query_id").alias("query"), (F.col("company").isNotNull() | (F.size("years") > 0)).alias("filtered"))
+    allowed = asked.select(F.col("query_id").alias("query"), F.col("company").alias("qc"), "years")
+    scored = bm25.scores(asked, corpus)
+    fits = (F.col("qc").isNull() | (F.col("qc") == F.col("company"))) & ((F.size("years") == 0) | F.array_contains("years", F.col("fiscal_year")))
+    narrowed = scored.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "score")
+    hashed = corpus.select("doc", vectors.hashed_vector(F.col("text")).alias("vector"), F.col("company"))
+    by_vector = vectors.nearest(hashed, asked.select(F.col("query_id").alias("query"), vectors.hashed_vector(F.col("text")).alias("vector"), "company"), hybrid.DEPTH, same=("company", "company"))
+    near = by_vector.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "similarity", "rank")
+    wide = vectors.nearest(hashed, asked.select(F.col("query_id").alias("query"), vectors.hashed_vector(F.col("text")).alias("vector")), hybrid.DEPTH)
+    chosen = hybrid.with_fallback([near, bm25.top_k(narrowed, hybrid.DEPTH)], [wide.select("query", "doc", "similarity", "rank"), bm25.top_k(scored, hybrid.DEPTH)], queries)
+    return hybrid.trace(*chosen).where("fused_rank <= 8").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractive provider's answer to every question from its five best chunks; the provider stands in for a language model."""
+    found = bm25_topk(spark, sf_dir).where("rank <= 5").join(_corpus(spark, sf_dir), "doc").withColumnRenamed("query", "query_id")
+    prompted = answer.prompts(questions(spark, sf_dir), found)
+    return answer.answers(prompted, answer.provider("extractive"))
+
+
+def question_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context that each question's three best chunks give."""
+    found = bm25_topk(spark, sf_dir).where("rank <= 3").join(_corpus(spark, sf_dir), "doc")
+    return answer.contexts(found, "query")
+
+
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages that each question's best chunks come from."""
+    return answer.sources(bm25_topk(spark, sf_dir).join(_corpus(spark, sf_dir), "doc"), "query")
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's best chunks as lines for reading."""
+    found = bm25_topk(spark, sf_dir).join(_corpus(spark, sf_dir), "doc")
+    return found.select("query", "rank", answer.result_line(F.col("rank"), F.col("document"), F.col("pages"), F.col("chunk_type"), F.col("section"), F.lit(float("nan")), F.col("text")).alias("line"))
+
+
+def no_answer_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's text begins as an answer that found nothing."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", answer.is_no_answer(F.col("text")).alias("is_no_answer"))
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked = questions(spark, sf_dir)
+    facts = _corpus(spark, sf_dir).where("chunk_type = 'fact'").select("doc", "document", F.col("text").alias("fact"))
+    right = asked.select(F.col("query_id").alias("query"), "document", "label").join(facts, "document").where(F.col("fact").contains(F.concat(F.lit(": "), F.col("label"), F.lit(" var "))))
+    return evaluate.best_ranks(bm25_filtered_topk(spark, sf_dir), right.select("query", "doc").distinct(), right.select("query")), asked
+
+
+def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and mean reciprocal rank of the filtered search, where a fact of the same document states the label asked for."""
+    return evaluate.recall_mrr(_ranks(spark, sf_dir)[0])
+
+
+def outcome_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by the statement that their document's page belongs to, and by how well they are answered."""
+    ranks, asked = _ranks(spark, sf_dir)
+    kind = F.when(F.col("label").contains("per aktie"), "per aktie").otherwise("post")
+    judged = ranks.join(asked.select(F.col("query_id").alias("query"), kind.alias("type")), "query")
+    outcome = F.when(F.col("rank") == 1, "right").when(F.col("rank").isNotNull(), "partial").otherwise("wrong")
+    return evaluate.outcomes_by_type(judged.select("type", outcome.alias("outcome")), ["right", "partial", "wrong"])
+
+
+# Filters
+
+
+def filing_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and text: five ways to ask about each filing's company and year."""
+    filings = table(spark, sf_dir, "filings").where("company is not null and fiscal_year is not null").select("document", "company", "fiscal_year").distinct()
+    year = F.substring("fiscal_year", 1, 4)
+    forms = [
+        F.concat(F.lit("Vad var "), capitalised(F.col("company")), F.lit("s nettoomsättning "), F.col("fiscal_year"), F.lit("?")),
+        F.concat(F.lit("Hur har soliditeten i "), F.col("company"), F.lit(" utvecklats "), (year.cast("int") - 1).cast("string"), F.lit("-"), year, F.lit("?")),
+        F.concat(capitalised(F.col("company")), F.lit("koncernens rörelsemarginal och ROE "), year),
+        F.concat(F.lit("Summa tillgångar "), F.regexp_replace("fiscal_year", "-", "/"), F.lit(" hos "), F.upper("company")),
+        F.concat(F.lit("Fritt kassaflöde från "), year, F.lit(" till "), (year.cast("int") + 1).cast("string"), F.lit(", alla bolag")),
+    ]
+    return filings.select("document", F.posexplode(F.array(*forms)).alias("form", "text")).select(F.concat_ws("#", "document", F.col("form").cast("string")).alias("query_id"), "text")
+
+
+def parse_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company and years of every question about a filing."""
+    return filters.parse_filters(filing_questions(spark, sf_dir), table(spark, sf_dir, "company_years"))
+
+
+def expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question about a filing with the items of the ratios it names."""
+    return filing_questions(spark, sf_dir).select("query_id", filters.expand_query(F.col("text")).alias("text"))
+
+
+def company_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years that each company has filings of."""
+    return table(spark, sf_dir, "filings").where("company is not null").groupBy("company").agg(F.sort_array(F.collect_set("fiscal_year")).alias("fiscal_years"))
+
+
+# Chunks
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document by the plain rule."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("seq", "sentence"))
+
+
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sentences packed to chunks."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.chunk_text(F.col("text"))).alias("seq", "piece"))
+
+
+def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one unit, split by lines and size."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_oversized(F.col("text"))).alias("seq", "piece"))
+
+
+def byte_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document split to the bytes that a hosted store takes."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    return chunking.byte_split(spread(docs))
+
+
+def _latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.latest(table(spark, sf_dir, "page_texts"), ["document", "page_number"], "extracted_at", "page_id")
+
+
+def _latest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.latest(table(spark, sf_dir, "filings"), ["document"], "received_at", "company")
+
+
+def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last extraction of every page."""
+    return _latest_pages(spark, sf_dir).select("document", "page_number", "page_id")
+
+
+def text_pages_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose pages: listed by no statement and not nearly empty."""
+    return chunking.text_pages(_latest_pages(spark, sf_dir), chunking.statement_pages(_latest_filings(spark, sf_dir))).select("document", "page_number", "page_id")
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of prose pages without the texts that a document repeats."""
+    return chunking.text_chunks(chunking.text_pages(_latest_pages(spark, sf_dir), chunking.statement_pages(_latest_filings(spark, sf_dir))))
+
+
+def _statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.statement_rows(table(spark, sf_dir, "financial_rows"), _latest_filings(spark, sf_dir), table(spark, sf_dir, "company_years"))
+
+
+def fact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk for each row of a statement."""
+    return chunking.fact_chunks(_statement_rows(spark, sf_dir))
+
+
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk for each statement."""
+    return chunking.table_chunks(_statement_rows(spark, sf_dir), chunking.statement_pages(_latest_filings(spark, sf_dir)))
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document: tables, facts and texts."""
+    heads = _latest_filings(spark, sf_dir).select("document", "company", "fiscal_year")
+    texts = text_chunks(spark, sf_dir).join(heads, "document").select(
+        F.concat(F.col("document"), F.lit("::p"), F.col("page_number").cast("string"), F.lit("::"), F.col("piece").cast("string")).alias("chunk_id"),
+        "document", "company", "fiscal_year", F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("section"), F.array("page_number").alias("pages"), "text",
+    )
+    return union_all(table_chunks(spark, sf_dir), fact_chunks(spark, sf_dir), texts)
+
+
+# Statements, quality, export
+
+
+def locate_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading lines of statements at the level of the filing."""
+    levels = _latest_filings(spark, sf_dir).select("document", "statement_level")
+    return statements.locate_headings(table(spark, sf_dir, "page_texts").join(levels, "document", "left"), F.coalesce("statement_level", F.lit("koncern")))
+
+
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its statement."""
+    return statements.page_sections(table(spark, sf_dir, "page_texts"), chunking.statement_pages(_latest_filings(spark, sf_dir)))
+
+
+def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether balance sheets balance."""
+    return statements.balance_check(table(spark, sf_dir, "financial_rows"))
+
+
+def plain_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values printed as whole numbers."""
+    values = table(spark, sf_dir, "financial_rows").select("row_id", F.posexplode("row_values").alias("place", "value"))
+    return values.select("row_id", "place", plain_integer(F.col("value")).alias("number")).where("number is not null")
+
+
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of each document and column from quantities in common units."""
+    return statements.ratios(table(spark, sf_dir, "financial_rows"), p2_found(spark, sf_dir))
+
+
+def yoy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of each item against the period before."""
+    return statements.year_on_year(table(spark, sf_dir, "financial_rows"), p2_found(spark, sf_dir))
+
+
+def row_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.row_violations(table(spark, sf_dir, "financial_rows"))
+
+
+def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.chunk_violations(table(spark, sf_dir, "chunks"))
+
+
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeated_ids(table(spark, sf_dir, "chunks"))
+
+
+def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeated_texts(table(spark, sf_dir, "chunks"))
+
+
+def metadata_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as a vector store keeps them."""
+    return files.flat_export(table(spark, sf_dir, "chunks"))
+
+
+def metadata_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export read back."""
+    return files.from_export(metadata_export(spark, sf_dir))
+
+
+def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.document_overview(_latest_filings(spark, sf_dir), table(spark, sf_dir, "page_texts"))
+
+
+def base_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of split documents and the ids they go back to."""
+    return byte_split(spark, sf_dir).select("chunk_id", base_id(F.col("chunk_id")).alias("base"))
+
+
+# Layout
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with places from order lines: an order is a page; a part's number, size and supplier place the word."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    x0 = (F.col("l_partkey") * 7 % 560).cast("double")
+    top = (F.col("l_suppkey") % 40 * 1.25).cast("double")
+    return lines.select(F.lit("orders").alias("document"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.col("p_name").alias("text"), x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+
+
+def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_groups(_boxes(spark, sf_dir)).select("page", "ord", "line")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of each page, all its words taken for one line."""
+    return layout.phrases(_boxes(spark, sf_dir).withColumn("line", F.lit(0))).select("page", "phrase", "text", "x0", "x1")
+
+
+def year_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of words that hold a year; the year of shipping stands for the text."""
+    lines = table(spark, sf_dir, "lineitem")
+    x0 = (F.col("l_partkey") * 7 % 560).cast("double")
+    words = lines.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.date_format("l_shipdate", "yyyy").alias("text"), x0.alias("x0"), (x0 + 24).alias("x1"))
+    return layout.year_clusters(words, ["page"]).select("page", "ord", "cluster")
+
+
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.merged_intervals(_boxes(spark, sf_dir).select("page", "x0", "x1"), ["page"])
+
+
+def gutter_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return layout.gutters(boxes, boxes.select("document", "page", F.lit(600.0).alias("page_width")).distinct()).select("page", "gutter")
+
+
+def column_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of words read column by column."""
+    boxes = _boxes(spark, sf_dir)
+    return layout.column_text(boxes, boxes.select("document", "page", F.lit(600.0).alias("page_width")).distinct())
+
+
+def extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows of every page, from words placed by the page's own text."""
+    return layout.extract_rows(layout.words_of_text(_latest_pages(spark, sf_dir)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        bm25_topk, p2_found, bm25_filtered_topk, idf_table, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_trace, hybrid_fallback, hybrid_questions, answers, question_contexts, source_summary,
+        result_lines, no_answer_flag, recall_mrr, outcome_pivot, parse_filters, expand_query, company_years, sentence_split, chunk_pack, oversize_split, byte_split, base_ids, latest_pages, text_pages_anti,
+        text_chunks, fact_chunks, table_chunks, all_chunks, locate_headings, page_sections, balance_check, plain_integers, ratios, yoy_trend, row_violations, chunk_violations, repeated_ids, repeated_texts,
+        metadata_export, metadata_import, document_overview, line_groups, phrases, year_clusters, interval_merge, gutter_detect, column_text, extract_rows,
+    )
+}

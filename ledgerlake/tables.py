@@ -18,3 +18,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The rows of all, by column name.
+
+    Spark unites inputs that are partitioned alike partition by partition, which fails if adaptive
+    execution has coalesced them to different numbers; a coalesce to more partitions than there are
+    moves nothing and hides the partitioning.
+    """
+    loose = [df.coalesce(1_000_000) for df in (first, *others)]
+    out = loose[0]
+    for df in loose[1:]:
+        out = out.unionByName(df)
+    return out
