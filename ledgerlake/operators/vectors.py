@@ -7,14 +7,16 @@ own k best for each query, so what is shuffled is k rows for each query and task
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..tables import union_all
 
 #: Query vectors of one block, numbers of a query matrix that one task holds at most, and dimensions of the substitute embedding.
@@ -85,13 +87,41 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", ve
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A substitute for a learned embedding: tokens counted in hashed places, with hashed signs, of unit length. Null without tokens."""
-    words = tokens(text)
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    counted = F.aggregate(
-        F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("at"), (F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) * 2 - 1).cast("double").alias("sign"))),
-        zero, lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["at"], v + x["sign"]).otherwise(v)),
-    )
-    length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when((F.size(words) > 0) & (length > 0), F.transform(counted, lambda v: (v / length).cast("float")))
+class Embedder(Protocol):
+    """Whatever turns texts into vectors; it is shipped to the tasks and called with whole batches."""
+
+    def encode(self, texts: list[str]) -> np.ndarray: ...
+
+
+class HashingEmbedder:
+    """A substitute for a learned embedding: tokens counted in hashed places with hashed signs. Not a model."""
+
+    def __init__(self, dimensions: int = DIMENSIONS) -> None:
+        self.dimensions = dimensions
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions))
+        known: dict[str, int] = {}
+        for row, text in enumerate(texts):
+            for word in re.findall(r"\w+", text.lower()):
+                h = known.get(word)
+                if h is None:
+                    h = known[word] = zlib.crc32(word.encode())
+                out[row, (h >> 1) % self.dimensions] += 1 - 2 * (h & 1)
+        return out
+
+
+def embed(texts: DataFrame, id_col: str, text_col: str, keep: list[str], embedder: Embedder, prefix: str = "") -> DataFrame:
+    """The id, the columns to keep and `vector`, of unit length; null for null texts and where nothing is counted."""
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(batch.num_columns - 1).to_pylist()
+            vectors = embedder.encode([prefix + (t or "") for t in given])
+            length = np.linalg.norm(vectors, axis=1)
+            rows = [(v / n).tolist() if n > 0 and t is not None else None for v, n, t in zip(vectors, length, given, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float32()))], names=[id_col, *keep, "vector"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", vector array<float>"
+    return texts.select(id_col, *keep, text_col).mapInArrow(run, schema)

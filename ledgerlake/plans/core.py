@@ -110,10 +110,11 @@ def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = bm25.scores(asked, corpus)
     fits = (F.col("qc").isNull() | (F.col("qc") == F.col("company"))) & ((F.size("years") == 0) | F.array_contains("years", F.col("fiscal_year")))
     narrowed = scored.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "score")
-    hashed = corpus.select("doc", vectors.hashed_vector(F.col("text")).alias("vector"), F.col("company"))
-    by_vector = vectors.nearest(hashed, asked.select(F.col("query_id").alias("query"), vectors.hashed_vector(F.col("text")).alias("vector"), "company"), hybrid.DEPTH, same=("company", "company"))
+    hashed = vectors.embed(corpus, "doc", "text", ["company"], vectors.HashingEmbedder())
+    asked_vectors = vectors.embed(asked.select(F.col("query_id").alias("query"), "text", "company"), "query", "text", ["company"], vectors.HashingEmbedder())
+    by_vector = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH, same=("company", "company"))
     near = by_vector.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "similarity", "rank")
-    wide = vectors.nearest(hashed, asked.select(F.col("query_id").alias("query"), vectors.hashed_vector(F.col("text")).alias("vector")), hybrid.DEPTH)
+    wide = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH)
     chosen = hybrid.with_fallback([near, bm25.top_k(narrowed, hybrid.DEPTH)], [wide.select("query", "doc", "similarity", "rank"), bm25.top_k(scored, hybrid.DEPTH)], queries)
     return hybrid.trace(*chosen).where("fused_rank <= 8").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
 
@@ -349,7 +350,8 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     x0 = (F.col("l_partkey") * 7 % 560).cast("double")
     top = (F.col("l_suppkey") % 40 * 1.25).cast("double")
-    return lines.select(F.lit("orders").alias("document"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.col("p_name").alias("text"), x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+    order = ((F.col("l_linenumber") * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_quantity")).cast("long")
+    return lines.select(F.lit("orders").alias("document"), F.col("l_orderkey").alias("page"), order.alias("ord"), F.col("p_name").alias("text"), x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
 
 
 def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

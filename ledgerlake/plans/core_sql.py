@@ -149,7 +149,7 @@ def integer(v: str) -> str:
     return f"TRY_CAST(regexp_replace(regexp_replace({v}, '^[−–-]', '-'), '[.,]|{WS}', '', 'g') AS BIGINT)"
 
 
-_BOXES = """boxes AS (SELECT l_orderkey AS page, l_linenumber AS ord, p_name AS text, CAST(l_partkey * 7 % 560 AS DOUBLE) AS x0, l_partkey * 7 % 560 + l_quantity AS x1, l_suppkey % 40 * 1.25::DOUBLE AS top FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_BOXES = """boxes AS (SELECT l_orderkey AS page, CAST((l_linenumber * 100000 + l_partkey) * 1000 + l_quantity AS BIGINT) AS ord, p_name AS text, CAST(l_partkey * 7 % 560 AS DOUBLE) AS x0, l_partkey * 7 % 560 + l_quantity AS x1, l_suppkey % 40 * 1.25::DOUBLE AS top FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def islands(source: str, key: str, start: str, end: str, gap: float) -> str:
@@ -201,7 +201,7 @@ valid AS (SELECT DISTINCT company, unnest(fiscal_years) AS y FROM company_years)
 kept AS (SELECT n.query_id, list_sort(list(DISTINCT c.y)) AS years FROM named n JOIN cand c USING (query_id) JOIN valid v ON v.y = c.y AND (n.company IS NULL OR v.company = n.company) GROUP BY n.query_id)
 SELECT n.query_id, n.text, n.company, coalesce(k.years, []::VARCHAR[]) AS years FROM named n LEFT JOIN kept k USING (query_id)""",
     "expand_query": f"""WITH {_FILING_QUESTIONS}, hits AS (SELECT query_id, place, unnest(items) AS item, generate_subscripts(items, 1) AS k FROM questions JOIN {_EXPANSIONS} ON contains(lower(text), name)),
-firsts AS (SELECT query_id, item, min(place * 100 + k) AS at FROM hits GROUP BY query_id, item), added AS (SELECT query_id, string_agg(item, ' ' ORDER BY at) AS extra FROM firsts GROUP BY query_id)
+firsts AS (SELECT query_id, item, min(place * 100 + k) AS nth FROM hits GROUP BY query_id, item), added AS (SELECT query_id, string_agg(item, ' ' ORDER BY nth) AS extra FROM firsts GROUP BY query_id)
 SELECT query_id, CASE WHEN extra IS NULL THEN text ELSE text || ' ' || extra END AS text FROM questions LEFT JOIN added USING (query_id)""",
     "company_years": "SELECT company, list_sort(list(DISTINCT fiscal_year) FILTER (fiscal_year IS NOT NULL)) AS fiscal_years FROM filings WHERE company IS NOT NULL GROUP BY company",
     "sentence_split": numbered(f"SELECT doc_id, {sentences('text')} AS list FROM documents WHERE text IS NOT NULL", "doc_id", "sentence"),
@@ -246,7 +246,7 @@ folded AS (SELECT page, w, list_reduce(w, lambda a, x: {{'lines': list_append(a.
     'n': CAST(CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.n ELSE a.n + 1 END AS INTEGER), 'anchor': CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.anchor ELSE x.top END}},
     {{'lines': []::INTEGER[], 'n': -1::INTEGER, 'anchor': NULL::DOUBLE}}).lines AS lines FROM pages)
 SELECT page, w[i].ord AS ord, lines[i] AS line FROM (SELECT page, w, lines, unnest(range(1, len(w) + 1)) AS i FROM folded)""",
-    "phrases": f"WITH {_BOXES}, {islands('boxes', 'page', 'x0', 'x1', 8)} SELECT page, island AS phrase, string_agg(text, ' ' ORDER BY x0, ord) AS text, arg_min(x0, x0 * 100 + ord) AS x0, arg_max(x1, x0 * 100 + ord) AS x1 FROM chained GROUP BY page, island",
+    "phrases": f"WITH {_BOXES}, {islands('boxes', 'page', 'x0', 'x1', 8)} SELECT page, island AS phrase, string_agg(text, ' ' ORDER BY x0, ord) AS text, min(x0) AS x0, list(x1 ORDER BY x0, ord)[-1] AS x1 FROM chained GROUP BY page, island",
     "year_clusters": f"WITH centred AS (SELECT l_orderkey AS page, l_linenumber AS ord, CAST(l_partkey * 7 % 560 AS DOUBLE) + 12 AS centre FROM lineitem), {islands('centred', 'page', 'centre', 'centre', 150)} SELECT page, ord, island AS cluster FROM chained",
     "interval_merge": f"WITH {_BOXES}, spans AS (SELECT page, x0, x1 FROM boxes), {_MERGE} SELECT page, x0, x1 FROM merged",
     "gutter_detect": f"""WITH {_BOXES}, spans AS (SELECT page, greatest(x0, 180) AS x0, least(x1, 420) AS x1 FROM boxes WHERE x1 > 180 AND x0 < 420), {_MERGE},
