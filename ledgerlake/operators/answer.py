@@ -76,7 +76,7 @@ class ExtractiveProvider:
         context, _, question = user.partition("\n\nFRÅGA\n")
         asked = set(re.findall(r"\w{3,}", question.lower()))
         best, most = None, 1
-        for block in context.split("\n\n"):
+        for block in context.removeprefix("KÄLLUTDRAG\n").split("\n\n"):
             head, _, body = block.partition("\n")
             source = re.search(r"\(([^()]*, (?:s\. [^()]*|sida okänd))\)", head)
             for line in re.split(r"(?<=[.!?])\s+|\n", body) if source else ():
