@@ -13,11 +13,16 @@ from ..functions.text import tokens
 
 #: The usual parameters of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms that are sent to every task at most; more are joined by shuffle.
+TERMS = 400_000
 
 
 def postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, term, tf and dl (tokens of the document, repetitions counted). Texts without tokens have no row."""
-    words = corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("_words"))
+    """doc, term, tf and dl (tokens of the document, repetitions counted). Texts without tokens have no row.
+
+    Texts are hashed to partitions by document once; whatever is grouped by document later stays there.
+    """
+    words = corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).repartition("doc").select("doc", tokens(F.col("_text")).alias("_words"))
     return words.select("doc", F.size("_words").alias("dl"), F.explode("_words").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -39,7 +44,10 @@ def scores(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", qu
     size = corpus.select(F.count("*").alias("n"), F.avg(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0))).alias("mean")).first()
     mean = float(size["mean"] or 1.0) or 1.0
     weights = term_weights(index, size["n"])
-    asked = query_terms(queries, query_id, query_text).join(weights, "term")
+    terms = query_terms(queries, query_id, query_text)
+    asked = terms.join(weights, "term")
+    if terms.count() <= TERMS:  # the documents' partitioning is kept and scores are summed without a shuffle
+        asked = F.broadcast(asked)
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / mean))
     found = index.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))

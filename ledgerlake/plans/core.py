@@ -33,7 +33,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").select(F.col("chunk_no").alias("doc"), "text", "company", "fiscal_year", "document", "chunk_type", "section", "pages")
+    return spread(table(spark, sf_dir, "chunks")).select(F.col("chunk_no").alias("doc"), "text", "company", "fiscal_year", "document", "chunk_type", "section", "pages")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and weight of every term of the chunks."""
-    chunks = table(spark, sf_dir, "chunks")
+    chunks = spread(table(spark, sf_dir, "chunks"))
     weights = bm25.term_weights(bm25.postings(chunks, "chunk_no", "text"), chunks.count())
     return weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -278,7 +278,7 @@ def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locate_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading lines of statements at the level of the filing."""
     levels = _latest_filings(spark, sf_dir).select("document", "statement_level")
-    return statements.locate_headings(table(spark, sf_dir, "page_texts").join(levels, "document", "left"), F.coalesce("statement_level", F.lit("koncern")))
+    return statements.locate_headings(spread(table(spark, sf_dir, "page_texts")).join(levels, "document", "left"), F.coalesce("statement_level", F.lit("koncern")))
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
