@@ -7,7 +7,8 @@ part; parts are grouped into a base and its marks, marks ordered by class; a sec
 recomposes; words and texts are rebuilt in order.
 
 The form: full and half width and ligatures resolved, letters of other scripts replaced by the Latin
-letter of the same shape, accents composed, invisible characters dropped, each run of white space one
+letter of the same shape, accents composed where one character has the base and all its marks (else marks in the
+order of their classes), invisible characters dropped, each run of white space one
 blank, none at the ends. Case, accents, superscripts and other signs stay. Hangul syllables stay as
 they are (conjoining jamo aren't composed).
 

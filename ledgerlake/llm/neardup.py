@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import durable_table
+from ..tables import union_all
 
 SHINGLE = 5
 HASHES, BINS = 4, 32
@@ -223,7 +224,7 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     across = links.join(one, "a").join(two, "b").select(F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"))
     copies = members.where("size > 1")
     within = copies.select("class", F.col("id").alias("first")).join(copies.select("class", F.col("id").alias("second")), "class").where("first < second")
-    return across.unionByName(within.select("first", "second"))
+    return union_all(across, within.select("first", "second"))
 
 
 def class_links(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def result(s: State, chars: int) -> tuple:
     if not words:
         return (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None)
     total = listed + table + junk + plain
-    if s.few is not None and words >= 12 and words >= 6 * len(s.few):
+    if s.few is not None and words >= 12 and words >= (20 if 2 * (listed + table) > total else 6) * len(s.few):
         junk, listed, table, plain = total, 0, 0, 0  # the same words over and over
     elif plain_lines >= 3 and plain > 250 * stops and plain < (40 if 2 * thai > plain else 80) * plain_lines:
         listed, plain = listed + plain, 0  # short lines without a sentence among them
