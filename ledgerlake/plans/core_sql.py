@@ -52,6 +52,12 @@ units AS (SELECT id, flatten(list(pieces ORDER BY place)) AS units FROM cut GROU
 done AS (SELECT id, {packed('units')} AS r FROM units),
 packed AS (SELECT id, CASE WHEN r.n > 0 THEN list_append(r.out, r.cur) ELSE r.out END AS list FROM done)"""
 
+_BYTES = """WITH source AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT id, list_transform(string_split(text, '. '), lambda s, i: CASE WHEN i = len(string_split(text, '. ')) THEN s ELSE s || '. ' END) AS p FROM source WHERE strlen(text) > 15000),
+folded AS (SELECT id, list_reduce(p, lambda a, x: CASE WHEN a.cur <> '' AND strlen(a.cur) + strlen(x) > 15000 THEN {'out': list_append(a.out, a.cur), 'cur': x} ELSE {'out': a.out, 'cur': a.cur || x} END, {'out': []::VARCHAR[], 'cur': ''}) AS r FROM pieces),
+lists AS (SELECT id, CASE WHEN r.cur <> '' THEN list_append(r.out, r.cur) ELSE r.out END AS list FROM folded),
+parts AS (SELECT id || '::del' || i AS chunk_id, list[i] AS text FROM (SELECT id, list, unnest(range(1, len(list) + 1)) AS i FROM lists) UNION ALL SELECT id, text FROM source WHERE strlen(text) <= 15000)"""
+
 _LATEST_PAGES = "latest AS (SELECT * FROM page_texts QUALIFY row_number() OVER (PARTITION BY document, page_number ORDER BY extracted_at DESC NULLS LAST, page_id DESC) = 1)"
 _LATEST_FILINGS = "heads AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY document ORDER BY received_at DESC NULLS LAST, company DESC NULLS LAST) = 1)"
 _LISTED = """entries AS (SELECT document, unnest(map_entries(statement_pages)) AS e FROM heads),
@@ -207,6 +213,8 @@ SELECT query_id, CASE WHEN extra IS NULL THEN text ELSE text || ' ' || extra END
     "sentence_split": numbered(f"SELECT doc_id, {sentences('text')} AS list FROM documents WHERE text IS NOT NULL", "doc_id", "sentence"),
     "chunk_pack": f"WITH source AS (SELECT doc_id AS id, text FROM documents), {_PIECES} {numbered('SELECT id AS doc_id, list FROM packed', 'doc_id', 'piece')}",
     "oversize_split": numbered(f"SELECT doc_id, {oversized('text')} AS list FROM documents WHERE text IS NOT NULL", "doc_id", "piece"),
+    "byte_split": f"{_BYTES} SELECT chunk_id, text FROM parts",
+    "base_ids": rf"{_BYTES} SELECT chunk_id, regexp_replace(chunk_id, '::del[0-9]+$', '') AS base FROM parts",
     "latest_pages": f"WITH {_LATEST_PAGES} SELECT document, page_number, page_id FROM latest",
     "text_pages_anti": f"WITH {_LATEST_PAGES}, {_LATEST_FILINGS}, {_LISTED}, {_TEXT_PAGES} SELECT document, page_number, page_id FROM prose",
     "text_chunks": f"""WITH {_LATEST_PAGES}, {_LATEST_FILINGS}, {_LISTED}, {_TEXT_PAGES}, source AS (SELECT page_id AS id, {strip('text')} AS text FROM prose), {_PIECES},
