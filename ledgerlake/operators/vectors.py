@@ -23,7 +23,14 @@ from ..tables import union_all
 BLOCK, NUMBERS, DIMENSIONS = 4096, 16_000_000, 64
 
 
-def _block(rows: DataFrame, queries: list, k: int, query_key: list | None) -> DataFrame:
+def _allowed(given: list, sets: list) -> np.ndarray:
+    """Whether each query's set of values (null or empty: any) holds each row's value: queries x rows. A null value is in no set."""
+    values, kinds = {v: n for n, v in enumerate(dict.fromkeys(given))}, {s: n for n, s in enumerate(dict.fromkeys(sets))}
+    table = np.array([[not s or v in s for v in values] for s in kinds], bool)
+    return table[np.array([kinds[s] for s in sets])][:, np.array([values[v] for v in given])]
+
+
+def _block(rows: DataFrame, queries: list, k: int, query_key: list | None, within: list[list] = ()) -> DataFrame:
     ids = np.array([q[0] for q in queries], np.int64)
     matrix = np.array([q[1] for q in queries], np.float64).reshape(len(queries), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -40,6 +47,8 @@ def _block(rows: DataFrame, queries: list, k: int, query_key: list | None) -> Da
             like = np.round(matrix @ vectors.T, 6)
             if keys is not None:
                 like[keys[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
+            for n, sets in enumerate(within):
+                like[~_allowed(batch.column(n + 2 + (keys is not None)).to_pylist(), sets)] = -np.inf
             order = np.lexsort((np.broadcast_to(docs, like.shape), -like), axis=1)[:, :k]
             best.append((np.repeat(ids, order.shape[1]), docs[order].reshape(-1), np.take_along_axis(like, order, 1).reshape(-1)))
             if sum(len(b[0]) for b in best) > 4 * k * len(ids):
@@ -61,16 +70,17 @@ def _best(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q[keep], d[keep], s[keep]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", same: tuple[str, str] | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", same: tuple[str, str] | None = None, within: list[tuple[str, str]] = ()) -> DataFrame:
     """The k most alike rows of each query by cosine (six decimals): query, doc, similarity, rank; ties by id.
 
-    `same` names a column of rows and one of queries that have to be equal. Null vectors have no row and
+    `same` names a column of rows and one of queries that have to be equal; `within` pairs of a column of rows and an array
+    of queries that has to hold its value (null or empty: any). Both apply before the k are taken. Null vectors have no row and
     ask nothing. Queries are read in blocks of BLOCK, each checked to be of bounded size; a query finds itself if it is a row.
     """
     asked = queries.where(F.col(query_vector).isNotNull())
-    columns = [F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>"), *([F.col(same[1])] if same else [])]
+    columns = [F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>"), *([F.col(same[1])] if same else []), *(F.col(c) for _, c in within)]
     total = asked.count()
-    data = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), *([F.col(same[0])] if same else []))
+    data = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), *([F.col(same[0])] if same else []), *(F.col(c) for c, _ in within))
     blocks = max(1, -(-total // BLOCK))
     out = None
     for n in range(blocks):
@@ -79,7 +89,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", ve
         if len(held) > 2 * BLOCK or len(held) * len(held[0][1] if held else []) > NUMBERS:
             raise ValueError("query vectors are too long for one block")
         if held:
-            part = _block(data, held, k, [h[2] for h in held] if same else None)
+            sets = [[frozenset(h[n + 2 + bool(same)] or ()) for h in held] for n in range(len(within))]
+            part = _block(data, held, k, [h[2] for h in held] if same else None, sets)
             out = part if out is None else union_all(out, part)
     if out is None:
         out = data.sparkSession.createDataFrame([], "query long, doc long, similarity double")

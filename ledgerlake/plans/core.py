@@ -110,12 +110,12 @@ def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = bm25.scores(asked, corpus)
     fits = (F.col("qc").isNull() | (F.col("qc") == F.col("company"))) & ((F.size("years") == 0) | F.array_contains("years", F.col("fiscal_year")))
     narrowed = scored.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "score")
-    hashed = vectors.embed(corpus, "doc", "text", ["company"], vectors.HashingEmbedder())
-    asked_vectors = vectors.embed(asked.select(F.col("query_id").alias("query"), "text", "company"), "query", "text", ["company"], vectors.HashingEmbedder())
-    by_vector = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH, same=("company", "company"))
-    near = by_vector.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "similarity", "rank")
+    hashed = vectors.embed(corpus, "doc", "text", ["company", "fiscal_year"], vectors.HashingEmbedder())
+    companies = F.when(F.col("company").isNotNull(), F.array("company"))
+    asked_vectors = vectors.embed(asked.select(F.col("query_id").alias("query"), "text", companies.alias("companies"), "years"), "query", "text", ["companies", "years"], vectors.HashingEmbedder())
+    near = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH, within=[("company", "companies"), ("fiscal_year", "years")])
     wide = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH)
-    chosen = hybrid.with_fallback([near, bm25.top_k(narrowed, hybrid.DEPTH)], [wide.select("query", "doc", "similarity", "rank"), bm25.top_k(scored, hybrid.DEPTH)], queries)
+    chosen = hybrid.with_fallback([near, bm25.top_k(narrowed, hybrid.DEPTH)], [wide, bm25.top_k(scored, hybrid.DEPTH)], queries)
     return hybrid.trace(*chosen).where("fused_rank <= 8").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
 
 

@@ -89,6 +89,36 @@ def test_nearest_is_exact(spark):
             assert [r["doc"] for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == q] == want
 
 
+def test_nearest_filters_before_the_cut(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(300, 8))
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    company = ["volvo" if i % 6 else None if i % 12 else "skistar" for i in range(300)]
+    year = [("2023", "2024", "2025", None)[i % 4] for i in range(300)]
+    rows = spark.createDataFrame([(i, v.tolist(), company[i], year[i]) for i, v in enumerate(data)], "doc long, vector array<double>, company string, fiscal_year string").repartition(3)
+    filtered = [(0, ["volvo"], ["2023"]), (1, ["volvo"], []), (2, None, ["2024", "2025"]), (3, None, []), (4, ["volvo"], ["1999"])]
+    asked = spark.createDataFrame([(q, data[q].tolist(), c, y) for q, c, y in filtered], "query long, vector array<double>, companies array<string>, years array<string>")
+    got = vectors.nearest(rows, asked, 100, within=[("company", "companies"), ("fiscal_year", "years")]).collect()
+    for q, c, y in filtered:
+        like = np.round(unit @ unit[q], 6)
+        want = sorted((i for i in range(300) if (not c or company[i] in c) and (not y or year[i] in y)), key=lambda i: (-like[i], i))[:100]
+        found = sorted((r["rank"], r["doc"]) for r in got if r["query"] == q)
+        assert found == [(k + 1, i) for k, i in enumerate(want)]
+
+
+def test_questions_search_chunks_of_their_year_only(spark, tmp_path):
+    """150 chunks of another year are nearer to the question; those of its year keep ranks from 1."""
+    from ledgerlake.plans import core
+
+    chunk = lambda n, year, text: (n, text, "volvo", year, f"volvo_{year}_1.pdf", "text", None, [1])
+    chunks = [chunk(n, "2023", "Nettoomsättning volvo 2024") for n in range(150)] + [chunk(n, "2024", "Nettoomsättning " + "övrigt " * (n - 149)) for n in range(150, 155)]
+    spark.createDataFrame(chunks, "chunk_no long, text string, company string, fiscal_year string, document string, chunk_type string, section string, pages array<int>").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(20, "Nettoomsättning", "volvo_2024_1.pdf")], "row_id long, label string, document string").write.parquet(f"{tmp_path}/financial_rows.parquet")
+    spark.createDataFrame([("volvo", ["2023", "2024"])], "company string, fiscal_years array<string>").write.parquet(f"{tmp_path}/company_years.parquet")
+    got = core.hybrid_questions(spark, str(tmp_path)).collect()
+    assert {r["doc"]: r["vector_rank"] for r in got} == {150 + k: k + 1 for k in range(5)}
+
+
 def test_fusion_literals(spark):
     rank = lambda docs: spark.createDataFrame([(1, d, k + 1) for k, d in enumerate(docs)], "query int, doc string, rank int")
     best = lambda *lists: [r["doc"] for r in hybrid.fuse(list(map(rank, lists))).orderBy("fused_rank").collect()]
