@@ -13,8 +13,8 @@ of the block give each gap's posterior, and gaps of at least one half are bounda
 
 The model is fitted without labels: ends and starts of blocks are boundaries whatever they look
 like, words that go on in small letters mostly aren't, and expectation-maximisation settles the rest.
-It is fitted on the gaps of at most SAMPLE texts, chosen by hash (a documented bound: the fit only
-sets probabilities; every text is then split whole, each independently of the others).
+It is fitted on the gaps of all texts: counts are summed by n-gram in the tasks and in one shuffle, and
+only the distinct n-grams reach the driver. Every text is then split whole, each independently of the others.
 
 What needs no model: a blank line and the end of the text end a unit; list items, table lines and other
 lines that aren't filled to the block's width are units of their own; Thai ends a unit at white
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from ..functions.forms import clean
 
-SAMPLE = 12_000
 ROUNDS = 6
+#: N-grams that a task counts before it passes them on.
+HELD = 200_000
 
 HIDDEN = "­​-‏⁠﻿"
 CLOSE = "\"'”’»«“›)\\]」』）］】"
@@ -373,11 +374,19 @@ def unit_spans(text: str, model: Model) -> list[tuple[int, int]]:
 
 
 def observe(texts: DataFrame, text_col: str) -> DataFrame:
-    """Counts (before, left, right, n) of the gaps, block ends and block starts of some texts."""
+    """Counts (before, left, right, n) of the gaps, block ends and block starts of the texts."""
+
+    def table(counts: Counter[tuple[str, str, str]]) -> pa.RecordBatch:
+        rows = [(*k, n) for k, n in counts.items()]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["before", "left", "right", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str, str]] = Counter()
         for batch in batches:
+            if len(counts) > HELD:
+                yield table(counts)
+                counts.clear()
             for text in batch.column(0).to_pylist():
                 for start, end, table_line in parts(text):
                     if table_line:
@@ -394,20 +403,16 @@ def observe(texts: DataFrame, text_col: str) -> DataFrame:
                     if (closing in ".!?…؟।．;。！？" or HAS_THAI.search(part[-12:])) and chain:
                         words = part[-60:].split()
                         counts[word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]), ""] += 1
-        rows = [(*k, n) for k, n in counts.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["before", "left", "right", "n"])
+        yield table(counts)
 
     seen = texts.select(text_col).mapInArrow(run, "before string, left string, right string, n long")
     return seen.groupBy("before", "left", "right").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, text_col: str, rows: int, sample: int = SAMPLE) -> Model:
-    """The model of at most about `sample` of the `rows` texts. The counts collected are bounded by the sample."""
+def fit(texts: DataFrame, text_col: str, rows: int | None = None) -> Model:
+    """The model of all texts. The driver gets their distinct n-grams; `rows`, once the size of a sample's frame, changes nothing."""
     some = texts.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    if rows > sample:
-        some = some.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(1_000_000 * sample / rows))
-    return train(sorted(tuple(r) for r in observe(some, text_col).collect()))
+    return train(sorted(zip(*(c.to_pylist() for c in observe(some, text_col).toArrow().columns), strict=True)))
 
 
 def split_sentences(texts: DataFrame, keys: list[str], text_col: str, model: Model) -> DataFrame:

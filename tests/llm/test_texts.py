@@ -165,6 +165,16 @@ def model(spark):
     return sentences.fit(spark.createDataFrame([(t,) for t in TRAIN], "text string"), "text", len(TRAIN))
 
 
+def test_model_counts_every_text(spark, monkeypatch):
+    """More texts than the model was once fitted on: the rare word of each is known, and a copied text weighs as often as it is there."""
+    rare = ["".join("abcdefghij"[int(d)] for d in f"{k:05d}") for k in range(13_000)]
+    texts = [f"Bolaget växte {w}. Arbetet fortsätter. Det gick bra." for w in rare] + [TRAIN[0]] * 50
+    monkeypatch.setattr(sentences, "HELD", 1000)
+    model = sentences.fit(spark.createDataFrame([(t,) for t in texts], "text string"), "text", len(texts))
+    assert all(model.by_left.get(w + ".", (0, 0))[1] == 1 for w in rare)
+    assert model.by_pair["växte", "bl.a."][1] == 50
+
+
 def units(text, model):
     return [text[a:b] for a, b in sentences.unit_spans(text, model)]
 
