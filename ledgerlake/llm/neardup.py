@@ -6,9 +6,8 @@ Method: a MinHash LSH forest, then exact verification.
   characters. MinHash values come from `HASHES` hash functions with `BINS` bins each.
 * Each of `TREES` trees is a prefix trie of `DEPTH` values, kept as sorted integers: tree, then the
   levels from the root. Rows of one branch meet in one task, sorted, so a bucket of any depth is a run.
-* Prefixes are shortened from full depth. At depth `prefix_depth`, the deepest at which the trees
-  together reach the target recall for pairs just at the threshold, all pairs of a bucket are candidates; where the
-  bucket one level higher has few rows, its pairs are candidates too, which only adds recall.
+* Prefixes are shortened from full depth to one level above `prefix_depth`, the deepest at which the trees
+  together reach the target recall for pairs just at the threshold. All pairs of a bucket are candidates, whatever its size.
 * Candidates whose one-bit values already tell them apart are dropped: the limit is `SLACK` standard
   deviations below what a pair at the threshold has. The rest is compared exactly.
 
@@ -36,7 +35,6 @@ DEPTH, LEVEL_BITS = 5, 11
 TREES = HASHES * BINS // DEPTH
 #: Values in the order in which the trees use them up: neighbours come from different hash functions.
 PLACES = [seed * BINS + at for at in range(BINS) for seed in range(HASHES)]
-FEW = 16
 SLACK = 4.3
 TARGET = 0.985
 
@@ -136,8 +134,7 @@ def sign(texts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a < b) of class representatives that share a bucket of the forest and whose sketches allow the threshold."""
-    depth = prefix_depth(threshold)
-    deep, high = LEVEL_BITS * (DEPTH - depth), LEVEL_BITS * (DEPTH - depth + 1)
+    high = LEVEL_BITS * (DEPTH - max(1, prefix_depth(threshold) - 1))
     bits = HASHES * BINS
     least = math.ceil(bits * (1 + threshold) / 2 - SLACK * math.sqrt(bits * (1 + threshold) * (1 - threshold)) / 2)
 
@@ -153,10 +150,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         yield pairs(*held)
 
     def pairs(key: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
-        top = key >> high
-        run_ids = np.cumsum(np.concatenate([[0], top[1:] != top[:-1]])) if len(key) else np.zeros(0, np.int64)
-        small = np.bincount(run_ids)[run_ids] <= FEW if len(key) else np.zeros(0, bool)
-        bucket = np.where(small, top << 1, ((key >> deep) << 1) | 1)
+        bucket = key >> high
         i, step, found = np.arange(len(key)), 0, []
         while len(i):
             step += 1

@@ -154,6 +154,14 @@ def test_near_duplicates(spark):
     assert neardup.all_pairs(links, members).count() == 0
 
 
+def test_candidates_of_large_buckets(spark):
+    """Forty rows share four levels of one tree and differ in the fifth: all their pairs are candidates, as those of few rows are."""
+    for n in (10, 40):
+        rows = [(k, 5, 5, [(7 << neardup.LEVEL_BITS) | k]) for k in range(n)]
+        got = neardup.candidates(spark.createDataFrame(rows, "id long, s1 long, s2 long, keys array<long>"), 0.7).collect()
+        assert sorted(map(tuple, got)) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
 TRAIN = (
     ["Bolaget växte bl.a. i Norden. Arbetet fortsätter. Se not 3. Det gick bra.", "”Vi växte!” säger vd M. Berg. Arbetet fortsätter. (Se not 4.) Bolaget ökade med 5 mkr. Det gick bra."] * 6
     + ["กำไรเพิ่มขึ้น รายได้ลดลง", "売上は増加した。「順調だ。」と社長は述べた。利益は減少した。", "Γιατί αυξήθηκε; Ο όμιλος μεγάλωσε."] * 3
