@@ -5,7 +5,8 @@ Method: a MinHash LSH forest, then exact verification.
 * A text in lower case, of its letters and numbers only, is the set of its substrings of `SHINGLE`
   characters. MinHash values come from `HASHES` hash functions with `BINS` bins each.
 * Each of `TREES` trees is a prefix trie of `DEPTH` values, kept as sorted integers: tree, then the
-  levels from the root. Rows of one branch meet in one task, sorted, so a bucket of any depth is a run.
+  levels from the root. Rows of one branch meet in one task, sorted, so a bucket is a run; a branch of
+  more than HEAVY rows is split into pairs of blocks, which are compared in tasks of their own.
 * Prefixes are shortened from full depth to one level above `prefix_depth`, the deepest at which the trees
   together reach the target recall for pairs just at the threshold. All pairs of a bucket are candidates, whatever its size.
 * Candidates whose one-bit values already tell them apart are dropped: the limit is `SLACK` standard
@@ -36,6 +37,8 @@ TREES = HASHES * BINS // DEPTH
 #: Values in the order in which the trees use them up: neighbours come from different hash functions.
 PLACES = [seed * BINS + at for at in range(BINS) for seed in range(HASHES)]
 SLACK = 4.3
+#: Rows of a branch that are compared in one group, and pairs that a task holds before it passes them on.
+HEAVY, BATCH = 2048, 500_000
 TARGET = 0.985
 
 
@@ -132,40 +135,87 @@ def sign(texts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
     return texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, k1 long, k2 long, s1 long, s2 long, keys array<long>")
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) of class representatives that share a bucket of the forest and whose sketches allow the threshold."""
+def groups(classes: DataFrame, high: int, heavy: int = HEAVY) -> DataFrame:
+    """Rows (branch, part, side, id, s1, s2) of what is compared together: a branch of at most `heavy` rows is one part.
+
+    A larger one is dealt into blocks by id; each block is a part, and so is each pair of blocks, of which one is side 0, the other 1.
+    """
+    placed = classes.select(F.explode("keys").alias("key"), "id", "s1", "s2").select(F.shiftright("key", high).alias("branch"), "id", "s1", "s2")
+    sizes = placed.groupBy("branch").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("branch", F.ceil(F.col("n") / heavy).alias("blocks"))
+    # at most one row for `heavy` rows of a tree: short enough to be sent to every task
+    dealt = placed.join(F.broadcast(sizes), "branch", "left").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    one, two = F.least("own", "other"), F.greatest("own", "other")
+    return (
+        dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        .select("branch", F.coalesce(one * F.col("blocks") + two, F.lit(0).cast("long")).alias("part"), F.coalesce((F.col("own") > F.col("other")).cast("long"), F.lit(0).cast("long")).alias("side"), "id", "s1", "s2")
+    )
+
+
+def candidates(classes: DataFrame, threshold: float, heavy: int = HEAVY) -> DataFrame:
+    """Pairs (a < b) of class representatives that share a bucket of the forest and whose sketches allow the threshold.
+
+    Buckets are branches at the depth described above, compared in the parts that `groups` makes of them.
+    """
     high = LEVEL_BITS * (DEPTH - max(1, prefix_depth(threshold) - 1))
     bits = HASHES * BINS
     least = math.ceil(bits * (1 + threshold) / 2 - SLACK * math.sqrt(bits * (1 + threshold) * (1 - threshold)) / 2)
 
+    def alike(s1: np.ndarray, s2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return bits - sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(int) for s in (s1, s2)) >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the rows of a branch are in one partition."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        """Rows come sorted by branch, part and side; the rows of a part are in one partition."""
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            last = np.searchsorted(held[0] >> high, held[0][-1] >> high) if len(held[0]) else 0
+            differs = (held[0] != held[0][-1:]) | (held[1] != held[1][-1:])
+            last = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
             if last:
-                yield pairs(*(h[:last] for h in held))
+                yield from pairs(*(h[:last] for h in held))
                 held = [h[last:] for h in held]
-        yield pairs(*held)
-
-    def pairs(key: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
-        bucket = key >> high
-        i, step, found = np.arange(len(key)), 0, []
-        while len(i):
-            step += 1
-            i = i[i + step < len(key)]
-            i = i[bucket[i] == bucket[i + step]]
-            same = bits - sum(np.bitwise_count((s[i] ^ s[i + step]).view(np.uint64)).astype(int) for s in (s1, s2))
-            ok = i[same >= least]
-            if len(ok):
-                found.append(np.stack([np.minimum(ids[ok], ids[ok + step]), np.maximum(ids[ok], ids[ok + step])]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        both = np.unique(both, axis=1)
+        yield from pairs(*held)
+
+    def pairs(branch: np.ndarray, part: np.ndarray, side: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(ids)
+        new = (branch[1:] != branch[:-1]) | (part[1:] != part[:-1])
+        starts = np.concatenate([[0], new.nonzero()[0] + 1]) if n else np.zeros(0, np.int64)
+        ends = np.concatenate([starts[1:], [n]]) if n else starts
+        bucket = np.repeat(np.arange(len(starts)), ends - starts)
+        crossed = np.zeros(len(starts), bool)  # parts of two blocks: only pairs across them
+        crossed[bucket[side == 1]] = True
+        found, size = [], 0
+
+        def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            i, step = (~crossed[bucket]).nonzero()[0], 0
+            while len(i):
+                step += 1
+                i = i[i + step < n]
+                i = i[bucket[i] == bucket[i + step]]
+                yield i, i + step
+            for g in crossed.nonzero()[0]:
+                ones = np.arange(starts[g], ends[g])
+                others = ones[side[ones] == 1]
+                for one in ones[side[ones] == 0]:
+                    yield np.full(len(others), one), others
+
+        for i, j in steps():
+            ok = alike(s1, s2, i, j)
+            if ok.any():
+                a, b = ids[i[ok]], ids[j[ok]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                size += len(a)
+            if size > BATCH:
+                yield unique(found)
+                found, size = [], 0
+        if found:
+            yield unique(found)
+
+    def unique(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    rows = classes.select(F.explode("keys").alias("key"), "id", "s1", "s2").withColumn("branch", F.shiftright("key", high))
-    return rows.repartition("branch").sortWithinPartitions("key", "id").select("key", "id", "s1", "s2").mapInArrow(run, "a long, b long").distinct()
+    split = groups(classes, high, heavy).repartition("branch", "part").sortWithinPartitions("branch", "part", "side", "id")
+    return split.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int) -> DataFrame:

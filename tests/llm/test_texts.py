@@ -162,6 +162,18 @@ def test_candidates_of_large_buckets(spark):
         assert sorted(map(tuple, got)) == [(a, b) for a in range(n) for b in range(a + 1, n)]
 
 
+def test_heavy_branches_are_split(spark):
+    """A branch of many rows gives the same pairs in many parts of bounded size as in one."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice((5, -6)), 5, [(7 << 2 * neardup.LEVEL_BITS) | k, (9 << 2 * neardup.LEVEL_BITS) | (k % 70 << neardup.LEVEL_BITS)]) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, s1 long, s2 long, keys array<long>")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[3][0] >> 11 == b[3][0] >> 11 or a[3][1] >> 11 == b[3][1] >> 11) and a[1] == b[1]}
+    assert {tuple(r) for r in neardup.candidates(df, 0.7, heavy=10_000).collect()} == want
+    assert sorted(map(tuple, neardup.candidates(df, 0.7, heavy=50).collect())) == sorted(want)
+    sizes = [r["count"] for r in neardup.groups(df, neardup.LEVEL_BITS, 50).groupBy("branch", "part").count().collect()]
+    assert max(sizes) <= 2 * 2 * 50 and len(sizes) == 21 + 70
+
+
 TRAIN = (
     ["Bolaget växte bl.a. i Norden. Arbetet fortsätter. Se not 3. Det gick bra.", "”Vi växte!” säger vd M. Berg. Arbetet fortsätter. (Se not 4.) Bolaget ökade med 5 mkr. Det gick bra."] * 6
     + ["กำไรเพิ่มขึ้น รายได้ลดลง", "売上は増加した。「順調だ。」と社長は述べた。利益は減少した。", "Γιατί αυξήθηκε; Ο όμιλος μεγάλωσε."] * 3
