@@ -72,13 +72,16 @@ RATIOS = {
     "soliditet": ("eget kapital", "summa tillgångar"), "skuldsättningsgrad": ("summa skulder", "eget kapital"), "roe": ("årets resultat", "eget kapital"), "roa": ("årets resultat", "summa tillgångar"),
 }
 ITEMS = sorted({x for pair in RATIOS.values() for x in pair})
+#: A ratio whose numerator is a difference, and a difference that is an amount; the second operand of that is spending, whichever sign it is reported with.
+LIQUIDITY = ("omsättningstillgångar", "varulager", "kortfristiga skulder")
+CASH_FLOW = ("kassaflöde från den löpande verksamheten", "investeringar")
 
 
-def amounts_by_item(rows: DataFrame, quantities: DataFrame) -> DataFrame:
-    """document, column place, currency and amount of the rows whose labels name an item of RATIOS; of several rows the last."""
+def amounts_by_item(rows: DataFrame, quantities: DataFrame, items: list[str] = ITEMS) -> DataFrame:
+    """document, column place, currency and amount of the rows whose labels name one of the items; of several rows the last."""
     low = F.lower(strip(F.regexp_replace("label", r"^[^:]{1,24}:\s", "")))
     item = F.lit(None).cast("string")
-    for name in ITEMS:
+    for name in items:
         item = F.when(low.startswith(name) & ~low.startswith(name + " per aktie") & ~low.startswith(name + " och skulder"), name).otherwise(item)
     named = rows.select("row_id", "document", item.alias("item")).where("item is not null and document is not null")
     money = quantities.where("unit in ('sek', 'eur', 'usd')")
@@ -86,11 +89,17 @@ def amounts_by_item(rows: DataFrame, quantities: DataFrame) -> DataFrame:
 
 
 def ratios(rows: DataFrame, quantities: DataFrame) -> DataFrame:
-    """document, column, ratio and its value in per cent with one decimal, rounded half up; operands all present, denominator not 0."""
-    wide = amounts_by_item(rows, quantities).groupBy("document", "col_no", "unit").pivot("item", ITEMS).agg(F.first("amount"))
-    options = [F.struct(F.lit(name).alias("ratio"), F.col(f"`{a}`").cast("decimal(28,0)").alias("a"), F.col(f"`{b}`").cast("decimal(28,0)").alias("b")) for name, (a, b) in RATIOS.items()]
-    long = wide.select("document", "col_no", "unit", F.explode(F.array(*options)).alias("r")).where("r.a is not null and r.b is not null and r.b <> 0")
-    return long.select("document", "col_no", "unit", "r.ratio", F.round(F.col("r.a") * 100 / F.col("r.b"), 1).cast("decimal(20,1)").alias("percent"))
+    """document, column, ratio and its value: `percent` with one decimal, rounded half up, or of the free cash flow `amount`; operands all present, denominator not 0."""
+    items = sorted({*ITEMS, *LIQUIDITY, *CASH_FLOW})
+    wide = amounts_by_item(rows, quantities, items).groupBy("document", "col_no", "unit").pivot("item", items).agg(F.first("amount"))
+    of = lambda item: F.col(f"`{item}`").cast("decimal(28,0)")
+    option = lambda name, a, b: F.struct(F.lit(name).alias("ratio"), a.cast("decimal(28,0)").alias("a"), b.alias("b"))
+    assets, stock, debts = map(of, LIQUIDITY)
+    flow, spent = map(of, CASH_FLOW)
+    options = [*(option(name, of(a), of(b)) for name, (a, b) in RATIOS.items()), option("kassalikviditet", assets - stock, debts), option("fritt kassaflöde", flow - F.abs(spent), F.lit(None).cast("decimal(28,0)"))]
+    free = F.col("r.ratio") == "fritt kassaflöde"
+    long = wide.select("document", "col_no", "unit", F.explode(F.array(*options)).alias("r")).where(F.col("r.a").isNotNull() & (free | F.coalesce(F.col("r.b") != 0, F.lit(False))))
+    return long.select("document", "col_no", "unit", "r.ratio", F.round(F.col("r.a") * 100 / F.col("r.b"), 1).cast("decimal(20,1)").alias("percent"), F.when(free, F.col("r.a")).alias("amount"))
 
 
 def year_on_year(rows: DataFrame, quantities: DataFrame) -> DataFrame:

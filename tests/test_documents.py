@@ -144,6 +144,16 @@ def test_ratios_and_balance(spark):
     assert [tuple(r) for r in statements.balance_check(rows).collect()] == [("d", 100, 100, True)]
 
 
+def test_liquidity_and_free_cash_flow(spark):
+    labels = ["Omsättningstillgångar", "Varulager not 12", "Kortfristiga skulder", "Kassaflöde från den löpande verksamheten", "Investeringar i materiella tillgångar"]
+    rows = spark.createDataFrame([(k, "d", x, ["1"]) for k, x in enumerate(labels)], "row_id long, document string, label string, row_values array<string>")
+    columns = [(90, 30, 40, 50, -20), (90, 30, 0, 50, 60), (90, None, 40, 50, None)]  # a denominator of 0; operands that are missing
+    money = spark.createDataFrame([(k, n, "sek", v) for n, values in enumerate(columns) for k, v in enumerate(values) if v is not None], "row_id long, col_no int, unit string, amount long")
+    got = sorted((r.col_no, r.ratio, r.percent and float(r.percent), r.amount and int(r.amount)) for r in statements.ratios(rows, money).collect())
+    assert got == [(0, "fritt kassaflöde", None, 30), (0, "kassalikviditet", 150.0, None), (1, "fritt kassaflöde", None, -10)]
+    assert statements.year_on_year(rows, money).count() == 0
+
+
 def test_violations(spark):
     rows = spark.createDataFrame([(1, "Omsättning", ["5", None], ["2023", "2022"]), (2, None, None, None), (3, "12", ["x"], ["a", "b"])], "row_id long, label string, row_values array<string>, row_columns array<string>")
     assert sorted(map(tuple, quality.row_violations(rows).collect())) == [(2, "label length"), (2, "no value"), (3, "arity"), (3, "label without letters"), (3, "not a number")]
