@@ -1,46 +1,60 @@
 """A grammar of numbers and unit expressions.
 
 A unit is a dimension (a vector of exponents over DIMENSIONS), a scale and an offset: the value in
-the canonical unit is `number * scale + offset`. Expressions combine scale words, prefixes, powers,
-products and quotients, and their vectors add up; CANONICAL names the dimensions that have a
-canonical unit. Numbers are exact decimals throughout.
+base units is `number * scale + offset`. Expressions combine scale words, prefixes, powers, products and
+quotients: vectors add, subtract and multiply with their units. An offset belongs to a temperature that
+stands alone; within a product or quotient a temperature is a difference and has none. CANONICAL
+names the dimensions that have a canonical unit. Numbers are exact decimals.
 """
 
 from __future__ import annotations
 
 import re
-from decimal import ROUND_HALF_EVEN, Decimal
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 from functools import lru_cache
 from typing import NamedTuple
 
 from .forms import clean
 
-DIMENSIONS = ("sek", "eur", "usd", "length", "mass", "energy", "count", "share")
+CURRENCY_NAMES = ("sek", "eur", "usd", "gbp", "nok", "dkk", "chf")
+DIMENSIONS = (*CURRENCY_NAMES, "length", "mass", "time", "temperature", "count", "share")
+#: Digits that arithmetic keeps: more than any printed number has.
+EXACT = Context(prec=200, rounding=ROUND_HALF_EVEN)
 
 
 class Unit(NamedTuple):
-    """Exponents over DIMENSIONS, scale and offset."""
+    """Exponents over DIMENSIONS, scale and offset; the base units are one of each currency, m, g, s, K, pieces and the whole."""
 
     vector: tuple[int, ...]
     scale: Decimal
     offset: Decimal = Decimal(0)
 
     def __mul__(self, other: Unit) -> Unit:  # type: ignore[override]
-        return Unit(tuple(a + b for a, b in zip(self.vector, other.vector, strict=True)), self.scale * other.scale)
+        offset = self.offset if not any(other.vector) else other.offset if not any(self.vector) else Decimal(0)
+        return Unit(tuple(a + b for a, b in zip(self.vector, other.vector, strict=True)), EXACT.multiply(self.scale, other.scale), offset)
+
+    def __truediv__(self, other: Unit) -> Unit:
+        return self * other.power(-1)
 
     def power(self, n: int) -> Unit:
-        return Unit(tuple(n * a for a in self.vector), self.scale**n)
+        return self if n == 1 else Unit(tuple(n * a for a in self.vector), Context(prec=40).power(self.scale, n))
+
+    @property
+    def money(self) -> bool:
+        return any(self.vector[: len(CURRENCY_NAMES)])
 
 
-def dim(name: str = "", exponent: int = 1) -> tuple[int, ...]:
-    return tuple(exponent if d == name else 0 for d in DIMENSIONS)
+def dim(name: str = "", exponent: int = 1, **more: int) -> tuple[int, ...]:
+    exponents = {name: exponent} | more
+    return tuple(exponents.get(d, 0) for d in DIMENSIONS)
 
 
 NUMBER = dim()
+ENERGY, POWER = dim(mass=1, length=2, time=-2), dim(mass=1, length=2, time=-3)
 #: Dimension vector to the canonical unit's name and how many of it the base unit is.
 CANONICAL = {
-    dim("sek"): ("sek", 100), dim("eur"): ("eur", 100), dim("usd"): ("usd", 100), dim("energy"): ("kj", 1), dim("mass"): ("g", 1),
-    dim("length"): ("m", 1), dim("length", 2): ("m2", 1), dim("length", 3): ("l", 1000), dim("count"): ("count", 1), dim("share"): ("ppm", 1_000_000),
+    dim("sek"): ("sek", "100"), dim("eur"): ("eur", "100"), dim("usd"): ("usd", "100"), ENERGY: ("kj", "0.000001"), dim("mass"): ("g", "1"),
+    dim("length"): ("m", "1"), dim("length", 2): ("m2", "1"), dim("length", 3): ("l", "1000"), dim("count"): ("count", "1"), dim("share"): ("ppm", "1000000"),
 }
 #: Words of scale.
 SCALES = {
@@ -48,11 +62,18 @@ SCALES = {
     "mdr": 9, "md": 9, "miljard": 9, "miljarder": 9, "bn": 9, "billion": 9, "mrd": 9,
 }
 #: Names of currencies, and prefixes and endings that scale them.
-CURRENCIES = {"kr": "sek", "krona": "sek", "kronor": "sek", "sek": "sek", "eur": "eur", "euro": "eur", "€": "eur", "usd": "usd", "dollar": "usd", "$": "usd"}
+CURRENCIES = {
+    "kr": "sek", "krona": "sek", "kronor": "sek", "sek": "sek", "eur": "eur", "euro": "eur", "€": "eur", "usd": "usd", "dollar": "usd", "$": "usd", "gbp": "gbp", "£": "gbp", "pund": "gbp",
+    "nok": "nok", "dkk": "dkk", "chf": "chf",
+}
 MONEY_PREFIXES = {"t": 3, "k": 3, "m": 6, "mn": 6, "md": 9}
-#: Units with prefixes, in base units (kJ, g, m, l of 0.001 m3).
-PREFIXED = {"wh": (dim("energy"), "3.6"), "j": (dim("energy"), "0.001"), "g": (dim("mass"), "1"), "t": (dim("mass"), "1000000"), "ton": (dim("mass"), "1000000"), "m": (dim("length"), "1"), "l": (dim("length", 3), "0.001")}
+#: Units with prefixes, in base units; a litre is 0.001 m3, a joule 1,000 g m2 s-2.
+PREFIXED = {
+    "wh": (ENERGY, "3600000"), "j": (ENERGY, "1000"), "w": (POWER, "1000"), "g": (dim("mass"), "1"), "t": (dim("mass"), "1000000"), "ton": (dim("mass"), "1000000"), "m": (dim("length"), "1"), "l": (dim("length", 3), "0.001"),
+}
 PREFIXES = {"k": 3, "m": 6, "g": 9, "t": 12}
+#: Units before which a small m is a thousandth.
+MILLI = {"g", "l", "m"}
 #: Other units.
 PLAIN = {
     "öre": (dim("sek"), "0.01"), "cent": (dim("eur"), "0.01"), "meter": (dim("length"), "1"), "mil": (dim("length"), "10000"), "cm": (dim("length"), "0.01"), "mm": (dim("length"), "0.001"), "dm": (dim("length"), "0.1"),
@@ -63,7 +84,14 @@ PLAIN = {
     "%": (dim("share"), "0.01"), "procent": (dim("share"), "0.01"), "percent": (dim("share"), "0.01"), "procentenheter": (dim("share"), "0.01"), "‰": (dim("share"), "0.001"), "promille": (dim("share"), "0.001"), "ppm": (dim("share"), "0.000001"),
     "baspunkt": (dim("share"), "0.0001"), "baspunkter": (dim("share"), "0.0001"), "räntepunkt": (dim("share"), "0.0001"), "räntepunkter": (dim("share"), "0.0001"), "bps": (dim("share"), "0.0001"), "bp": (dim("share"), "0.0001"),
     "kvot": (dim("share"), "1"), "andel": (dim("share"), "1"), "ratio": (dim("share"), "1"),
+    "s": (dim("time"), "1"), "sekund": (dim("time"), "1"), "sekunder": (dim("time"), "1"), "min": (dim("time"), "60"), "minut": (dim("time"), "60"), "minuter": (dim("time"), "60"),
+    "h": (dim("time"), "3600"), "tim": (dim("time"), "3600"), "timme": (dim("time"), "3600"), "timmar": (dim("time"), "3600"), "hours": (dim("time"), "3600"), "dag": (dim("time"), "86400"), "dagar": (dim("time"), "86400"),
+    "dygn": (dim("time"), "86400"), "days": (dim("time"), "86400"), "år": (dim("time"), "31557600"), "years": (dim("time"), "31557600"), "k": (dim("temperature"), "1"), "kelvin": (dim("temperature"), "1"),
 }
+#: Temperatures with an offset.
+TEMPERATURES = {"°c": ("1", "273.15"), "celsius": ("1", "273.15"), "℃": ("1", "273.15"), "°f": ("0.5555555555555555555555555555", "255.3722222222222222222222222222"), "fahrenheit": ("0.5555555555555555555555555555", "255.3722222222222222222222222222")}
+#: Words that name a unit only beside a number, in brackets or within an expression; at a text's end they are mostly something else.
+WEAK = {"s", "h", "k", "w", "min"}
 #: What a quotient may be by without changing the kind of the amount.
 EACH = {"aktie", "aktier", "share"}
 #: Signs taken for a minus sign, as a character class.
@@ -71,6 +99,7 @@ MINUS = r"\-‐‑‒–—―−﹘﹣－"
 RAISED = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
 
 
+@lru_cache(maxsize=50_000)
 def atom(word: str) -> Unit | None:
     """One word without a blank."""
     low = word.lower().rstrip(".")
@@ -80,41 +109,70 @@ def atom(word: str) -> Unit | None:
         return Unit(dim(CURRENCIES[low]), Decimal(1))
     if low in PLAIN:
         return Unit(PLAIN[low][0], Decimal(PLAIN[low][1]))
+    if low in TEMPERATURES:
+        return Unit(dim("temperature"), *map(Decimal, TEMPERATURES[low]))
     for name, of in CURRENCIES.items():
         if low.endswith(name) and low[: -len(name)] in MONEY_PREFIXES:
             return Unit(dim(of), Decimal(10) ** MONEY_PREFIXES[low[: -len(name)]])
         if low.startswith(name) and low[len(name) :] in ("m", "mn", "k", "t", "bn"):
             return Unit(dim(of), Decimal(10) ** {"m": 6, "mn": 6, "k": 3, "t": 3, "bn": 9}[low[len(name) :]])
-    raised = re.fullmatch(r"([a-z]+)\^?([23²³])", low)
+    raised = re.fullmatch(r"([^\W\d]+)(\^?)([-−⁻]?)([0-9]|[⁰¹²³⁴-⁹])", word.rstrip("."))
     if raised:
-        base = atom(raised[1])
-        return base.power(int(raised[2].translate(RAISED))) if base and base.vector == dim("length") else None
+        base, explicit = atom(raised[1]), raised[2] or raised[3] or raised[4] in "⁰¹²³⁴⁵⁶⁷⁸⁹"
+        if base is None or not any(base.vector) or not (explicit or base.vector == dim("length") and raised[4] in "23"):
+            return None
+        return base.power(int(raised[4].translate(RAISED)) * (-1 if raised[3] else 1))
     if low in PREFIXED:
         return Unit(PREFIXED[low][0], Decimal(PREFIXED[low][1]))
     if low[:1] in PREFIXES and low[1:] in PREFIXED:
-        return Unit(PREFIXED[low[1:]][0], Decimal(PREFIXED[low[1:]][1]) * Decimal(10) ** PREFIXES[low[0]])
+        exponent = -3 if word[0] == "m" and low[1:] in MILLI else PREFIXES[low[0]]
+        return Unit(PREFIXED[low[1:]][0], Decimal(PREFIXED[low[1:]][1]) * Decimal(10) ** exponent)
     return None
 
 
-@lru_cache(maxsize=50_000)
-def parse_unit(text: str) -> Unit | None:
-    """The unit that a cleaned expression states, or None: `tkr`, `SEK 000`, `milj. kr`, `km²`, `kr/aktie`, `tusen m³`."""
-    first, *quotients = re.split(r"\s*/\s*|\s+per\s+", re.sub(r"^i\s+", "", text.strip()))
-    if any(q.lower().rstrip(".") not in EACH for q in quotients):
-        return None
-    words = [w for w in re.findall(r"000-tal|1000-tal|[€$%‰]|[^\s€$%‰]+", first) if w]
-    if not words or len(words) > 4:
-        return None
+def product(text: str) -> Unit | None:
+    """Scale words and one unit, or several units with signs of multiplication between them."""
     whole = Unit(NUMBER, Decimal(1))
-    for word in words:
-        money = any(whole.vector[:3])
-        part = Unit(NUMBER, Decimal(1_000_000)) if money and word.lower() in ("m", "mn") else atom(word)
-        if part is None or any(part.vector) and any(whole.vector):
+    for factor in re.split(r"\s*[·⋅×*]\s*", text):
+        part, empty = Unit(NUMBER, Decimal(1)), True
+        for word in re.findall(r"000-tal|1000-tal|[€$£%‰]|[^\s€$£%‰]+", factor):
+            one = Unit(NUMBER, Decimal(1_000_000)) if part.money and word.lower() in ("m", "mn") else atom(word)
+            if one is None or any(one.vector) and any(part.vector):
+                return None
+            part, empty = part * one, False
+        if empty or part.money and whole.money:
             return None
         whole *= part
+    return whole
+
+
+@lru_cache(maxsize=50_000)
+def parse_unit(text: str) -> Unit | None:
+    """The unit that a cleaned expression states, or None: `tkr`, `SEK 000`, `milj. kr`, `km²`, `kr/aktie`, `tusen m³`, `kWh/m2`, `m·s⁻¹`."""
+    first, *below = re.split(r"\s*/\s*|\s+per\s+", re.sub(r"^i\s+", "", text.strip()))
+    whole = product(first)
+    if whole is None:
+        return None
     if not any(whole.vector):  # a scale alone counts pieces
         whole = Unit(dim("count"), whole.scale)
-    return whole if not quotients or any(whole.vector[:3]) else None
+    each = False
+    for q in below:
+        if q.lower().rstrip(".") in EACH:
+            each = True
+            continue
+        part = product(q)
+        if part is None or not any(part.vector):
+            return None
+        whole = whole / part
+        if not any(whole.vector):  # equal kinds: a plain quotient
+            whole = Unit(dim("share"), whole.scale)
+    return whole if whole.money or not each else None
+
+
+def unit_text(unit: Unit) -> str:
+    """The dimension in base units: `m s-1`."""
+    names = {"length": "m", "mass": "g", "time": "s", "temperature": "K"}
+    return " ".join(names.get(d, d) + (str(n) if n != 1 else "") for d, n in zip(DIMENSIONS, unit.vector, strict=True) if n)
 
 
 FOOTNOTE = re.compile(r"(?:\s*\*+|\s*[⁰¹²³⁴-⁹]+[⁾)]?|(?<![\d.,])\s*\d{1,2}\)|\s*\(\s*not\s+\d+\s*\)|\s*\bnot\s+\d+)\s*$", re.I)
@@ -128,10 +186,25 @@ def without_footnotes(text: str) -> list[str]:
     return out
 
 
+def unitlike(word: str) -> bool:
+    return atom(word) is not None or word.lower() == "per" or word.lower().rstrip(".") in EACH or any(c in word for c in "/·⋅×*€$£%‰")
+
+
+def bare_unit(words: list[str]) -> Unit | None:
+    """The unit of words without a sign that they are one; times and weak symbols aren't taken for it."""
+    if len(words) == 1 and words[0].lower() in WEAK:
+        return None
+    unit = parse_unit(" ".join(words))
+    return unit if unit and unit.vector != dim("time") else None
+
+
 def last_unit(text: str) -> Unit | None:
-    """The unit that a text of other words ends with."""
+    """The unit that a text of other words ends with: the longest ending that is one."""
     words = text.split()
-    return next((u for n in (4, 3, 2, 1) if n < len(words) and (u := parse_unit(" ".join(words[-n:])))), None)
+    at = len(words)
+    while at > 1 and unitlike(words[at - 1]):
+        at -= 1
+    return next((u for k in range(max(at, 1), len(words)) if (u := bare_unit(words[k:]))), None)
 
 
 @lru_cache(maxsize=50_000)
@@ -142,7 +215,7 @@ def label_unit(label: str) -> Unit | None:
         bracket = re.search(r"[(\[]([^()\[\]]*)[)\]]$", text)
         if bracket and (u := parse_unit(bracket[1])):
             return u
-        before = re.match(r"([^:]{1,24}):\s", text)
+        before = re.match(r"([^:]+):\s", text)
         if before and (u := parse_unit(before[1])):
             return u
         after = re.split(r"\s[-–—−]\s|,\s", text)
@@ -162,29 +235,36 @@ def column_unit(column: str) -> Unit | None:
     for part in re.split(r"[,()\[\]:]", DATE.sub(" ", clean(column))):
         words = part.split()
         for n in range(len(words), 0, -1):
-            if u := parse_unit(" ".join(words[:n])) or parse_unit(" ".join(words[-n:])):
+            if u := bare_unit(words[:n]) or bare_unit(words[-n:]):
                 return u
     return None
 
 
 #: Words around the unit in a line that states it for a table.
 LEAD = re.compile(r"^(?:(?:alla |samtliga )?(?:belopp(?:en)?|siffror)(?: i (?:denna|tabellen))?(?: tabell)?(?: är| anges)? i|(?:all )?(?:amounts|figures)(?: in this table)?(?: are)? in|i|in)\s+", re.I)
+STATES = re.compile(r"(?:alla|samtliga|belopp|siffror|all|amounts|figures)\b|beloppen\b", re.I)
 TRAIL = re.compile(r"\s*,?\s*(?:om inget annat anges|om inte annat anges|där inte annat sägs|där inget annat sägs|unless otherwise (?:stated|indicated))\.?$", re.I)
 
 
 @lru_cache(maxsize=200_000)
 def line_unit(line: str) -> str | None:
-    """The currency unit that a line states for a table and says nothing else, or None. A line on the currency of the whole report states no unit of a table."""
+    """The unit that a line states for a table and says nothing else, or None. A line on the currency of the whole report states no unit of a table.
+
+    A line that only holds a unit, without words that say what it is for, has to name a currency: others are mostly column heads or the ends of sentences.
+    """
     text = clean(line)
-    if not 1 <= len(text) <= 80:
-        return None
     bracket = re.fullmatch(r"[(\[]\s*([^()\[\]]*?)\s*[)\]]", text)
-    body = LEAD.sub("", TRAIL.sub("", bracket[1] if bracket else text))
-    if body == text and body.endswith(".") and not body.lower().endswith("milj."):
+    body = LEAD.sub("", bracket[1] if bracket else text)
+    first = re.match(r"[€$£%‰]|[^\s€$£%‰/]+", body)
+    if first is None or not unitlike(first[0]):
+        return None
+    body = TRAIL.sub("", body)
+    said = body != (bracket[1] if bracket else text)
+    if not said and not bracket and body.endswith(".") and not body.lower().endswith("milj."):
         return None  # the last word of a sentence
-    body = body.rstrip(".") if body != text else body
+    body = body.rstrip(".") if said or bracket else body
     unit = parse_unit(body)
-    return body if unit and any(unit.vector[:3]) else None
+    return body if unit and (unit.money or STATES.match(text.lstrip("([ ")) and unit.vector != dim("time")) else None
 
 
 DIGITS = r"\d{1,3}(?: \d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,'’]\d+)*"
@@ -230,9 +310,15 @@ def parse_value(value: str) -> tuple[Decimal, Unit | None] | None:
     return (-number if negative else number), unit
 
 
-def amount(number: Decimal, unit: Unit) -> tuple[str, int] | None:
-    """Name of the canonical unit and the whole number of it, or None if the dimension has none."""
+def base_amount(number: Decimal, unit: Unit) -> Decimal:
+    """The value in base units."""
+    return EXACT.add(EXACT.multiply(number, unit.scale), unit.offset)
+
+
+def amount(number: Decimal, unit: Unit) -> tuple[str, int | None] | None:
+    """Name of the canonical unit and the whole number of it (null beyond 64 bits), or None if the dimension has none."""
     canonical = CANONICAL.get(unit.vector)
     if canonical is None:
         return None
-    return canonical[0], int(((number * unit.scale + unit.offset) * canonical[1]).to_integral_value(ROUND_HALF_EVEN))
+    whole = int(EXACT.multiply(base_amount(number, unit), Decimal(canonical[1])).to_integral_value(ROUND_HALF_EVEN, EXACT))
+    return canonical[0], whole if -(2**63) <= whole < 2**63 else None

@@ -22,6 +22,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantities.quantities(spread(table(spark, sf_dir, "financial_rows")), table(spark, sf_dir, "page_texts"))
 
 
+def p2_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of the financial rows in base units, whatever its dimension."""
+    return quantities.base_quantities(spread(table(spark, sf_dir, "financial_rows")), table(spark, sf_dir, "page_texts"))
+
+
 # Questions and rankings
 
 
@@ -394,7 +399,7 @@ def extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        bm25_topk, p2_found, bm25_filtered_topk, idf_table, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_trace, hybrid_fallback, hybrid_questions, answers, question_contexts, source_summary,
+        bm25_topk, p2_found, p2_base, bm25_filtered_topk, idf_table, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_trace, hybrid_fallback, hybrid_questions, answers, question_contexts, source_summary,
         result_lines, no_answer_flag, recall_mrr, outcome_pivot, parse_filters, expand_query, company_years, sentence_split, chunk_pack, oversize_split, byte_split, base_ids, latest_pages, text_pages_anti,
         text_chunks, fact_chunks, table_chunks, all_chunks, locate_headings, page_sections, balance_check, plain_integers, ratios, yoy_trend, row_violations, chunk_violations, repeated_ids, repeated_texts,
         metadata_export, metadata_import, document_overview, line_groups, phrases, year_clusters, interval_merge, gutter_detect, column_text, extract_rows,

@@ -4,8 +4,8 @@ from decimal import Decimal
 
 import pytest
 
-from ledgerlake.functions.units import CANONICAL, amount, column_unit, label_unit, line_unit, parse_digits, parse_unit, parse_value
-from ledgerlake.operators.quantities import quantities
+from ledgerlake.functions.units import CANONICAL, amount, base_amount, column_unit, label_unit, line_unit, parse_digits, parse_unit, parse_value, unit_text
+from ledgerlake.operators.quantities import base_quantities, quantities
 
 ROWS = "row_id long, document string, company string, label string, row_values array<string>, row_columns array<string>, page int"
 PAGES = "page_id long, document string, page_number int, text string"
@@ -49,6 +49,42 @@ def test_labels_columns_lines():
     assert parse_unit("kr i öre") is None
 
 
+@pytest.mark.parametrize(
+    "text, dimension, base",
+    [
+        ("36 km/h", "m s-1", "10"), ("2 kWh/m2", "g s-2", "7200000000"), ("5 kr/kg", "sek g-1", "0.005"), ("20 °C", "K", "293.15"), ("-40 °F", "K", "233.15"), ("3 MW", "m2 g s-3", "3000000000"), ("2 tusen GBP", "gbp", "2000"),
+        ("7 NOK", "nok", "7"), ("1,5 h", "s", "5400"), ("4 kr/°C", "sek K-1", "4"), ("6 m·s⁻¹", "m s-1", "6"), ("8 ton/år", "g s-1", "0.2535047025122"), ("3 kr/kr", "share", "3"), ("9 mg", "g", "0.009"), ("2 m^-2", "m-2", "2"),
+    ],
+)
+def test_exponents_and_offsets(text, dimension, base):
+    number, unit = parse_value(text)
+    assert unit_text(unit) == dimension and float(base_amount(number, unit)) == pytest.approx(float(base), abs=1e-9, rel=1e-9)
+
+
+def test_numbers_beyond_64_bits():
+    number, unit = parse_value("12345678901234567890 tkr")
+    assert amount(number, unit) == ("sek", None)
+    number, unit = parse_value("9" * 300 + " mdkr")
+    assert amount(number, unit) == ("sek", None)
+
+
+@pytest.mark.parametrize("line, expression", [
+    ("Belopp i milj. kr", "milj. kr"), ("(milj. kr)", "milj. kr"), ("Amounts in milj. kr unless otherwise stated", "milj. kr"), ("Siffror i GWh om inget annat anges", "GWh"), ("ton", None), ("i procent", None),
+    ("Bolaget växte med 5 mkr. Det gick bra.", None), ("Belopp i" + " " * 200 + "tkr", "tkr"),
+])
+def test_lines(line, expression):
+    assert line_unit(line) == expression
+
+
+def test_statement_above_the_row_counts(spark):
+    page = "Belopp i mkr\nVaror  5\nBelopp i GWh\nEl  7\nVatten  8"
+    rows = [(1, "d", None, "Varor", ["5"], ["2020"], 1), (2, "d", None, "El", ["7"], ["2020"], 1), (3, "d", None, "saknas", ["8"], ["2020"], 1), (4, "d", None, "Fart", ["36 km/h", "12345678901234567890 tkr"], ["2020", "2019"], 1)]
+    data = spark.createDataFrame(rows, ROWS), spark.createDataFrame([(1, "d", 1, page), (2, "d", 1, "Belopp i tkr")], PAGES)
+    mkr = 100_000_000
+    assert sorted(map(tuple, quantities(*data).collect())) == [(1, 1, "sek", 5 * mkr), (2, 1, "kj", 25_200_000_000), (3, 1, "sek", 8 * mkr), (4, 2, "sek", None)]
+    assert (4, 1, "m s-1", 10.0) in [tuple(r) for r in base_quantities(*data).collect()]
+
+
 def test_nearest_statement_counts(spark):
     rows = [
         (1, "d", None, "Resultat", ["5 MSEK", "6", None, "–"], ["2020", "2019", "2018", "2017"], 1),
