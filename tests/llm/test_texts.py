@@ -79,13 +79,39 @@ def test_quality_does_not_depend_on_the_cuts(spark):
     assert {k: r.kind for k, r in whole.items()} == {k: kind for k, (_, kind) in texts.items()}
     for size, run in ((40, 2), (97, 3)):
         parts = {r.doc_id: r for r in quality.quality(docs, common, chunk=size, run=run).collect()}
-        for k, r in whole.items():
-            assert (parts[k].kind, parts[k].n_chars, parts[k].n_words) == (r.kind, r.n_chars, r.n_words)
-            assert parts[k].list_share == pytest.approx(r.list_share, abs=0.02)
+        assert parts == whole
     assert whole[8].n_words == 0 and whole[10].n_chars == 0
     assert quality.quality(docs.limit(0), common).count() == 0
 
 
+def test_quality_is_equal_for_random_cuts():
+    """Every statistic, over texts with runs of blanks, long tokens, repeated words and closing signs, whole and merged from chunks in any order of merging."""
+    rng = random.Random(5)
+    pieces = ["ord", "Det gick bra.", " " * 60, "\n", "\n\n", "5 320", "(not 3)", "; ", " | ", "\t", "”", ".", " ....... 14", "- ett", "x" * 70, "財務部門は売掛金。", "och,", "\u00a0\u00a0", "Ã", "กำไร", "bcdfghjklm", "1) två"]
+    common = frozenset(["och", "det"])
+    for n in range(400):
+        some = rng.sample(pieces, rng.randrange(1, len(pieces)))
+        text = rng.choice(["", " "]).join(rng.choice(some) for _ in range(rng.randrange(1, 150)))
+        whole = quality.whole_text(text, common, 32)
+        for size in (1, 7, 50, 300):
+            states = [quality.state(x, common, 32) for x in quality.cut(text, size, 32)]
+            assert "".join(quality.cut(text, size, 32)) == text
+            while len(states) > 1:
+                k = rng.randrange(len(states) - 1)
+                states[k : k + 2] = [quality.merge(states[k], states[k + 1])]
+            s = states[0]
+            assert quality.result(s, len(text), len(s.vocabulary), len(s.pairs)) == whole, (n, size)
+
+
+def test_quality_ends_and_repetition():
+    no_words = frozenset()
+    assert quality.whole_text("Det gick bra." + " " * 60 + "\nutan slut", no_words)[4] == 0.5
+    names = ["".join(map(chr, (97 + k // 26, 97 + k % 26, 120))) for k in range(500)]
+    for distinct, times, kind in ((40, 100, "junk"), (41, 100, "junk"), (500, 20, "junk"), (500, 1, None), (500, 2, None)):
+        assert quality.whole_text("\n".join([" ".join(names[:distinct]) + "."] * times), no_words)[9] == kind
+    assert quality.whole_text("och, och och.", frozenset(["och"]))[5] == 1.0
+
+
 def test_repeated_lines(spark):
     rows = [(p, "d", n, f"Sidfot  {n} \n\nrad {p}\nÅRSREDOVISNING") for p, n in enumerate([1, 2, 3, 4, 5, 5, 6])] + [(20, "e", 1, "sidfot 1"), (21, "d", 7, None), (22, None, 8, "Sidfot 8"), (23, "d", 9, "")]
     df = spark.createDataFrame(rows, "page_id long, document string, page_number int, text string")
