@@ -1,57 +1,182 @@
-"""Okapi BM25 as relations: postings, document lengths and inverse document frequencies.
+"""Okapi BM25 over a stored index.
 
-Only the postings of query terms are touched. Statistics come from the whole corpus, also where a
-filter restricts what may be found. The three scalars of the corpus are single numbers on the driver.
+The corpus is tokenised once, into one row per document (its terms and how often it has them), written to the
+shared folder; statistics and every search read that. Statistics come from the whole corpus, also where a filter
+restricts what may be found; the scalars of the corpus are single numbers on the driver.
+
+A search deals queries into blocks and documents into slices of bounded size, within each value of the column
+that has to be equal, if there is one; every block meets every slice of its value in a group of its own. There the
+postings of the terms that the block asks for are sorted by term, so each query adds up short runs of them and
+touches no other posting. A group passes on its k best documents of each query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..scratch import durable_table
 
 #: The usual parameters of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms that are sent to every task at most; more are joined by shuffle.
-TERMS = 400_000
+#: Queries of a block and postings of a slice, about.
+BLOCK, SLICE = 1024, 400_000
+
+
+class Index(NamedTuple):
+    """Stored documents (doc, dl, `terms` of term and tf, columns to filter by), weights (term, df, idf), number of documents and mean length."""
 
+    stored: DataFrame
+    weights: DataFrame
+    documents: int
+    mean: float
 
-def postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, term, tf and dl (tokens of the document, repetitions counted). Texts without tokens have no row.
+
+def postings(corpus: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, term, tf and dl (tokens of the document, repetitions counted) and the columns to keep. Texts without tokens have no row.
 
     Texts are hashed to partitions by document once; whatever is grouped by document later stays there.
     """
-    words = corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).repartition("doc").select("doc", tokens(F.col("_text")).alias("_words"))
-    return words.select("doc", F.size("_words").alias("dl"), F.explode("_words").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+    words = corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), *keep, F.col(text_col).alias("_text")).repartition("doc").select("doc", *keep, tokens(F.col("_text")).alias("_words"))
+    return words.select("doc", *keep, F.size("_words").alias("dl"), F.explode("_words").alias("term")).groupBy("doc", "term", "dl", *keep).agg(F.count("*").alias("tf"))
 
 
 def term_weights(index: DataFrame, documents: int, epsilon: float = EPSILON) -> DataFrame:
     """term, df and idf; where more than half of the documents hold the term, epsilon times the mean idf of all terms."""
-    raw = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    counts = durable_table(index.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    raw = counts.withColumn("raw", F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
+def counted(corpus: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, the columns to keep, dl and `terms` (term and tf) of each text with tokens, counted where the text lies: nothing is shuffled."""
+    kinds = dict(corpus.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            length = pc.list_value_length(lists).to_numpy()
+            words = pc.dictionary_encode(lists.flatten())
+            size = max(len(words.dictionary), 1)
+            pair, tf = np.unique(np.repeat(np.arange(len(lists)), length) * size + words.indices.to_numpy(), return_counts=True)
+            terms = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pair % size)), pa.array(tf, pa.int64())], names=["term", "tf"])
+            edges = pa.array(np.searchsorted(pair // size, np.arange(len(lists) + 1)), pa.int32())
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(length, pa.int32()), pa.ListArray.from_arrays(edges, terms)], names=["doc", *keep, "dl", "terms"])
+            yield out.filter(pa.array(length > 0))
+
+    spoken = corpus.select(F.col(id_col).alias("doc"), *keep, F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("_words"))
+    return spoken.mapInArrow(run, f"doc {kinds[id_col]}, " + "".join(f"`{c}` {kinds[c]}, " for c in keep) + "dl int, terms array<struct<term:string,tf:long>>")
+
+
+def index_of(rows: DataFrame, documents: int) -> Index:
+    """The index of counted documents; every document counts in the mean length, also one without tokens."""
+    stored = durable_table(rows, "index")
+    held = stored.agg(F.sum("dl")).first()[0] or 0
+    weights = term_weights(stored.select(F.explode("terms.term").alias("term")), documents)
+    return Index(stored, weights, documents, held / documents if held else 1.0)
+
+
+def build(corpus: DataFrame, id_col: str = "doc", text_col: str = "text", keep: tuple[str, ...] = ()) -> Index:
+    """Tokenises the corpus and stores its index. Ids are unique."""
+    return index_of(counted(corpus, id_col, text_col, keep), corpus.count())
+
+
 def query_terms(queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
     """query, term and how often the query says it."""
     return queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """query, doc and score (six decimals) of every document that holds a term of the query and scores above 0."""
-    index = postings(corpus, id_col, text_col)
-    size = corpus.select(F.count("*").alias("n"), F.avg(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0))).alias("mean")).first()
-    mean = float(size["mean"] or 1.0) or 1.0
-    weights = term_weights(index, size["n"])
-    terms = query_terms(queries, query_id, query_text)
-    asked = terms.join(weights, "term")
-    if terms.count() <= TERMS:  # the documents' partitioning is kept and scores are summed without a shuffle
-        asked = F.broadcast(asked)
-    tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / mean))
-    found = index.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return found.where("score > 0")
+def _pairs(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of a column of lists of pairs: the row, the first and the second of each pair."""
+    array = lists.combine_chunks()
+    flat = array.flatten()
+    return np.repeat(np.arange(len(array)), pc.list_value_length(array).to_numpy(zero_copy_only=False)), flat.field(0), flat.field(1).to_numpy(zero_copy_only=False)
+
+
+def _group_best(queries: pa.Table, docs: pa.Table, k: int, mean: float, limits: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For the queries of a block their k best documents of a slice: places of queries, places of documents, scores."""
+    q_row, q_term, weight = _pairs(queries["terms"])
+    d_row, d_term, tf = _pairs(docs["terms"])
+    vocabulary = pc.unique(q_term)
+    asked = pc.index_in(d_term, value_set=vocabulary)
+    held = asked.is_valid().to_numpy(zero_copy_only=False)
+    d_row, tf, term = d_row[held], tf[held].astype(np.float64), asked.drop_null().to_numpy()
+    length = docs["dl"].to_numpy()[d_row]
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    order = np.argsort(term, kind="stable")
+    d_row, part = d_row[order], part[order]
+    edge = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    place = np.empty(len(docs), np.int64)  # of equal scores the least id counts
+    place[pc.sort_indices(docs["doc"]).to_numpy()] = np.arange(len(docs))
+    codes = [(col, pc.dictionary_encode(docs[col]).combine_chunks(), queries[f"_{col}"].to_pylist()) for col in limits]
+    q_term = pc.index_in(q_term, value_set=vocabulary).to_numpy()
+    found: tuple[list, list, list] = ([], [], [])
+    starts = np.searchsorted(q_row, np.arange(len(queries) + 1))
+    for q in range(len(queries)):
+        mine = slice(starts[q], starts[q + 1])
+        runs = [(edge[t], edge[t + 1], w) for t, w in zip(q_term[mine], weight[mine], strict=True) if edge[t] < edge[t + 1]]
+        if not runs:
+            continue
+        score = np.round(np.bincount(np.concatenate([d_row[a:b] for a, b, _ in runs]), np.concatenate([part[a:b] * w for a, b, w in runs]), len(docs)), 6)
+        for _, values, sets in codes:
+            if sets[q]:
+                fits = np.append(pc.is_in(values.dictionary, value_set=pa.array(sets[q], values.dictionary.type)).to_numpy(zero_copy_only=False), False)
+                score[~fits[values.indices.fill_null(len(fits) - 1).to_numpy(zero_copy_only=False)]] = 0
+        best = (score > 0).nonzero()[0]
+        if len(best) > k:
+            best = best[score[best] >= np.partition(score[best], -k)[-k]]
+        best = best[np.lexsort((place[best], -score[best]))][:k]
+        found[0].append(np.full(len(best), q))
+        found[1].append(best)
+        found[2].append(score[best])
+    return found
+
+
+def search(index: Index, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", allowed: Column | None = None, same: tuple[str, str] | None = None, within: tuple[tuple[str, str], ...] = (), block: int = BLOCK, postings_slice: int = SLICE) -> DataFrame:
+    """The k best documents of each query: query, doc, score (six decimals, above 0) and rank; equal scores by id.
+
+    Filters apply before the k are taken, all on kept columns of the index: `allowed` is one for all queries; `same` names a column and one of the
+    queries that have to be equal (null equals nothing); `within` names pairs of a column and an array of the queries that has
+    to hold its value (null or empty: any). Null texts and terms that no document holds ask nothing.
+    """
+    own, asked = [F.col(c) if same else F.lit(0) for c in (same or ("", ""))]
+    limits = [c for c, _ in within]
+    said = query_terms(queries, query_id, query_text).join(index.weights, "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("terms"))
+    given = queries.select(F.col(query_id).alias("query"), asked.alias("_k"), *(F.col(a).alias(f"_{c}") for c, a in within)).where("_k is not null").join(said, "query")
+    rows = (index.stored if allowed is None else index.stored.where(allowed)).select("doc", "dl", "terms", own.alias("_k"), *limits).where("_k is not null")
+    slices = rows.groupBy("_k").agg(F.ceil(F.sum(F.size("terms")) / postings_slice).alias("_slices"))
+    blocks = given.groupBy("_k").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = given.join(slices, "_k").join(blocks, "_k").withColumn("_b", F.pmod(F.xxhash64("query"), "_blocks")).withColumn("_s", every("_slices")).drop("_slices", "_blocks")
+    right = rows.join(slices, "_k").join(blocks, "_k").withColumn("_s", F.pmod(F.xxhash64("doc"), "_slices")).withColumn("_b", every("_blocks")).drop("_slices", "_blocks")
+    mean = index.mean
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        found = _group_best(one, other, k, mean, limits) if len(one) and len(other) else ([], [], [])
+        q, d, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        return pa.Table.from_arrays([one["query"].take(pa.array(q, pa.int64())), other["doc"].take(pa.array(d, pa.int64())), pa.array(s, pa.float64())], names=["query", "doc", "score"])
+
+    kinds = given.schema["query"].dataType.simpleString(), rows.schema["doc"].dataType.simpleString()
+    out = left.groupBy("_k", "_s", "_b").cogroup(right.groupBy("_k", "_s", "_b")).applyInArrow(run, f"query {kinds[0]}, doc {kinds[1]}, score double")
+    return top_k(out, k)
+
+
+def scores(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """query, doc and score of every document that holds a term of the query and scores above 0: all hits, as a join of postings."""
+    index = build(corpus, id_col, text_col)
+    asked = query_terms(queries, query_id, query_text).join(index.weights, "term")
+    tf = F.col("t.tf").cast("double")
+    part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / index.mean))
+    held = index.stored.select("doc", "dl", F.explode("terms").alias("t")).join(asked, F.col("t.term") == asked["term"])
+    return held.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, tie: Column | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +20,8 @@ EXPANSIONS = {
     "fritt kassaflöde": ["kassaflöde från den löpande verksamheten", "investeringar"],
     "ebitda": ["rörelseresultat", "avskrivningar"],
 }
-#: A closed list of companies may be sent to the tasks up to this length.
-COMPANIES = 20_000
+#: Characters that a company's name is looked up by.
+GRAM = 4
 RANGE = r"((?:19|20)\d{2})\s*[/\-–]\s*(\d{4}|\d{2})"
 
 
@@ -45,22 +43,30 @@ def year_candidates(query: Column) -> Column:
     return F.array_distinct(F.concat(short, F.flatten(years), F.flatten(F.transform(alone, lambda y: both(y.cast("int"))))))
 
 
+def named_companies(queries: DataFrame, companies: DataFrame, query_id: str, text_col: str) -> DataFrame:
+    """query_id, text and the alphabetically first company that the text contains, of the texts that contain one.
+
+    A name is looked up by its first GRAM characters among all stretches of that length of a text, then compared whole: a join on
+    short keys, whatever the number of companies. A name of fewer characters is looked up by itself.
+    """
+    names = companies.where("company is not null and company <> ''").select("company", F.substring("company", 1, GRAM).alias("_gram")).distinct()
+    low = F.lower(text_col)
+    lengths = F.sequence(F.lit(1), F.lit(GRAM))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(text_col)), lambda at: F.transform(lengths, lambda n: F.substring(low, at, n)))))
+    texts = queries.where(F.length(text_col) > 0).select(query_id, text_col).distinct().select(query_id, text_col, F.explode(grams).alias("_gram"))
+    return texts.join(names, "_gram").where(F.contains(low, F.col("company"))).groupBy(query_id, text_col).agg(F.min("company").alias("company"))
+
+
 def parse_filters(queries: DataFrame, company_years: DataFrame, query_id: str = "query_id", text_col: str = "text") -> DataFrame:
     """`queries` with `company` (null if none is named) and `years` (sorted, empty if none is valid).
 
     The company is the alphabetically first that the question contains; valid years are its own, or
-    those of all companies. A year that straddles the edge of a range isn't told apart from it. The
-    companies are a closed list, checked to be short, and become one pattern; nothing is cross joined.
+    those of all companies (distinct fiscal years, a list that the calendar bounds). A year that straddles the edge of a range isn't told apart from it.
     """
-    known = [r[0] for r in company_years.select("company").where("company is not null and company <> ''").distinct().orderBy("company").limit(COMPANIES + 1).collect()]
-    if len(known) > COMPANIES:
-        raise ValueError("too many companies for one pattern")
-    low = F.lower(text_col)
-    pattern = "(?=(" + "|".join(re.escape(c) for c in known) + "))" if known else "(?!)()"
-    named = F.array_min(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
     own = company_years.groupBy(F.col("company").alias("_company")).agg(F.array_distinct(F.flatten(F.collect_list("fiscal_years"))).alias("_own"))
     every = company_years.select(F.explode("fiscal_years").alias("y")).distinct().agg(F.collect_set("y")).first()[0]
-    some = queries.withColumn("company", named).withColumn("_candidates", year_candidates(F.col(text_col)))
-    joined = some.join(F.broadcast(own), F.col("company") == F.col("_company"), "left")
+    named = named_companies(queries, company_years, query_id, text_col).select(F.col(query_id).alias("_id"), F.col(text_col).alias("_text"), "company")
+    some = queries.join(named, F.col(query_id).eqNullSafe(F.col("_id")) & (F.col(text_col) == F.col("_text")), "left").withColumn("_candidates", year_candidates(F.col(text_col)))
+    joined = some.join(own, F.col("company") == F.col("_company"), "left")
     valid = F.when(F.col("company").isNotNull(), F.coalesce("_own", F.array().cast("array<string>"))).otherwise(F.array(*map(F.lit, sorted(every))) if every else F.array().cast("array<string>"))
     return joined.withColumn("years", F.sort_array(F.array_intersect("_candidates", valid))).select(*queries.columns, "company", "years")

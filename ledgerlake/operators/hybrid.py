@@ -5,10 +5,13 @@ Queries are rows: one question and a batch go through the same plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_id
+from ..scratch import durable_table
 from ..tables import union_all
 
 #: Constant of the fusion, depth of each ranking, and hits below which a filter is given up.
@@ -30,6 +33,19 @@ def trace(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
     return scored.withColumn("fused_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("rrf_score").desc(), "doc")))
 
 
+def search_with_fallback(rank: Callable[[DataFrame, bool], list[DataFrame]], queries: DataFrame, few: int = FEW) -> list[DataFrame]:
+    """The rankings of all queries: a query with a filter whose narrow rankings have fewer than `few` hits together is ranked again without it, a query without one is ranked widely.
+
+    queries: query, `filtered` (whether it has a filter) and whatever `rank(queries, narrow)` needs; the narrow rankings are kept while hits are counted, so only the queries given up are ranked again.
+    """
+    narrow = [durable_table(r.select("query", "doc", "rank"), "narrow") for r in rank(queries.where("filtered"), True)]
+    hits = union_all(*(r.select("query") for r in narrow)).groupBy("query").agg(F.count("*").alias("_n"))
+    counted = queries.join(hits, "query", "left").where(~F.col("filtered") | (F.coalesce("_n", F.lit(0)) < few)).drop("_n")
+    widely = durable_table(counted, "widely")
+    wide = rank(widely, False)
+    return [union_all(a.join(widely.select("query"), "query", "left_anti"), b.select("query", "doc", "rank")) for a, b in zip(narrow, wide, strict=True)]
+
+
 def with_fallback(filtered: list[DataFrame], unfiltered: list[DataFrame], queries: DataFrame, few: int = FEW) -> list[DataFrame]:
     """For each query the filtered rankings, or all unfiltered ones if the filtered have fewer than `few` hits together and a filter was set.
 

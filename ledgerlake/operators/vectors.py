@@ -1,99 +1,84 @@
 """Exact nearest neighbours of a stated query set, in blocks, and a substitute embedding.
 
-The query vectors are held in the tasks as a matrix; their number is checked before they are sent, and a
-larger set goes through in several blocks. Each batch of rows is one matrix product and gives its
-own k best for each query, so what is shuffled is k rows for each query and task, not all pairs.
+Queries are dealt into blocks and rows into slices, both of bounded size, within each value of the column that has
+to be equal, if there is one; every block meets every slice of its value in a group of its own, as one matrix
+product. A group passes on the k best rows of each of its queries, so what is ranked at the end is k rows for
+each query and slice, not all pairs. Nothing is collected: the numbers of blocks and slices come from joins
+on counts, and a value that holds any share of the rows is only cut into more slices.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import union_all
+#: Query vectors of a block and rows of a slice, about; and dimensions of the substitute embedding.
+BLOCK, SLICE, DIMENSIONS = 1024, 8192, 64
 
-#: Query vectors of one block, numbers of a query matrix that one task holds at most, and dimensions of the substitute embedding.
-BLOCK, NUMBERS, DIMENSIONS = 4096, 16_000_000, 64
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of unit length."""
+    out = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
-def _allowed(given: list, sets: list) -> np.ndarray:
-    """Whether each query's set of values (null or empty: any) holds each row's value: queries x rows. A null value is in no set."""
-    values, kinds = {v: n for n, v in enumerate(dict.fromkeys(given))}, {s: n for n, s in enumerate(dict.fromkeys(sets))}
-    table = np.array([[not s or v in s for v in values] for s in kinds], bool)
-    return table[np.array([kinds[s] for s in sets])][:, np.array([values[v] for v in given])]
-
-
-def _block(rows: DataFrame, queries: list, k: int, query_key: list | None, within: list[list] = ()) -> DataFrame:
-    ids = np.array([q[0] for q in queries], np.int64)
-    matrix = np.array([q[1] for q in queries], np.float64).reshape(len(queries), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    keys = None if query_key is None else np.array(query_key, object)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column(0).to_numpy()
-            vectors = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(docs), -1)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            like = np.round(matrix @ vectors.T, 6)
-            if keys is not None:
-                like[keys[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
-            for n, sets in enumerate(within):
-                like[~_allowed(batch.column(n + 2 + (keys is not None)).to_pylist(), sets)] = -np.inf
-            order = np.lexsort((np.broadcast_to(docs, like.shape), -like), axis=1)[:, :k]
-            best.append((np.repeat(ids, order.shape[1]), docs[order].reshape(-1), np.take_along_axis(like, order, 1).reshape(-1)))
-            if sum(len(b[0]) for b in best) > 4 * k * len(ids):
-                best = [_best(best, k)]
-        q, d, s = _best(best, k) if best else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        keep = np.isfinite(s)
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(d[keep]), pa.array(s[keep])], names=["query", "doc", "similarity"])
-
-    return rows.mapInArrow(run, "query long, doc long, similarity double")
-
-
-def _best(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    q, d, s = (np.concatenate([p[j] for p in parts]) for j in range(3))
-    order = np.lexsort((d, -s, q))
-    q, d, s = q[order], d[order], s[order]
-    first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
-    place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-    keep = place < k
-    return q[keep], d[keep], s[keep]
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", same: tuple[str, str] | None = None, within: list[tuple[str, str]] = ()) -> DataFrame:
+def _allowed(given: list, sets: list[frozenset]) -> np.ndarray:
+    """Whether each query's set of values (empty: any) holds each row's value: queries x rows. A null value is in no set."""
+    values, kinds = {v: n for n, v in enumerate(dict.fromkeys(given))}, {s: n for n, s in enumerate(dict.fromkeys(sets))}
+    held = np.array([[not s or v in s for v in values] for s in kinds], bool)
+    return held[np.array([kinds[s] for s in sets])][:, np.array([values[v] for v in given])]
+
+
+def _best(queries: pa.Table, rows: pa.Table, k: int, limits: int) -> pa.Table:
+    """The k most alike rows of each query of a group, ties by id: all that reach the k-th likeness, then ranked."""
+    found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    if len(queries) and len(rows):
+        ids, docs = queries["query"].to_numpy(), rows["doc"].to_numpy()
+        like = np.round(_matrix(queries["vector"]) @ _matrix(rows["vector"]).T, 6)
+        like[~np.isfinite(like)] = -np.inf
+        for n in range(limits):
+            like[~_allowed(rows[f"_w{n}"].to_pylist(), [frozenset(x or ()) for x in queries[f"_w{n}"].to_pylist()])] = -np.inf
+        floor = np.partition(like, -k, axis=1)[:, -k] if k < len(docs) else np.full(len(ids), -np.inf)
+        q, d = ((like >= floor[:, None]) & np.isfinite(like)).nonzero()
+        s = like[q, d]
+        order = np.lexsort((docs[d], -s, q))
+        q, d, s = q[order], d[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < k
+        found = [ids[q[keep]], docs[d[keep]], s[keep]]
+    return pa.Table.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query", "doc", "similarity"])
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", vector_col: str = "vector", query_id: str = "query", query_vector: str = "vector", same: tuple[str, str] | None = None, within: list[tuple[str, str]] = (), block: int = BLOCK, rows_slice: int = SLICE) -> DataFrame:
     """The k most alike rows of each query by cosine (six decimals): query, doc, similarity, rank; ties by id.
 
-    `same` names a column of rows and one of queries that have to be equal; `within` pairs of a column of rows and an array
-    of queries that has to hold its value (null or empty: any). Both apply before the k are taken. Null vectors have no row and
-    ask nothing. Queries are read in blocks of BLOCK, each checked to be of bounded size; a query finds itself if it is a row.
+    `same` names a column of rows and one of queries that have to be equal (null equals nothing); `within` pairs of a column of rows and an array
+    of queries that has to hold its value (null or empty: any). Both apply before the k are taken. Null and empty vectors have no row and
+    ask nothing, vectors of different lengths aren't compared; a vector of zeros has likeness 0. Ids are unique; a query finds itself if it is a row.
     """
-    asked = queries.where(F.col(query_vector).isNotNull())
-    columns = [F.col(query_id).cast("long"), F.col(query_vector).cast("array<double>"), *([F.col(same[1])] if same else []), *(F.col(c) for _, c in within)]
-    total = asked.count()
-    data = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), *([F.col(same[0])] if same else []), *(F.col(c) for c, _ in within))
-    blocks = max(1, -(-total // BLOCK))
-    out = None
-    for n in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n)
-        held = [tuple(r) for r in block.select(*columns).limit(2 * BLOCK + 1).collect()]
-        if len(held) > 2 * BLOCK or len(held) * len(held[0][1] if held else []) > NUMBERS:
-            raise ValueError("query vectors are too long for one block")
-        if held:
-            sets = [[frozenset(h[n + 2 + bool(same)] or ()) for h in held] for n in range(len(within))]
-            part = _block(data, held, k, [h[2] for h in held] if same else None, sets)
-            out = part if out is None else union_all(out, part)
-    if out is None:
-        out = data.sparkSession.createDataFrame([], "query long, doc long, similarity double")
+    own, asked = [F.col(c) if same else F.lit(0) for c in (same or ("", ""))]
+    ks = ["_k", "_size"]
+    data = rows.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).alias("vector"), own.alias("_k"), F.size(vector_col).alias("_size"), *(F.col(c).alias(f"_w{n}") for n, (c, _) in enumerate(within)))
+    given = queries.select(F.col(query_id).cast("long").alias("query"), F.col(query_vector).alias("vector"), asked.alias("_k"), F.size(query_vector).alias("_size"), *(F.col(c).alias(f"_w{n}") for n, (_, c) in enumerate(within)))
+    data, given = (df.where("_size > 0 and _k is not null") for df in (data, given))
+    slices = data.groupBy(*ks).agg(F.ceil(F.count("*") / rows_slice).alias("_slices"))
+    blocks = given.groupBy(*ks).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = given.join(slices, ks).join(blocks, ks).withColumn("_b", F.pmod(F.xxhash64("query"), "_blocks")).withColumn("_s", every("_slices")).drop("_slices", "_blocks")
+    right = data.join(slices, ks).join(blocks, ks).withColumn("_s", F.pmod(F.xxhash64("doc"), "_slices")).withColumn("_b", every("_blocks")).drop("_slices", "_blocks")
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        return _best(one, other, k, len(within))
+
+    out = left.groupBy(*ks, "_s", "_b").cogroup(right.groupBy(*ks, "_s", "_b")).applyInArrow(run, "query long, doc long, similarity double")
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "doc")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -117,7 +102,7 @@ class HashingEmbedder:
             for word in re.findall(r"\w+", text.lower()):
                 h = known.get(word)
                 if h is None:
-                    h = known[word] = zlib.crc32(word.encode())
+                    h = known[word] = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
                 out[row, (h >> 1) % self.dimensions] += 1 - 2 * (h & 1)
         return out
 
@@ -129,10 +114,10 @@ def embed(texts: DataFrame, id_col: str, text_col: str, keep: list[str], embedde
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = batch.column(batch.num_columns - 1).to_pylist()
-            vectors = embedder.encode([prefix + (t or "") for t in given])
-            length = np.linalg.norm(vectors, axis=1)
-            rows = [(v / n).tolist() if n > 0 and t is not None else None for v, n, t in zip(vectors, length, given, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float32()))], names=[id_col, *keep, "vector"])
+            vectors = embedder.encode([prefix + t if t else "" for t in given]).astype(np.float64)
+            length = np.linalg.norm(vectors, axis=1, keepdims=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(given) + 1) * vectors.shape[1], pa.int32()), pa.array((vectors / np.maximum(length, 1e-12)).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.compute.if_else(pa.array(length[:, 0] > 0), lists, None)], names=[id_col, *keep, "vector"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", vector array<float>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", vector array<double>"
     return texts.select(id_col, *keep, text_col).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_id, capitalised, plain_integer, sentences
 from ..operators import answer, bm25, chunking, evaluate, filters, hybrid, layout, quality, quantities, statements, vectors
+from ..scratch import durable_table
 from ..sources import files
 from ..tables import spread, table, union_all
 from .core_sql import SQL as SQL
@@ -43,14 +44,13 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each question."""
-    return bm25.top_k(bm25.scores(questions(spark, sf_dir), _corpus(spark, sf_dir)), 10).select("query", "doc", "score", "rank")
+    return bm25.search(bm25.build(_corpus(spark, sf_dir)), questions(spark, sf_dir), 10)
 
 
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best fact chunks of each question; statistics of all chunks."""
-    facts = _corpus(spark, sf_dir).where("chunk_type = 'fact'").select("doc")
-    scored = bm25.scores(questions(spark, sf_dir), _corpus(spark, sf_dir)).join(facts, "doc", "left_semi")
-    return bm25.top_k(scored, 10).select("query", "doc", "score", "rank")
+    index = bm25.build(_corpus(spark, sf_dir), keep=("chunk_type",))
+    return bm25.search(index, questions(spark, sf_dir), 10, allowed=F.col("chunk_type") == "fact")
 
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,61 +72,73 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows, rows.where(F.col("doc") % EACH == 0).withColumnRenamed("doc", "query"), 10, same=("label", "label"))
 
 
-def _two_rankings(spark: SparkSession, sf_dir: str, same_company: bool = False) -> tuple[list[DataFrame], DataFrame]:
-    """Documents with an embedding ranked by vector and by text, for every one whose id is divisible by EACH; at most to the usual depth."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("doc"), "text", "company", F.col("embedding").alias("vector"))
-    asked = docs.where(F.col("doc") % EACH == 0).withColumnRenamed("doc", "query")
-    queries = asked.select("query", F.col("company").isNotNull().alias("filtered"))
-    by_text = bm25.scores(asked, docs, "query", "text")
-    by_vector = vectors.nearest(docs, asked, hybrid.DEPTH, same=("company", "company") if same_company else None)
-    if same_company:
-        one, two = asked.select("query", F.col("company").alias("c")), docs.select("doc", F.col("company").alias("c"))
-        by_text = by_text.join(one, "query").join(two, ["doc", "c"]).select("query", "doc", "score")
-        named = queries.where("filtered").select("query")
-        by_vector = by_vector.join(named, "query", "left_semi")
-    return [by_vector, bm25.top_k(by_text, hybrid.DEPTH)], queries
+def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame]:
+    """Documents, embeddings of documents, the index of their texts, and the queries: every document whose id is divisible by EACH, with its text and, if it has one, its embedding."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "company")
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")).join(docs.select("doc", "company"), "doc", "left")
+    asked = docs.where(F.col("doc") % EACH == 0).join(held.select("doc", "vector"), "doc", "left").withColumnRenamed("doc", "query")
+    return docs, held, bm25.build(spread(docs), keep=("company",)), durable_table(asked, "asked")
+
+
+def _everywhere(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Embeddings ranked by vector and documents by text, to the usual depth."""
+    _, held, index, asked = _two_rankings(spark, sf_dir)
+    return [vectors.nearest(held, asked, hybrid.DEPTH), bm25.search(index, asked, hybrid.DEPTH, "query")]
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rankings fused."""
-    return hybrid.fuse(_two_rankings(spark, sf_dir)[0]).where("fused_rank <= 10")
+    return hybrid.fuse(_everywhere(spark, sf_dir)).where("fused_rank <= 10")
 
 
 def hybrid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused ranking with the rank that each method gave."""
-    return hybrid.trace(*_two_rankings(spark, sf_dir)[0])
+    return hybrid.trace(*_everywhere(spark, sf_dir))
 
 
 def hybrid_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rankings among the documents of the query's company; among all where that leaves fewer than three hits or names none."""
-    every, queries = _two_rankings(spark, sf_dir)
-    own, _ = _two_rankings(spark, sf_dir, same_company=True)
-    unnamed = queries.where("not filtered").select("query")
-    own = [union_all(a, b.join(unnamed, "query", "left_semi").select(*a.columns)) for a, b in zip(own, every, strict=True)]
-    return hybrid.trace(*hybrid.with_fallback(own, every, queries)).where("fused_rank <= 10").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
+    _, held, index, asked = _two_rankings(spark, sf_dir)
 
+    def rank(some: DataFrame, narrow: bool) -> list[DataFrame]:
+        same = ("company", "company") if narrow else None
+        return [vectors.nearest(held, some, hybrid.DEPTH, same=same), bm25.search(index, some, hybrid.DEPTH, "query", same=same)]
 
-def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions over chunks from end to end: filters, expansion, hashed vectors and text, fallback, fusion; the eight best."""
+    chosen = hybrid.search_with_fallback(rank, asked.withColumn("filtered", F.col("company").isNotNull()))
+    return hybrid.trace(*chosen).where("fused_rank <= 10").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over chunks from end to end: filters, expansion, hashed vectors and text, fallback, fusion."""
     corpus = _corpus(spark, sf_dir)
-    asked = filters.parse_filters(questions(spark, sf_dir), table(spark, sf_dir, "company_years")).withColumn("text", filters.expand_query(F.col("text")))
-    queries = asked.select(F.col("query_id").alias("query"), (F.col("company").isNotNull() | (F.size("years") > 0)).alias("filtered"))
-    allowed = asked.select(F.col("query_id").alias("query"), F.col("company").alias("qc"), "years")
-    scored = bm25.scores(asked, corpus)
-    fits = (F.col("qc").isNull() | (F.col("qc") == F.col("company"))) & ((F.size("years") == 0) | F.array_contains("years", F.col("fiscal_year")))
-    narrowed = scored.join(allowed, "query").join(corpus.select("doc", "company", "fiscal_year"), "doc").where(fits).select("query", "doc", "score")
-    hashed = vectors.embed(corpus, "doc", "text", ["company", "fiscal_year"], vectors.HashingEmbedder())
-    companies = F.when(F.col("company").isNotNull(), F.array("company"))
-    asked_vectors = vectors.embed(asked.select(F.col("query_id").alias("query"), "text", companies.alias("companies"), "years"), "query", "text", ["companies", "years"], vectors.HashingEmbedder())
-    near = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH, within=[("company", "companies"), ("fiscal_year", "years")])
-    wide = vectors.nearest(hashed, asked_vectors, hybrid.DEPTH)
-    chosen = hybrid.with_fallback([near, bm25.top_k(narrowed, hybrid.DEPTH)], [wide, bm25.top_k(scored, hybrid.DEPTH)], queries)
-    return hybrid.trace(*chosen).where("fused_rank <= 8").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
+    parsed = filters.parse_filters(questions(spark, sf_dir), table(spark, sf_dir, "company_years")).withColumn("text", filters.expand_query(F.col("text")))
+    some = parsed.select(F.col("query_id").alias("query"), "text", "company", "years", (F.col("company").isNotNull() | (F.size("years") > 0)).alias("filtered"))
+    hashed = durable_table(vectors.embed(corpus, "doc", "text", ["company", "fiscal_year"], vectors.HashingEmbedder()), "vectors")
+    embedded = vectors.embed(some, "query", "text", ["company", "years", "filtered"], vectors.HashingEmbedder())
+    asked = durable_table(embedded.join(some.select("query", "text"), "query"), "asked")
+    index = bm25.build(corpus, keep=("company", "fiscal_year"))
+
+    def rank(these: DataFrame, narrow: bool) -> list[DataFrame]:
+        if not narrow:
+            return [vectors.nearest(hashed, these, hybrid.DEPTH), bm25.search(index, these, hybrid.DEPTH, "query")]
+        years, own = (("fiscal_year", "years"),), ("company", "company")
+        named, unnamed = these.where("company is not null"), these.where("company is null")
+        return [
+            union_all(vectors.nearest(hashed, named, hybrid.DEPTH, same=own, within=years), vectors.nearest(hashed, unnamed, hybrid.DEPTH, within=years)),
+            union_all(bm25.search(index, named, hybrid.DEPTH, "query", same=own, within=years), bm25.search(index, unnamed, hybrid.DEPTH, "query", within=years)),
+        ]
+
+    return hybrid.trace(*hybrid.search_with_fallback(rank, asked))
+
+
+def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's eight best chunks."""
+    return _hybrid(spark, sf_dir).where("fused_rank <= 8").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extractive provider's answer to every question from its five best chunks; the provider stands in for a language model."""
-    found = bm25_topk(spark, sf_dir).where("rank <= 5").join(_corpus(spark, sf_dir), "doc").withColumnRenamed("query", "query_id")
+    """An extractive provider's answer to every question from its eight best chunks; the provider stands in for a language model."""
+    found = hybrid_questions(spark, sf_dir).withColumnRenamed("fused_rank", "rank").join(_corpus(spark, sf_dir), "doc").withColumnRenamed("query", "query_id")
     prompted = answer.prompts(questions(spark, sf_dir), found)
     return answer.answers(prompted, answer.provider("extractive"))
 

@@ -108,9 +108,10 @@ near AS (SELECT a.vec_id AS query, b.vec_id AS doc, {_COSINE} AS similarity FROM
 SELECT query, doc, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM near QUALIFY rank <= {k}"""
 
 
-_TWO = f"""both_ AS (SELECT doc_id AS doc, text, company, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON doc_id = vec_id),
-asked AS (SELECT doc AS query, text, company, v FROM both_ WHERE doc % 20 = 0), {bm25('both_', 'asked')},
-near AS (SELECT a.query, b.doc, {_COSINE} AS similarity FROM asked a JOIN both_ b ON a.v IS NOT NULL)"""
+_TWO = f"""docs AS (SELECT doc_id AS doc, text, company FROM documents),
+held AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v, company FROM embeddings LEFT JOIN docs ON vec_id = doc),
+asked AS (SELECT d.doc AS query, text, d.company, v FROM docs d LEFT JOIN held USING (doc) WHERE d.doc % 20 = 0), {bm25('docs', 'asked')},
+near AS (SELECT a.query, b.doc, {_COSINE} AS similarity FROM asked a JOIN held b ON a.v IS NOT NULL)"""
 
 
 def ranked(source: str, score: str, name: str) -> str:
@@ -168,6 +169,45 @@ _MERGE = """reach AS (SELECT *, coalesce(CAST(x0 > max(x1) OVER (PARTITION BY pa
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM reach),
 merged AS (SELECT page, min(x0) AS x0, max(x1) AS x1 FROM numbered GROUP BY page, island)"""
 
+_PARSED = f"""named AS (SELECT q.query_id, any_value(q.text) AS text, min(c.company) AS company FROM questions q LEFT JOIN company_years c ON contains(lower(q.text), c.company) GROUP BY q.query_id),
+spans AS (SELECT query_id, text, company, regexp_extract_all(text, '{_RANGE}', 1) AS a, regexp_extract_all(text, '{_RANGE}', 2) AS b, regexp_extract_all(regexp_replace(text, '{_RANGE}', '~', 'g'), '(?:19|20)[0-9]{{2}}') AS alone FROM named),
+one AS (SELECT query_id, text, company, alone, unnest(list_zip(a, b)) AS p FROM spans),
+cand AS (
+    SELECT query_id, p[1] || '-' || p[2] AS y FROM one WHERE length(p[2]) = 2
+    UNION ALL SELECT query_id, unnest([CAST(y AS VARCHAR), {_BROKEN.format(y='y')}]) FROM (SELECT query_id, unnest(range(CAST(p[1] AS INT), CAST(p[2] AS INT) + 1)) AS y FROM one WHERE length(p[2]) = 4)
+    UNION ALL SELECT query_id, unnest([y, {_BROKEN.format(y='y')}]) FROM (SELECT query_id, unnest(alone) AS y FROM spans)),
+valid AS (SELECT DISTINCT company, unnest(fiscal_years) AS y FROM company_years),
+kept AS (SELECT n.query_id, list_sort(list(DISTINCT c.y)) AS years FROM named n JOIN cand c USING (query_id) JOIN valid v ON v.y = c.y AND (n.company IS NULL OR v.company = n.company) GROUP BY n.query_id)"""
+_FILTERED = """SELECT n.query_id, n.text, n.company, coalesce(k.years, []::VARCHAR[]) AS years FROM named n LEFT JOIN kept k USING (query_id)"""
+_ADDED = f"""named_items AS (SELECT query_id, place, unnest(items) AS item, generate_subscripts(items, 1) AS k FROM questions JOIN {_EXPANSIONS} ON contains(lower(text), name)),
+firsts AS (SELECT query_id, item, min(place * 100 + k) AS nth FROM named_items GROUP BY query_id, item), added AS (SELECT query_id, string_agg(item, ' ' ORDER BY nth) AS extra FROM firsts GROUP BY query_id)"""
+_EXPANDED = """SELECT query_id, CASE WHEN extra IS NULL THEN text ELSE text || ' ' || extra END AS text FROM questions LEFT JOIN added USING (query_id)"""
+
+
+def hashed(source: str, key: str) -> str:
+    """CTEs ending in `{key}_vec` (key, place, x): the hashed vectors of unit length over the relation (key, text), by place."""
+    return f"""{key}_words AS (SELECT {key}, unnest({words('text')}) AS word FROM {source}),
+{key}_places AS (SELECT {key}, CAST('0x' || substring(md5(word), 1, 8) AS BIGINT) AS h FROM {key}_words),
+{key}_sums AS (SELECT {key}, (h // 2) % 64 AS place, sum(1 - 2 * (h % 2))::DOUBLE AS x FROM {key}_places GROUP BY ALL),
+{key}_vec AS (SELECT {key}, place, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {key}_sums)"""
+
+
+_HYBRID = f"""corpus AS (SELECT chunk_no AS doc, text, company, fiscal_year FROM chunks), {_QUESTIONS},
+questions AS (SELECT query AS query_id, text FROM asked), {_PARSED}, {_ADDED},
+limits AS ({_FILTERED}), longer AS ({_EXPANDED}),
+want AS (SELECT l.query_id AS query, e.text, l.company, l.years, l.company IS NOT NULL OR len(l.years) > 0 AS filtered FROM limits l JOIN longer e USING (query_id)),
+{bm25('corpus', 'want')}, {hashed('corpus', 'doc')}, {hashed('want', 'query')},
+cosines AS (SELECT query, doc, round(sum(a.x * b.x), 6) AS similarity FROM query_vec a JOIN doc_vec b USING (place) GROUP BY query, doc),
+near AS (SELECT query, doc, coalesce(similarity, 0) AS similarity FROM (SELECT query, doc FROM (SELECT DISTINCT query FROM query_vec), (SELECT DISTINCT doc FROM doc_vec)) LEFT JOIN cosines USING (query, doc)),
+near_own AS (SELECT n.* FROM near n JOIN want w USING (query) JOIN corpus c USING (doc) WHERE (w.company IS NULL OR w.company = c.company) AND (len(w.years) = 0 OR list_contains(w.years, c.fiscal_year))),
+score_own AS (SELECT n.* FROM scores n JOIN want w USING (query) JOIN corpus c USING (doc) WHERE (w.company IS NULL OR w.company = c.company) AND (len(w.years) = 0 OR list_contains(w.years, c.fiscal_year))),
+{ranked('near', 'similarity', 'va')}, {ranked('scores', 'score', 'le')}, {ranked('near_own', 'similarity', 'vo')}, {ranked('score_own', 'score', 'lo')},
+hits AS (SELECT query, count(*) AS n FROM (SELECT query FROM vo UNION ALL SELECT query FROM lo) GROUP BY query),
+wide AS (SELECT a.query, NOT filtered OR coalesce(n, 0) < 3 AS up FROM want a LEFT JOIN hits USING (query)),
+vf AS (SELECT vo.* FROM vo JOIN wide USING (query) WHERE NOT up UNION ALL SELECT va.* FROM va JOIN wide USING (query) WHERE up),
+lf AS (SELECT lo.* FROM lo JOIN wide USING (query) WHERE NOT up UNION ALL SELECT le.* FROM le JOIN wide USING (query) WHERE up), {traced('vf', 'lf')}"""
+
+
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {_BM25_CHUNKS}, {_TOP} SELECT query, doc, score, rank FROM top",
     "bm25_filtered_topk": f"WITH {_BM25_CHUNKS}, {_TOP_FACTS} SELECT query, doc, score, rank FROM top",
@@ -177,8 +217,8 @@ SQL: dict[str, str] = {
     "rrf_fuse": f"WITH {_TWO}, {ranked('near', 'similarity', 'va')}, {ranked('scores', 'score', 'le')}, {traced('va', 'le')} SELECT query, doc, rrf_score, fused_rank FROM fused WHERE fused_rank <= 10",
     "hybrid_trace": f"WITH {_TWO}, {ranked('near', 'similarity', 'va')}, {ranked('scores', 'score', 'le')}, {traced('va', 'le')} SELECT query, doc, vector_rank, bm25_rank, rrf_score, fused_rank FROM fused",
     "hybrid_fallback": f"""WITH {_TWO}, {ranked('near', 'similarity', 'va')}, {ranked('scores', 'score', 'le')},
-near_own AS (SELECT n.* FROM near n JOIN asked a ON a.query = n.query JOIN both_ b ON b.doc = n.doc WHERE a.company = b.company),
-score_own AS (SELECT s.* FROM scores s JOIN asked a ON a.query = s.query JOIN both_ b ON b.doc = s.doc WHERE a.company = b.company),
+near_own AS (SELECT n.* FROM near n JOIN asked a ON a.query = n.query JOIN held b ON b.doc = n.doc WHERE a.company = b.company),
+score_own AS (SELECT s.* FROM scores s JOIN asked a ON a.query = s.query JOIN docs b ON b.doc = s.doc WHERE a.company = b.company),
 {ranked('near_own', 'similarity', 'vo')}, {ranked('score_own', 'score', 'lo')},
 hits AS (SELECT query, count(*) AS n FROM (SELECT query FROM vo UNION ALL SELECT query FROM lo) GROUP BY query),
 wide AS (SELECT a.query, a.company IS NULL OR coalesce(n, 0) < 3 AS up FROM asked a LEFT JOIN hits USING (query)),
@@ -195,20 +235,9 @@ FROM top JOIN chunks ON doc = chunk_no WHERE rank <= 3 GROUP BY query""",
 round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM ranks""",
     "outcome_pivot": f"""WITH {_BM25_CHUNKS}, {_TOP_FACTS}, {_RANKS} SELECT CASE WHEN contains(label, 'per aktie') THEN 'per aktie' ELSE 'post' END AS type, count(*) FILTER (rank = 1) AS "right", count(*) FILTER (rank > 1) AS partial, count(*) FILTER (rank IS NULL) AS wrong
 FROM ranks JOIN asked USING (query) GROUP BY 1""",
-    "parse_filters": f"""WITH {_FILING_QUESTIONS},
-named AS (SELECT q.query_id, any_value(q.text) AS text, min(c.company) AS company FROM questions q LEFT JOIN company_years c ON contains(lower(q.text), c.company) GROUP BY q.query_id),
-spans AS (SELECT query_id, text, company, regexp_extract_all(text, '{_RANGE}', 1) AS a, regexp_extract_all(text, '{_RANGE}', 2) AS b, regexp_extract_all(regexp_replace(text, '{_RANGE}', '~', 'g'), '(?:19|20)[0-9]{{2}}') AS alone FROM named),
-one AS (SELECT query_id, text, company, alone, unnest(list_zip(a, b)) AS p FROM spans),
-cand AS (
-    SELECT query_id, p[1] || '-' || p[2] AS y FROM one WHERE length(p[2]) = 2
-    UNION ALL SELECT query_id, unnest([CAST(y AS VARCHAR), {_BROKEN.format(y='y')}]) FROM (SELECT query_id, unnest(range(CAST(p[1] AS INT), CAST(p[2] AS INT) + 1)) AS y FROM one WHERE length(p[2]) = 4)
-    UNION ALL SELECT query_id, unnest([y, {_BROKEN.format(y='y')}]) FROM (SELECT query_id, unnest(alone) AS y FROM spans)),
-valid AS (SELECT DISTINCT company, unnest(fiscal_years) AS y FROM company_years),
-kept AS (SELECT n.query_id, list_sort(list(DISTINCT c.y)) AS years FROM named n JOIN cand c USING (query_id) JOIN valid v ON v.y = c.y AND (n.company IS NULL OR v.company = n.company) GROUP BY n.query_id)
-SELECT n.query_id, n.text, n.company, coalesce(k.years, []::VARCHAR[]) AS years FROM named n LEFT JOIN kept k USING (query_id)""",
-    "expand_query": f"""WITH {_FILING_QUESTIONS}, hits AS (SELECT query_id, place, unnest(items) AS item, generate_subscripts(items, 1) AS k FROM questions JOIN {_EXPANSIONS} ON contains(lower(text), name)),
-firsts AS (SELECT query_id, item, min(place * 100 + k) AS nth FROM hits GROUP BY query_id, item), added AS (SELECT query_id, string_agg(item, ' ' ORDER BY nth) AS extra FROM firsts GROUP BY query_id)
-SELECT query_id, CASE WHEN extra IS NULL THEN text ELSE text || ' ' || extra END AS text FROM questions LEFT JOIN added USING (query_id)""",
+    "parse_filters": f"WITH {_FILING_QUESTIONS},\n{_PARSED}\n{_FILTERED}",
+    "expand_query": f"WITH {_FILING_QUESTIONS}, {_ADDED}\n{_EXPANDED}",
+    "hybrid_questions": f"WITH {_HYBRID} SELECT query, doc, vector_rank, bm25_rank, rrf_score, fused_rank FROM fused WHERE fused_rank <= 8",
     "company_years": "SELECT company, list_sort(list(DISTINCT fiscal_year) FILTER (fiscal_year IS NOT NULL)) AS fiscal_years FROM filings WHERE company IS NOT NULL GROUP BY company",
     "sentence_split": numbered(f"SELECT doc_id, {sentences('text')} AS list FROM documents WHERE text IS NOT NULL", "doc_id", "sentence"),
     "chunk_pack": f"WITH source AS (SELECT doc_id AS id, text FROM documents), {_PIECES} {numbered('SELECT id AS doc_id, list FROM packed', 'doc_id', 'piece')}",

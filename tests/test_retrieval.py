@@ -71,6 +71,49 @@ def test_bm25_matches_the_formula(spark):
         assert got.get(q, {}) == pytest.approx(okapi(text, DOCS))
 
 
+def test_search_is_exact(spark):
+    """Against all scores, in small blocks and slices, with every kind of filter, repeated texts, empty and null ones."""
+    import random
+
+    rng = random.Random(8)
+    words = ["kassa", "ränta", "lager", "skuld", "vinst", "mål", "åäö", "2023"]
+    docs = [(n, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) if n % 17 else None, rng.choice(["a", "b", None]), rng.choice(["2023", "2024", None])) for n in range(120)]
+    asked = [(q, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 4))) if q else None, rng.choice(["a", "b", None]), rng.choice([["2023"], [], None, ["2024", "2023"]])) for q in range(30)]
+    corpus = spark.createDataFrame(docs, "doc int, text string, company string, year string")
+    queries = spark.createDataFrame(asked, "query_id int, text string, own string, years array<string>")
+    full = {(r["query"], r["doc"]): r["score"] for r in bm25.scores(queries, corpus).collect()}
+    index = bm25.build(corpus, keep=("company", "year"))
+    for same, within, allowed in ((None, (), None), (("company", "own"), (), None), (None, (("year", "years"),), None), (("company", "own"), (("year", "years"),), F.col("doc") % 2 == 0)):
+        got = {(r["query"], r["rank"]): (r["doc"], r["score"]) for r in bm25.search(index, queries, 5, allowed=allowed, same=same, within=within, block=7, postings_slice=60).collect()}
+        want = {}
+        for q, _, own, years in asked:
+            fits = [(d, full[q, d]) for d, _, company, year in docs if (q, d) in full and (not same or own and own == company) and (not within or not years or year in years) and (allowed is None or d % 2 == 0)]
+            want |= {(q, k + 1): hit for k, hit in enumerate(sorted(fits, key=lambda x: (-x[1], x[0]))[:5])}
+        assert got == want
+
+
+def test_companies_are_found_by_their_beginning(spark):
+    companies = spark.createDataFrame([("volvo", ["2023"]), ("volvo cars", ["2023"]), ("ab", ["2023"]), ("", None), (None, None)], "company string, fiscal_years array<string>")
+    queries = spark.createDataFrame([(1, "Volvo Cars 2023"), (2, "grabb"), (3, "volv"), (4, ""), (5, None)], "query_id int, text string")
+    assert {r["query_id"]: r["company"] for r in filters.parse_filters(queries, companies).collect()} == {1: "volvo", 2: "ab", 3: None, 4: None, 5: None}
+
+
+def test_nearest_in_small_blocks(spark):
+    rng = np.random.default_rng(5)
+    data = np.round(rng.normal(size=(90, 4)))
+    rows = spark.createDataFrame([(i, v.tolist(), "hot" if i % 3 else None) for i, v in enumerate(data)] + [(100, [1.0], "hot"), (101, [], "hot"), (102, None, "hot"), (103, [1.0, None, 0.0, 0.0], "hot")], "doc long, vector array<double>, label string")
+    unit = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
+    for same in (None, ("label", "label")):
+        got = {(r["query"], r["rank"]): r["doc"] for r in vectors.nearest(rows, rows.withColumnRenamed("doc", "query"), 3, same=same, block=8, rows_slice=10).where("query < 90").collect()}
+        want = {}
+        for q in range(90):
+            like = np.round(unit @ unit[q], 6)
+            near = sorted((i for i in range(90) if not same or i % 3 and q % 3), key=lambda i: (-like[i], i))[:3]
+            want |= {(q, k + 1): i for k, i in enumerate(near)}
+        assert got == want
+    assert vectors.nearest(rows.limit(0), rows.withColumnRenamed("doc", "query"), 3).count() == 0
+
+
 def test_bm25_without_documents(spark):
     assert bm25.scores(spark.createDataFrame([(1, "a")], "query_id int, text string"), spark.createDataFrame([], "doc int, text string")).count() == 0
 
