@@ -408,12 +408,28 @@ def extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.extract_rows(layout.words_of_text(_latest_pages(spark, sf_dir)))
 
 
+def number_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed values as words, five points a character, and the numbers that they are together."""
+    values = table(spark, sf_dir, "financial_rows").select("row_id", F.posexplode("row_values").alias("place", "value"))
+    words = values.withColumn("_w", F.split("value", " ")).select("row_id", "place", "_w", F.posexplode("_w").alias("ord", "text"))
+    x0 = 5.0 * (F.length(F.array_join(F.slice("_w", 1, F.col("ord")), " ")) + (F.col("ord") > 0).cast("int"))
+    placed = words.withColumn("x0", x0).withColumn("x1", F.col("x0") + 5.0 * F.length("text"))
+    return layout.number_merge(placed, ["row_id", "place"]).select("row_id", "place", "token", "text", "kind")
+
+
+def column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each order on five columns."""
+    numbers = _boxes(spark, sf_dir).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "ord", "text"))), lambda w: F.struct(w["x0"].alias("at"), w["text"].alias("text"))).alias("n"))
+    centres = F.array(*(F.lit(100.0 * k) for k in range(1, 6)))
+    return numbers.select("page", layout.column_assign(F.col("n"), centres).alias("held"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bm25_topk, p2_found, p2_base, bm25_filtered_topk, idf_table, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_trace, hybrid_fallback, hybrid_questions, answers, question_contexts, source_summary,
         result_lines, no_answer_flag, recall_mrr, outcome_pivot, parse_filters, expand_query, company_years, sentence_split, chunk_pack, oversize_split, byte_split, base_ids, latest_pages, text_pages_anti,
         text_chunks, fact_chunks, table_chunks, all_chunks, locate_headings, page_sections, balance_check, plain_integers, ratios, yoy_trend, row_violations, chunk_violations, repeated_ids, repeated_texts,
-        metadata_export, metadata_import, document_overview, line_groups, phrases, year_clusters, interval_merge, gutter_detect, column_text, extract_rows,
+        metadata_export, metadata_import, document_overview, line_groups, phrases, year_clusters, interval_merge, gutter_detect, column_text, extract_rows, number_merge, column_assign,
     )
 }

@@ -208,6 +208,23 @@ vf AS (SELECT vo.* FROM vo JOIN wide USING (query) WHERE NOT up UNION ALL SELECT
 lf AS (SELECT lo.* FROM lo JOIN wide USING (query) WHERE NOT up UNION ALL SELECT le.* FROM le JOIN wide USING (query) WHERE up), {traced('vf', 'lf')}"""
 
 
+def assigned(centres: str, n: int) -> str:
+    """A fold of the list `n` of numbers (at, text) on centres: the texts that the columns hold."""
+    far = f"list_transform({centres}, lambda c: abs(x.at - c))"
+    best = f"list_position({far}, list_min({far}))"
+    own = f"{{'text': x.text, 'far': list_min({far})}}"
+    nearer = f"(list_min({far}) < a[{best}].far)"
+    put = lambda held, place, v: f"list_transform({held}, lambda o, k: CASE WHEN k = {place} THEN {v} ELSE o END)"
+    free = lambda test, pick: f"{pick}(list_filter(range(1, {n + 1}), lambda i: a[i].text IS NULL AND i {test} {best}))"
+    right, left = free(">", "list_min"), free("<", "list_max")
+    to = f"CASE WHEN x.at >= {centres}[{best}] THEN coalesce({right}, {left}) ELSE coalesce({left}, {right}) END"
+    moved = f"{{'text': CASE WHEN {nearer} THEN a[{best}].text ELSE x.text END, 'far': 'inf'::DOUBLE}}"
+    kept = f"CASE WHEN {nearer} THEN {put('a', best, own)} ELSE a END"
+    step = f"CASE WHEN a[{best}].text IS NULL THEN {put('a', best, own)} WHEN {to} IS NULL THEN {kept} ELSE {put(kept, to, moved)} END"
+    empty = f"list_transform({centres}, lambda c: {{'text': NULL::VARCHAR, 'far': 'inf'::DOUBLE}})"
+    return f"list_transform(list_reduce(n, lambda a, x: {step}, {empty}), lambda h: h.text)"
+
+
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {_BM25_CHUNKS}, {_TOP} SELECT query, doc, score, rank FROM top",
     "bm25_filtered_topk": f"WITH {_BM25_CHUNKS}, {_TOP_FACTS} SELECT query, doc, score, rank FROM top",
@@ -286,6 +303,15 @@ SELECT page, w[i].ord AS ord, lines[i] AS line FROM (SELECT page, w, lines, unne
     "phrases": f"WITH {_BOXES}, {islands('boxes', 'page', 'x0', 'x1', 8)} SELECT page, island AS phrase, string_agg(text, ' ' ORDER BY x0, ord) AS text, min(x0) AS x0, list(x1 ORDER BY x0, ord)[-1] AS x1 FROM chained GROUP BY page, island",
     "year_clusters": f"WITH centred AS (SELECT l_orderkey AS page, l_linenumber AS ord, CAST(l_partkey * 7 % 560 AS DOUBLE) + 12 AS centre FROM lineitem), {islands('centred', 'page', 'centre', 'centre', 150)} SELECT page, ord, island AS cluster FROM chained",
     "interval_merge": f"WITH {_BOXES}, spans AS (SELECT page, x0, x1 FROM boxes), {_MERGE} SELECT page, x0, x1 FROM merged",
+    "column_assign": f"WITH {_BOXES}, pages AS (SELECT page, list({{'at': x0, 'text': text}} ORDER BY x0, ord) AS n FROM boxes GROUP BY page) SELECT page, {assigned('[100.0::DOUBLE, 200, 300, 400, 500]', 5)} AS held FROM pages",
+    "number_merge": """WITH v AS (SELECT row_id, unnest(row_values) AS value, generate_subscripts(row_values, 1) - 1 AS place FROM financial_rows),
+w AS (SELECT row_id, place, unnest(string_split(value, ' ')) AS text, generate_subscripts(string_split(value, ' '), 1) - 1 AS ord, string_split(value, ' ') AS ws FROM v WHERE value IS NOT NULL),
+b AS (SELECT row_id, place, ord, text, 5.0 * (length(array_to_string(ws[1:ord], ' ')) + CAST(ord > 0 AS INT)) AS x0 FROM w),
+l AS (SELECT *, lag(text) OVER o AS before, coalesce(x0 - lag(x0 + 5.0 * length(text)) OVER o <= 6, false) AS near FROM b WINDOW o AS (PARTITION BY row_id, place ORDER BY x0, ord)),
+g AS (SELECT *, CASE WHEN near AND regexp_full_match(before, '[−–-]') AND regexp_full_match(text, '[0-9]+') THEN '' WHEN near AND regexp_full_match(before, '[−–-]?[0-9][0-9.,]*') AND regexp_full_match(text, '[0-9]{3}') THEN ' ' END AS glue FROM l),
+t AS (SELECT *, CAST(sum(CAST(glue IS NULL AS INT)) OVER (PARTITION BY row_id, place ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS token FROM g),
+j AS (SELECT row_id, CAST(place AS INTEGER) AS place, token, string_agg(coalesce(glue, '') || text, '' ORDER BY x0, ord) AS text FROM t GROUP BY ALL)
+SELECT *, CASE WHEN regexp_full_match(text, '[−–-]') THEN 'dash' WHEN regexp_full_match(text, '[−–-]?[0-9][0-9., ]*') THEN 'number' ELSE 'word' END AS kind FROM j""",
     "gutter_detect": f"""WITH {_BOXES}, spans AS (SELECT page, greatest(x0, 180) AS x0, least(x1, 420) AS x1 FROM boxes WHERE x1 > 180 AND x0 < 420), {_MERGE},
 gaps AS (SELECT page, coalesce(lag(x1) OVER (PARTITION BY page ORDER BY x0), 180) AS a, x0 AS b FROM merged UNION ALL SELECT page, max(x1), 420 FROM merged GROUP BY page),
 best AS (SELECT page, a, b FROM gaps WHERE b > a QUALIFY row_number() OVER (PARTITION BY page ORDER BY b - a DESC, a) = 1) SELECT page, (a + b) / 2 AS gutter FROM best WHERE b - a >= 10""",

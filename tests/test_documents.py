@@ -96,27 +96,48 @@ def word(text, x0, width=20, top=0.0):
     return {"text": text, "x0": float(x0), "x1": float(x0 + width), "top": top}
 
 
-def test_numbers_and_columns():
-    merge = lambda *ws: [(w["text"], w["kind"]) for w in layout.merge_numbers(list(ws))]
-    assert merge(word("8", 0, 5), word("150", 8, 10)) == [("8 150", "number")]
-    assert merge(word("–", 0, 4), word("36", 6, 8)) == [("–36", "number")]
-    assert merge(word("–", 0, 4), word("36.046", 6, 8)) == [("–", "dash"), ("36.046", "number")]
-    assert merge(word("8", 0, 5), word("150", 20, 10), word("x", 40)) == [("8", "number"), ("150", "number"), ("x", "word")]
-    numbers = [word("a", 90), word("b", 94)]
-    assert layout.assign_columns(numbers, [100.0, 150.0]) == ["a", "b"]
-    assert layout.assign_columns([word("a", 90)], [50.0, 100.0, 150.0]) == [None, "a", None]
-    assert layout.assign_columns([], []) == []
+def test_numbers(spark):
+    lines = [
+        [word("8", 0, 5), word("150", 8, 10)], [word("–", 0, 4), word("36", 6, 8)], [word("–", 0, 4), word("36.046", 6, 8)], [word("8", 0, 5), word("150", 20, 10), word("x", 40)],
+        [word("4", 0, 5), word("613", 6, 9), word("193", 16, 9), word("12", 26, 5)], [word("x", 0, 5), word("150", 6, 9)], [word("-", 0, 2), word("8", 3, 5), word("733", 9, 9)],
+    ]
+    df = spark.createDataFrame([(k, n, w["text"], w["x0"], w["x1"]) for k, line in enumerate(lines) for n, w in enumerate(line)], "line int, ord int, text string, x0 double, x1 double")
+    got = {}
+    for r in layout.number_merge(df, ["line"]).orderBy("line", "token").collect():
+        got.setdefault(r.line, []).append((r.text, r.kind))
+    assert [got[k] for k in range(len(lines))] == [
+        [("8 150", "number")], [("–36", "number")], [("–", "dash"), ("36.046", "number")], [("8", "number"), ("150", "number"), ("x", "word")],
+        [("4 613 193", "number"), ("12", "number")], [("x", "word"), ("150", "number")], [("-8 733", "number")],
+    ]
+
+
+def test_columns(spark):
+    cases = [
+        ([(100.0, "a"), (104.0, "b")], [100.0, 150.0], ["a", "b"]), ([(100.0, "a")], [50.0, 100.0, 150.0], [None, "a", None]), ([], [], []), ([], [1.0], [None]),
+        ([(90.0, "a"), (101.0, "b")], [50.0, 100.0], ["a", "b"]), ([(100.0, "a"), (101.0, "b"), (102.0, "c")], [100.0, 150.0], ["a", "b"]), ([(99.0, "a"), (101.0, "b"), (149.0, "c")], [100.0, 150.0], ["a", "c"]),
+    ]
+    df = spark.createDataFrame([(k, n, c) for k, (n, c, _) in enumerate(cases)], "k int, numbers array<struct<at:double,text:string>>, centres array<double>")
+    got = {r.k: r.held for r in df.select("k", layout.column_assign(F.col("numbers"), F.col("centres")).alias("held")).collect()}
+    assert [got[k] for k in range(len(cases))] == [held for _, _, held in cases]
 
 
 def test_page_rows(spark):
+    def rows_of(words, page=1):
+        return [("d", page, k, w["text"], w["x0"], w["x1"], w["top"], w["top"] + 10) for k, w in enumerate(words)]
+
     head = [word("Mkr", 40), word("2023", 300), word("2022", 380)]
     body = [word("Rubrik", 40, 40, 12.0), word("Omsättning", 40, 60, 24.0), word("8", 296, 5, 24.0), word("150", 303, 12, 24.0), word("–", 385, 5, 24.0), word("Kostnad", 40, 50, 36.0), word("-7", 385, 8, 36.0), word("fotnot", 40, 30, 90.0), word("12", 300, 10, 90.0)]
-    assert list(layout.page_rows(head + body)) == [("Rubrik Omsättning", ["8 150", None], ["2023", "2022"]), ("Kostnad", [None, "-7"], ["2023", "2022"])]
     twice = [word("Industri", 290, 50), word("Koncern", 450, 50), word("Mkr", 20, 20, 12.0)] + [word(y, x, 20, 12.0) for y, x in (("2023", 280), ("2022", 320), ("2023", 440), ("2022", 480))] + [word("Post", 20, 20, 24.0)] + [word(v, x, 10, 24.0) for v, x in (("1", 285), ("2", 325), ("3", 445), ("4", 485))]
-    assert list(layout.page_rows(twice)) == [("Post", ["1", "2", "3", "4"], ["Industri 2023", "Industri 2022", "Koncern 2023", "Koncern 2022"])]
-    rows = [("d", 1, k, w["text"], w["x0"], w["x1"], w["top"], w["top"] + 10) for k, w in enumerate(head + body)] + [("d", 2, 0, "ensam", 0.0, 1.0, 0.0, 1.0), (None, 1, 0, "x", 0.0, 1.0, 0.0, 1.0)]
-    df = spark.createDataFrame(rows, "document string, page int, ord int, text string, x0 double, x1 double, top double, bottom double")
-    assert [(r.page, r.row_no, r.label) for r in layout.extract_rows(df).orderBy("row_no").collect()] == [(1, 1, "Rubrik Omsättning"), (1, 2, "Kostnad")]
+    broken = [word("Mkr", 40, 20, 4.0), word("2023", 300, 20, 4.0), word("2022", 380, 20, 8.5), word("Post", 40, 20, 24.0), word("5", 305, 8, 24.0), word("x" * 121, 40, 200, 36.0), word("6", 305, 8, 36.0), word("2021", 300, 20, 48.0), word("tkr:", 40, 20, 48.0), word("Annat", 40, 20, 60.0), word("7", 305, 8, 60.0)]
+    schema = "document string, page int, ord int, text string, x0 double, x1 double, top double, bottom double"
+    df = spark.createDataFrame(rows_of(head + body) + rows_of(twice, 3) + rows_of(broken, 4) + [("d", 2, 0, "ensam", 0.0, 1.0, 0.0, 1.0), (None, 1, 0, "2020", 0.0, 1.0, 0.0, 1.0), ("d", 5, 0, None, 0.0, 1.0, 0.0, 1.0)], schema)
+    got = [tuple(r)[1:] for r in layout.extract_rows(df).orderBy("page", "row_no").collect()]
+    assert got == [
+        (1, 1, "Rubrik Omsättning", ["8 150", None], ["2023", "2022"]), (1, 2, "Kostnad", [None, "-7"], ["2023", "2022"]),
+        (3, 1, "Post", ["1", "2", "3", "4"], ["Industri 2023", "Industri 2022", "Koncern 2023", "Koncern 2022"]),
+        (4, 1, "Post", ["5", None], ["2023", "2022"]), (4, 2, "Annat", ["7"], ["2021"]),
+    ]
+    assert layout.extract_rows(df.limit(0)).count() == 0
 
 
 def test_gutter(spark):
