@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import spread, table
+from ..tables import spread, table, union_all
 from . import boilerplate, bpe, lookalike, neardup, packing, quality, sentences
 
 
@@ -15,8 +15,8 @@ def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of pages and chunks with its place."""
     pages = table(spark, sf_dir, "page_texts").select(F.lit("page_texts").alias("tab"), F.col("page_id").alias("rec_id"), "text")
     chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tab"), F.col("chunk_no").alias("rec_id"), "text")
-    texts = spread(pages.unionByName(chunks))
-    return sentences.split_sentences(texts, ["tab", "rec_id"], "text", sentences.fit(texts, "text"))
+    texts = spread(union_all(pages, chunks))
+    return sentences.split_sentences(texts, ["tab", "rec_id"], "text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

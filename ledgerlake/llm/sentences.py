@@ -2,7 +2,7 @@
 
 Method: a hidden-event n-gram model. Between two words of a block there may be a boundary token. Where
 the form alone leaves it open (after a mark that can end a sentence, after a mark within closing
-quotes or brackets, at a blank of a script that writes no marks), the model weighs
+quotes or brackets, at white space of scripts that write none between words), the model weighs
 
     P(boundary | words before) * P(next word | start of a sentence)   against
     P(none | words before)     * P(next word | within a sentence),
@@ -12,11 +12,12 @@ depend on each other through the number of words between them; forward-backward
 of the block give each gap's posterior, and gaps of at least one half are boundaries.
 
 The model is fitted without labels: ends and starts of blocks are boundaries whatever they look
-like, words that go on in small letters mostly aren't, and expectation-maximisation settles the rest.
-It is fitted on the gaps of all texts: counts are summed by n-gram in the tasks and in one shuffle, and
-only the distinct n-grams reach the driver. Every text is then split whole, each independently of the others.
+like, words that go on in small letters mostly aren't, and expectation-maximisation settles the rest. It is
+a table of n-grams, and a round is joins and groupings on it, so it covers all texts, whatever their number, and
+never leaves the tasks; only two sums do. Each text is read once: its gaps are stored with their words, n-grams are
+counted from these, and the fitted odds are joined back to them.
 
-What needs no model: a blank line and the end of the text end a unit; list items, table lines and other
+What needs no model: a blank line and the end of the text end a unit; list items, table lines, copyright notices and other
 lines that aren't filled to the block's width are units of their own; Thai ends a unit at white
 space between two Thai letters; colons and semicolons end nothing, except after Greek.
 """
@@ -24,43 +25,58 @@ space between two Thai letters; colons and semicolons end nothing, except after
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.forms import clean
+from ..scratch import durable_table
 
 ROUNDS = 6
-#: N-grams that a task counts before it passes them on.
-HELD = 200_000
+#: Fixed parameters: pseudo-counts of back-off, share of the exact word, odds of a sentence of one or two words, least and most probability of a boundary.
+BACK, EXACT, LENGTH, LEAST = 2.0, 0.85, {0: 0.02, 1: 0.05, 2: 0.6}, 1e-4
 
 HIDDEN = "­​-‏⁠﻿"
-CLOSE = "\"'”’»«“›)\\]」』）］】"
-OPEN = "\"'“„”‘‚«»‹(\\[「『（［【"
-CJK = "。！？"
+CLOSE = "\"'”’»«“›)\\]」』”）］】"
 CJK_CLOSE = "\"'”’»」』）)】"
-#: A place where a unit may end: marks, closing signs, then white space or, in unspaced scripts, anything.
-GAP = re.compile(f"(?:[.!?…؟।．;;][.!?…؟{HIDDEN}]*[{CLOSE}{HIDDEN}]*(?=\\s)|[{CJK}]+[{CJK_CLOSE}{HIDDEN}]*)")
+#: Marks that end a sentence only before white space, as they have other uses within one.
+SPACED = ".!?…؟।॥．;;‼⁇⁈⁉﹒"
+#: All other characters that Unicode calls terminal for sentences; they end one wherever they stand.
+TERMINAL = "".join(c for c in regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x1FFFF)]))) if c not in SPACED and c not in ".!?")
+ENDING = SPACED + TERMINAL
+ENDING_NOT_STOP = tuple(c for c in ENDING if c not in ".．﹒")
+INVISIBLE = "".join(map(chr, [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF]))
+#: Occurrences of a pair of words from which its own counts give the first guess; behind closing signs the word's do, as what they enclose is mixed.
+PAIRS = 8
+#: A place where a unit may end: marks, closing signs, then white space or, after other terminal marks, anything.
+GAP = re.compile(f"(?:[{SPACED}][{ENDING}{HIDDEN}]*[{CLOSE}{HIDDEN}]*(?=\\s)|[{TERMINAL}]+[{CJK_CLOSE}{HIDDEN}]*)")
 THAI = "฀-๿"
 #: White space before a Thai letter, after a Thai letter or after a digit, sign or Latin letter.
 THAI_GAP = re.compile(f"(?<=\\S)\\s+(?=[{HIDDEN}]*[{THAI}])")
 HAS_THAI = re.compile(f"[{THAI}]")
+#: Lao, Burmese, Khmer, Han and kana: no white space between words, so what there is may end a sentence. In Han and kana a line feed is a mere break.
+OTHER_UNSPACED = "\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff"
+BLANK_GAP = re.compile(f"(?<=[{OTHER_UNSPACED}])\\s+(?=[{OTHER_UNSPACED}])|(?<=[぀-ヿ一-鿿])[^\\S\\n]+(?=[぀-ヿ一-鿿])")
+HAS_BLANK_GAP = re.compile(f"[{OTHER_UNSPACED}]|[぀-ヿ一-鿿][^\\S\\n]+[぀-ヿ一-鿿]")
 BLANK_LINE = re.compile(f"\\n[^\\S\\n{HIDDEN}]*\\n\\s*")
 MARK = re.compile(rf"[\s{HIDDEN}]*(?:[-–—•·▪‣◦*○●■→][\s{HIDDEN}]+|\(?\d{{1,3}}[.)][\s{HIDDEN}]+|\(?[A-Za-zÅÄÖåäöΑ-Ωα-ω][.)][\s{HIDDEN}]+|\([ivxIVX]{{1,5}}\)[\s{HIDDEN}]+)(?=\S)")
+NOTICE = re.compile(rf"[\s{HIDDEN}]*(?:©|\([cC]\)|Copyright\b)[^\n]*$")
 CELLS = re.compile(r"\S(?: {2,}|\t|\s*\|\s*)\S")
-NEXT_WORDS = re.compile(r"\s*(\S+)(?:\s+(\S+))?")
+NEXT_WORDS = re.compile(r"\s*(\S{1,40})(?:\s+(\S{1,40}))?")
 GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 LETTER = re.compile(r"[^\W\d_]")
-UNSPACED = re.compile(f"[぀-ヿ一-鿿{THAI}]")
+#: An end without a mark, of scripts in which white space may part sentences.
+BARE_END = re.compile(f"[{OTHER_UNSPACED}぀-ヿ一-鿿]$")
+UNSPACED = re.compile(f"[぀-ヿ一-鿿{THAI}{OTHER_UNSPACED}]")
 
 
 class Gap(NamedTuple):
-    """One open place: where the unit before would end, what stands around it, and words since the gap before."""
+    """One open place: where it is, what stands around it, and words since the gap before (at most 3)."""
 
     end: int
     before: str
@@ -85,9 +101,9 @@ def left_form(word: str) -> str:
     return left[-6:] if UNSPACED.search(left) else left
 
 
-def right_form(text: str) -> str:
+def right_form(text: str, at: int = 0) -> str:
     """The word after a gap; its first letter's case is kept as a sign in front. Unspaced scripts give their first characters."""
-    found = NEXT_WORDS.match(text)
+    found = NEXT_WORDS.match(text, at)
     return _right_form(found[1][:40], (found[2] or "")[:40] if found[1].lstrip(OPENING)[:1].isdigit() else "") if found else ""
 
 
@@ -122,9 +138,9 @@ def left_class(left: str) -> str:
     """The shape of a word before a gap."""
     body = left.rstrip(CLOSING)
     closed = "b" if left[len(body) :].startswith((")", "]")) else "q" if len(body) < len(left) else ""
-    mark = body[-1:] if body[-1:] in "!?…؟।;;。！？" else "..." if body.endswith("...") else "." if body[-1:] in ".．" else ""
-    core = body.rstrip(".!?…؟।．;;。！？")
-    if mark in ("!", "?", "؟", "।", "。", "！", "？", ";", ";", "...", "…"):
+    mark = "..." if body.endswith("...") else "." if body[-1:] in (".", "．", "﹒") else body[-1:] if body[-1:] and body[-1:] in ENDING else ""
+    core = body.rstrip(ENDING)
+    if mark not in ("", "."):
         return f"{closed}{mark}"
     if not core:
         size = "none"
@@ -180,127 +196,53 @@ def parts(text: str) -> Iterator[tuple[int, int, bool]]:
 def gaps(text: str, start: int, end: int) -> tuple[list[Gap], list[int]]:
     """The open places of a stretch, and its certain ends but for the last."""
     part = text[start:end]
+    if NOTICE.match(part):
+        return [], []
     mark = MARK.match(part)
     skip = mark.end() if mark else 0
-    found: list[tuple[int, int]] = []
+    found: list[int] = []
     for m in GAP.finditer(part, skip):
-        if m[0][0] in ";;" and (m[0][0] == ";"):
-            near = part[max(0, m.start() - 60) : m.start()]
-            if 2 * len(GREEK.findall(near)) <= len(LETTER.findall(near)):
+        if m[0][0] == ";":  # the Greek question mark, where most letters before it are Greek
+            clause = re.split(r"[.!;]", part[skip : m.start()])[-1]
+            if 2 * len(GREEK.findall(clause)) <= len(LETTER.findall(clause)):
                 continue
-        if part[m.end() :].strip():
-            found.append((m.end(), m.start()))
+        if m.end() < len(part.rstrip()):
+            found.append(m.end())
     certain: list[int] = []
     if HAS_THAI.search(part):
-        ends = {e for e, _ in found}
+        ends = set(found)
         for m in THAI_GAP.finditer(part, skip):
-            last = part[: m.start()].rstrip(HIDDEN.replace("-", ""))[-1:]
-            if m.start() in ends:
-                continue
-            if HAS_THAI.match(last):
-                certain.append(m.start())
-            else:
-                found.append((m.start(), m.start()))
-        found.sort()
+            last = part[max(0, m.start() - 8) : m.start()].rstrip(INVISIBLE)[-1:]
+            if m.start() not in ends:
+                (certain if HAS_THAI.match(last) else found).append(m.start())
+    if HAS_BLANK_GAP.search(part):
+        found += {m.start() for m in BLANK_GAP.finditer(part, skip)} - set(found)
+    found.sort()
     out, past = [], 0
-    for stop, _ in found:
-        before = part[max(past, stop - 60) : stop].split()
-        words = len(part[past:stop].split()) if stop - past < 400 else 99
-        left = left_form(before[-1]) if before else ""
-        out.append(Gap(stop, word_form(before[-2])[-12:] if len(before) > 1 else "", left, right_form(part[stop : stop + 60]), words))
+    for stop in found:
+        words = part[past:stop].split()
+        near = right_form(part, stop)
+        out.append(Gap(stop, word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]) if words else "", near, min(len(words), 3)))
         past = stop
     return out, certain
 
 
-class Model:
-    """The hidden-event model: counts of boundaries and of words after them, with back-off."""
-
-    #: Fixed parameters: pseudo-counts of back-off, share of the exact word, odds of a sentence of one or two words.
-    BACK = 2.0
-    EXACT = 0.85
-    LENGTH = {0: 0.02, 1: 0.05, 2: 0.6}
-
-    def __init__(self) -> None:
-        self.by_class: dict[str, tuple[float, float]] = {}
-        self.by_left: dict[str, tuple[float, float]] = {}
-        self.by_pair: dict[tuple[str, str], tuple[float, float]] = {}
-        self.start: dict[str, float] = {}
-        self.inside: dict[str, float] = {}
-        self.start_class: dict[str, float] = {}
-        self.inside_class: dict[str, float] = {}
-        self.sizes: dict[str, int] = {}
-        self.n_start = self.n_inside = 1.0
-        self.known: dict[tuple[str, str, str], tuple[float, float]] = {}
-
-    def p_boundary(self, before: str, left: str) -> float:
-        yes, all_ = self.by_class.get(left_class(left), (1.0, 2.0))
-        p = (yes + 0.5) / (all_ + 1)
-        for table, key in ((self.by_left, left), (self.by_pair, (before, left))):
-            yes, all_ = table.get(key, (0.0, 0.0))
-            p = (yes + self.BACK * p) / (all_ + self.BACK)
-        return min(max(p, 1e-4), 1 - 1e-4)
-
-    def p_word(self, right: str, exact: dict[str, float], total: float, classes: dict[str, float]) -> float:
-        kind = right.split(":", 1)[0]
-        of_class = (classes.get(kind, 0.0) + 0.1) / (total + 2)
-        return self.EXACT * exact.get(right, 0.0) / total + (1 - self.EXACT) * of_class / self.sizes.get(kind, 50)
-
-    def odds(self, gap: Gap) -> tuple[float, float]:
-        """Weight of a boundary and of none; kept for the next such gap while there is room."""
-        key = gap.before, gap.left, gap.right
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[key] = self._odds(gap)
-        return found
-
-    def _odds(self, gap: Gap) -> tuple[float, float]:
-        p = self.p_boundary(gap.before, gap.left)
-        begun = self.p_word(gap.right, self.start, self.n_start, self.start_class)
-        gone_on = self.p_word(gap.right, self.inside, self.n_inside, self.inside_class)
-        return p * begun, (1 - p) * gone_on
-
-    def posteriors(self, chain: list[Gap]) -> list[float]:
-        """Of each gap, by forward and backward passes over the chain; the state is whether the gap is a boundary."""
-        n = len(chain)
-        weights = [self.odds(g) for g in chain]
-        step = [self.LENGTH.get(g.words, 1.0) for g in chain]  # from boundary to boundary
-        forward, one, none = [], 0.0, 0.0
-        for k in range(n):
-            b, c = weights[k]
-            if k == 0:
-                one, none = b * step[0], c
-            else:
-                one, none = b * (one * step[k] + none), c * (one + none)
-            total = one + none or 1.0
-            one, none = one / total, none / total
-            forward.append((one, none))
-        out, one, none = [0.0] * n, 1.0, 1.0
-        for k in range(n - 1, -1, -1):
-            f1, f0 = forward[k]
-            out[k] = f1 * one / ((f1 * one + f0 * none) or 1.0)
-            b, c = weights[k]
-            one, none = b * step[k] * one + c * none, b * one + c * none
-            total = one + none or 1.0
-            one, none = one / total, none / total
-        return out
-
-
 def first_guess(left: str, right: str, often: tuple[float, float], rate: float) -> float:
-    """What a gap is taken for before the first round, by the kind of the word after it, and by how often the word
-    before it ends a block (of `often`, the first) beside other places (the second): words that end sentences do so at the usual rate."""
+    """What a gap is taken for before the first round, by the kind of the word after it, and by how often the words
+    before it end a block (of `often`, the first) beside other places (the second): words that end sentences do so at the usual rate."""
     kind = right.split(":", 1)[0]
     shape = left_class(left)
     if kind == "l":
         return 0.02
     if kind in ("n", "x") and shape.startswith("q"):
         return 0.5
-    if shape.lstrip("qb")[:1] in ("!", "?", "؟", "।", "。", "！", "？", "…", ";", ";") or shape.endswith("..."):
+    if shape.lstrip("qb")[:1] in ENDING_NOT_STOP or shape.endswith("..."):
         return 0.95
-    if not any(c in ".!?…؟।．。！？;;" for c in left):
-        return 0.1  # a blank without a mark
     at_end, elsewhere = often
+    if not any(c in ENDING for c in left):  # a blank without a mark
+        if kind != "x" or not BARE_END.search(left):
+            return 0.1
+        return min(0.97, max(0.01, (at_end + 0.2) / (rate * (at_end + elsewhere)))) if at_end + elsewhere >= 8 else 0.5
     if at_end + elsewhere >= 8:
         guess = min(0.97, max(0.01, (at_end + 0.2) / (rate * (at_end + elsewhere))))
     else:
@@ -308,131 +250,224 @@ def first_guess(left: str, right: str, often: tuple[float, float], rate: float)
     return guess * (0.3 if kind in ("d", "(d", "o", "(l") else 1.0)
 
 
-def train(counts: list[tuple[str, str, str, float]], rounds: int = ROUNDS) -> Model:
-    """Fits the model to rows (before, left, right, n); a row with the right word "" is the end of a block, with the left word "" its start."""
-    model = Model()
-    open_, ends, starts = [], [], []
-    for before, left, right, n in counts:
-        (ends if right == "" else starts if left == "" and before == "^" else open_).append((before, left, right, float(n)))
-    often: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for rows, k in ((ends, 0), (open_, 1)):
-        for _, left, _, n in rows:
-            often[left][k] += n
-    sure = [v for left, v in often.items() if left_class(left) in ("!", "?")]
-    rate = max(0.02, sum(v[0] for v in sure) / max(1.0, sum(map(sum, sure))))
-    guess = [first_guess(left, right, (often[left][0], often[left][1]), rate) for _, left, right, _ in open_]
-    vocabulary: dict[str, set[str]] = defaultdict(set)
-    for _, _, right, _ in open_ + starts:
-        vocabulary[right.split(":", 1)[0]].add(right)
-    model.sizes = {k: len(v) + 1 for k, v in vocabulary.items()}
-    for _ in range(rounds):
-        by_class, by_left, by_pair = (defaultdict(lambda: [0.0, 0.0]) for _ in range(3))
-        start, inside = Counter(), Counter()
-        start_class, inside_class = Counter(), Counter()
-        for (before, left, right, n), p in zip(open_ + ends, guess + [1.0] * len(ends), strict=True):
-            # block ends are seen for every kind of word; they count as one boundary among the others
-            for table, key in ((by_class, left_class(left)), (by_left, left), (by_pair, (before, left))):
-                table[key][0] += p * n
-                table[key][1] += n
-            if right:
-                kind = right.split(":", 1)[0]
-                start[right] += p * n
-                start_class[kind] += p * n
-                inside[right] += (1 - p) * n
-                inside_class[kind] += (1 - p) * n
-        for _, _, right, n in starts:
-            start[right] += n
-            start_class[right.split(":", 1)[0]] += n
-        model.by_class = {k: tuple(v) for k, v in by_class.items()}
-        model.by_left = {k: tuple(v) for k, v in by_left.items()}
-        model.by_pair = {k: tuple(v) for k, v in by_pair.items()}
-        model.start, model.inside = dict(start), dict(inside)
-        model.start_class, model.inside_class = dict(start_class), dict(inside_class)
-        model.n_start, model.n_inside = sum(start.values()) + 1, sum(inside.values()) + 1
-        weights = [model._odds(Gap(0, before, left, right, 9)) for before, left, right, _ in open_]
-        guess = [b / ((b + c) or 1.0) for b, c in weights]
-    return model
-
-
-def unit_spans(text: str, model: Model) -> list[tuple[int, int]]:
-    """Spans (from 0, end excluded) of the units of a text, in order, without the white space around them."""
-    out: list[tuple[int, int]] = []
-    for start, end, table_line in parts(text):
-        stops: list[int] = []
-        if not table_line:
-            chain, certain = gaps(text, start, end)
-            stops = certain + [g.end for g, p in zip(chain, model.posteriors(chain), strict=True) if p >= 0.5]
-        begin = start
-        for stop in [*sorted(start + s for s in stops), end]:
-            piece = text[begin:stop]
-            bare = piece.strip()
-            if bare:
-                at = begin + len(piece) - len(piece.lstrip())
-                out.append((at, at + len(bare)))
-            begin = stop
+def odds_of(chain: list[tuple[float, float, int]]) -> list[float]:
+    """Posteriors of the gaps of a stretch (weight of a boundary, weight of none, words since the gap before) by forward and backward passes; the state is whether the gap is a boundary."""
+    n = len(chain)
+    step = [LENGTH.get(words, 1.0) for _, _, words in chain]  # from boundary to boundary
+    forward, one, none = [], 0.0, 0.0
+    for k in range(n):
+        b, c, _ = chain[k]
+        if k == 0:
+            one, none = b * step[0], c
+        else:
+            one, none = b * (one * step[k] + none), c * (one + none)
+        total = one + none or 1.0
+        one, none = one / total, none / total
+        forward.append((one, none))
+    out, one, none = [0.0] * n, 1.0, 1.0
+    for k in range(n - 1, -1, -1):
+        f1, f0 = forward[k]
+        out[k] = f1 * one / ((f1 * one + f0 * none) or 1.0)
+        b, c, _ = chain[k]
+        one, none = b * step[k] * one + c * none, b * one + c * none
+        total = one + none or 1.0
+        one, none = one / total, none / total
     return out
 
 
-def observe(texts: DataFrame, text_col: str) -> DataFrame:
-    """Counts (before, left, right, n) of the gaps, block ends and block starts of the texts."""
+STOPS = "array<struct<at:int,next:int,chain:int,words:int,before:string,left:string,right:string>>"
+EDGES = "array<struct<before:string,left:string,right:string>>"
+
 
-    def table(counts: Counter[tuple[str, str, str]]) -> pa.RecordBatch:
-        rows = [(*k, n) for k, n in counts.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["before", "left", "right", "n"])
+def observe(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """One row per text that isn't null or blank: the keys, `first` (where its first unit begins), `stops` (every place where a unit may or must end: end of
+    the unit before and start of the one after, the chain of open places it belongs to or -1 where it is certain, and the n-gram) and `edges` (n-grams of block ends, with no word after, and starts, with none before)."""
+    kinds = dict(texts.dtypes)
+    stop_kind = pa.struct([("at", pa.int32()), ("next", pa.int32()), ("chain", pa.int32()), ("words", pa.int32()), ("before", pa.string()), ("left", pa.string()), ("right", pa.string())])
+    edge_kind = pa.struct([("before", pa.string()), ("left", pa.string()), ("right", pa.string())])
+
+    def lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+        flat = list(zip(*(x for row in rows for x in row), strict=True)) or [()] * kind.num_fields
+        fields = [pa.array(c, kind[k].type) for k, c in enumerate(flat)]
+        edges = [0]
+        for row in rows:
+            edges.append(edges[-1] + len(row))
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(fields, names=[f.name for f in kind]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[str, str, str]] = Counter()
         for batch in batches:
-            if len(counts) > HELD:
-                yield table(counts)
-                counts.clear()
-            for text in batch.column(0).to_pylist():
-                for start, end, table_line in parts(text):
-                    if table_line:
-                        continue
-                    part = text[start:end].strip()
-                    chain, certain = gaps(text, start, end)
-                    for g in chain:
-                        counts[g.before, g.left, g.right] += 1
-                    for at in certain:
-                        counts["^", "", right_form(text[start + at : start + at + 40])] += 1
-                    closing = part.rstrip(CLOSING)[-1:]
-                    if chain and not MARK.match(part):
-                        counts["^", "", right_form(part[:60])] += 1
-                    if (closing in ".!?…؟।．;。！？" or HAS_THAI.search(part[-12:])) and chain:
-                        words = part[-60:].split()
-                        counts[word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]), ""] += 1
-        yield table(counts)
-
-    seen = texts.select(text_col).mapInArrow(run, "before string, left string, right string, n long")
-    return seen.groupBy("before", "left", "right").agg(F.sum("n").alias("n"))
-
-
-def fit(texts: DataFrame, text_col: str, rows: int | None = None) -> Model:
-    """The model of all texts. The driver gets their distinct n-grams; `rows`, once the size of a sample's frame, changes nothing."""
-    some = texts.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    return train(sorted(zip(*(c.to_pylist() for c in observe(some, text_col).toArrow().columns), strict=True)))
-
-
-def split_sentences(texts: DataFrame, keys: list[str], text_col: str, model: Model) -> DataFrame:
+            kept, first, stops, edges = [], [], [], []
+            for row, text in enumerate(batch.column(len(keys)).to_pylist()):
+                found = read(text)
+                if found:
+                    kept.append(row)
+                    for into, x in zip((first, stops, edges), found, strict=True):
+                        into.append(x)
+            at = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keys))), pa.array(first, pa.int32()), lists(stops, stop_kind), lists(edges, edge_kind)], names=[*keys, "first", "stops", "edges"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", first int, stops {STOPS}, edges {EDGES}"
+    return texts.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(*keys, text_col).mapInArrow(run, schema)
+
+
+def read(text: str) -> tuple[int, list[tuple], list[tuple]] | None:
+    """first, stops and edges of a text; None if it is blank."""
+    stops: list[tuple] = []
+    edges: list[tuple] = []
+    size = len(text)
+    first = size - len(text.lstrip())
+    if first == size:
+        return None
+
+    def stop(at: int, *more: object) -> None:
+        end, after = at, at
+        while end and (text[end - 1].isspace()):
+            end -= 1
+        while after < size and text[after].isspace():
+            after += 1
+        stops.append((end, after, *more))
+
+    for number, (start, end, table_line) in enumerate(parts(text)):
+        chain, certain = ([], []) if table_line else gaps(text, start, end)
+        open_places = iter(chain)
+        gap = next(open_places, None)
+        for at in sorted([*certain, *(g.end for g in chain)]):
+            if gap is not None and gap.end == at:
+                stop(start + at, number, gap.words, gap.before, gap.left, gap.right)
+                gap = next(open_places, None)
+            else:
+                stop(start + at, -1, 0, None, None, None)
+        stop(end, -1, 0, None, None, None)
+        for at in certain:
+            edges.append(("^", "", right_form(text[start:end], at)))
+        if chain:
+            part = text[start:end].strip()
+            if not MARK.match(part):
+                edges.append(("^", "", right_form(part)))
+            if part.rstrip(CLOSING)[-1:] in ENDING or HAS_THAI.search(part[-12:]) or BARE_END.search(part) and not any(c in ENDING for g in chain for c in g.left):
+                words = part.rsplit(None, 2)[-2:]
+                edges.append((word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]), ""))
+    return first, stops, edges
+
+
+def ngrams(observed: DataFrame) -> DataFrame:
+    """The distinct n-grams of open places and edges: before, left, right, n, `shape` of the left and `kind` of the right word, `open`."""
+    seen = observed.select(F.explode(F.filter("stops", lambda x: x["chain"] >= 0)).alias("x")).select("x.before", "x.left", "x.right", F.lit(True).alias("open"))
+    edges = observed.select(F.explode("edges").alias("x")).select("x.before", "x.left", "x.right", F.lit(False).alias("open"))
+    counts = seen.union(edges).groupBy("before", "left", "right", "open").agg(F.count("*").alias("n"))
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shape = pa.array([left_class(x) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, shape], names=["before", "left", "right", "open", "n", "shape"])
+
+    return counts.mapInArrow(shapes, "before string, left string, right string, open boolean, n long, shape string").withColumn("kind", F.substring_index("right", ":", 1))
+
+
+def start_guess(grams: DataFrame) -> DataFrame:
+    """`grams` with `p`, what each is taken for before the first round; block ends are boundaries for certain."""
+    sums = lambda *keys: grams.where("left <> ''").groupBy(*keys).agg(F.sum(F.when(F.col("open"), 0).otherwise(F.col("n"))).cast("double").alias("at_end"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).cast("double").alias("elsewhere"))
+    rate = grams.where("shape in ('!', '?')").agg(F.sum(F.when(F.col("open"), 0).otherwise(F.col("n"))), F.sum("n")).first()
+    usual = max(0.02, (rate[0] or 0) / max(1.0, rate[1] or 0))
+    pairs = sums("before", "left").select("before", "left", F.col("at_end").alias("pair_end"), F.col("elsewhere").alias("pair_else"))
+    asked = grams.where("open").join(sums("left"), "left").join(pairs, ["before", "left"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, *counts = (batch.column(k).to_pylist() for k in (1, 2, 6, 7, 8, 9))
+            p = [first_guess(a, b, (d, e) if d + e >= PAIRS and not left_class(a).startswith(("b", "q")) else (m, n), usual) for a, b, m, n, d, e in zip(left, right, *counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(p, pa.float64())], names=["before", "left", "right", "n", "shape", "kind", "p"])
+
+    return asked.select("before", "left", "right", "n", "shape", "kind", "at_end", "elsewhere", "pair_end", "pair_else").mapInArrow(run, "before string, left string, right string, n long, shape string, kind string, p double")
+
+
+def weighed(open_grams: DataFrame, edges: DataFrame) -> DataFrame:
+    """`open_grams` with the weights `b` of a boundary and `c` of none that follow from their `p`: one round on the table."""
+    ends = edges.where("left <> ''").select("before", "left", "shape", F.col("n").alias("all"), F.col("n").cast("double").alias("yes"))
+    begun = edges.where("left = ''").select("right", "kind", F.col("n").cast("double").alias("start"), F.lit(0.0).alias("inside"))
+    pairs = open_grams.select("before", "left", "shape", F.col("n").alias("all"), (F.col("n") * F.col("p")).alias("yes")).union(ends).groupBy("before", "left", "shape").agg(F.sum("all").alias("pair_all"), F.sum("yes").alias("pair_yes"))
+    lefts = pairs.groupBy("left", "shape").agg(F.sum("pair_all").alias("left_all"), F.sum("pair_yes").alias("left_yes"))
+    shapes = lefts.groupBy("shape").agg(F.sum("left_all").alias("shape_all"), F.sum("left_yes").alias("shape_yes"))
+    back = lambda yes, total, p: (F.col(yes) + BACK * p) / (F.col(total) + BACK)
+    by_left = lefts.join(F.broadcast(shapes), "shape").select("left", back("left_yes", "left_all", (F.col("shape_yes") + 0.5) / (F.col("shape_all") + 1)).alias("of_left"))  # as many rows as there are shapes
+    by_pair = pairs.join(by_left, "left").select("before", "left", F.least(F.greatest(back("pair_yes", "pair_all", F.col("of_left")), F.lit(LEAST)), F.lit(1 - LEAST)).alias("boundary"))
+    words = open_grams.select("right", "kind", (F.col("n") * F.col("p")).alias("start"), (F.col("n") * (1 - F.col("p"))).alias("inside")).union(begun).groupBy("right", "kind").agg(F.sum("start").alias("start"), F.sum("inside").alias("inside"))
+    kinds = words.groupBy("kind").agg(F.sum("start").alias("kind_start"), F.sum("inside").alias("kind_inside"), (F.count("*") + 1).alias("size"))
+    every = Window.partitionBy(F.lit(0))  # over a handful of kinds
+    kinds = kinds.withColumns({"starts": F.sum("kind_start").over(every) + 1, "insides": F.sum("kind_inside").over(every) + 1})
+    chance = lambda exact, of_kind, n: EXACT * F.col(exact) / F.col(n) + (1 - EXACT) * (F.col(of_kind) + 0.1) / (F.col(n) + 2) / F.col("size")
+    by_word = words.join(F.broadcast(kinds), "kind").select("right", chance("start", "kind_start", "starts").alias("begins"), chance("inside", "kind_inside", "insides").alias("goes_on"))
+    joined = open_grams.join(by_pair, ["before", "left"]).join(by_word, "right")
+    return joined.withColumns({"b": F.col("boundary") * F.col("begins"), "c": (1 - F.col("boundary")) * F.col("goes_on")})
+
+
+def fit(observed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """before, left, right and the fitted weights b and c of every n-gram of an open place, by expectation-maximisation over all of them."""
+    grams = durable_table(ngrams(observed), "ngrams")
+    edges = grams.where("not open").select("before", "left", "right", "n", "shape", "kind")
+    table = durable_table(start_guess(grams), "guess")
+    for n in range(rounds):
+        table = weighed(table, edges).select("before", "left", "right", "n", "shape", "kind", "b", "c", (F.col("b") / (F.col("b") + F.col("c"))).alias("p"))
+        table = durable_table(table, "round")
+    return table.select("before", "left", "right", "b", "c")
+
+
+def gram_key(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
+def split_sentences(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """One row per unit: the keys, `unit_no` (from 1), `start_pos`, `end_pos` (characters, from 1, both included).
 
-    Null, empty and blank texts have no rows. Rows are independent and aren't moved; equal keys don't clash.
+    Null, empty and blank texts have no rows. Each text is split whole, by a model of all of them; equal keys don't clash.
     """
-    kinds = {c: t for c, t in texts.dtypes}
+    observed = durable_table(observe(texts, keys, text_col).withColumn("_t", F.monotonically_increasing_id()), "gaps")
+    kinds = dict(texts.dtypes)
+    odds = fit(observed).select(gram_key(F.col("before"), F.col("left"), F.col("right")).alias("_g"), "b", "c")
+    places = observed.select("_t", F.posexplode("stops").alias("_at", "x")).where("x.chain >= 0").select("_t", "_at", gram_key(F.col("x.before"), F.col("x.left"), F.col("x.right")).alias("_g"))
+    scored = places.join(odds, "_g").groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("_at", "b", "c"))).alias("_w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, no, first, last = [], [], [], []
-            for k, text in enumerate(batch.column(len(keys)).to_pylist()):
-                for j, (a, b) in enumerate(unit_spans(text, model)):
-                    rows.append(k)
-                    no.append(j + 1)
-                    first.append(a + 1)
-                    last.append(b)
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keys))), pa.array(no, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=[*keys, "unit_no", "start_pos", "end_pos"])
+            rows, no, begins, ends = [], [], [], []
+            for row, (first, at, after, chain, words, weights) in enumerate(zip(*(batch.column(len(keys) + k).to_pylist() for k in range(6)), strict=True)):
+                chosen = chosen_stops(chain, words, weights or [])
+                n, begin = 0, first
+                for place, end in enumerate(at):
+                    if not chosen[place]:
+                        continue
+                    if begin < end:
+                        n += 1
+                        rows.append(row)
+                        no.append(n)
+                        begins.append(begin + 1)
+                        ends.append(end)
+                    begin = max(begin, after[place])
+            taken = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in range(len(keys))), pa.array(no, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=[*keys, "unit_no", "start_pos", "end_pos"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", unit_no int, start_pos long, end_pos long"
-    return texts.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(*keys, text_col).mapInArrow(run, schema)
+    told = observed.select("_t", *keys, "first", *(F.col(f"stops.{c}").alias(f"_{c}") for c in ("at", "next", "chain", "words"))).join(scored, "_t", "left")
+    return told.select(*keys, "first", "_at", "_next", "_chain", "_words", F.transform("_w", lambda w: F.array(w["b"], w["c"])).alias("_w")).mapInArrow(run, schema)
+
+
+def chosen_stops(chain: list[int], words: list[int], weights: list[list[float]]) -> list[bool]:
+    """Which of a text's places end a unit: the certain ones, and open ones whose posterior in their chain is at least one half."""
+    out, k = [True] * len(chain), 0
+    place = 0
+    while place < len(chain):
+        if chain[place] < 0:
+            place += 1
+            continue
+        mine = []
+        p = place
+        while p < len(chain) and chain[p] in (chain[place], -1):
+            if chain[p] >= 0:
+                mine.append(p)
+            p += 1
+        some = [(*weights[k + j], words[m]) for j, m in enumerate(mine)]
+        for m, posterior in zip(mine, odds_of(some), strict=True):
+            out[m] = posterior >= 0.5
+        k += len(mine)
+        place = p
+    return out
