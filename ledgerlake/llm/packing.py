@@ -3,8 +3,8 @@
 Method: Karmarkar-Karp multiway differencing. Every item starts as a partial partition with one
 non-empty window; the two partial partitions with the largest imbalances are merged so that the
 full windows of one meet the empty windows of the other, until one partition is left. Its windows
-are near-equal. Windows beyond the capacity then exchange items with windows that have space, and the
-window count rises by one wherever no exchange is left.
+are near-equal. Where a window is beyond the capacity the window count rises by one and items are differenced again; before
+that, items are exchanged between windows, a step that can be left out at the price of space.
 
 At scale the items are first parted by a hash into groups of about `GROUP_ITEMS`, whose number grows
 with the data; groups are packed independently, one task holds one group at a time, and at most one
@@ -70,23 +70,22 @@ def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def relieve(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> None:
-    """Exchanges items of windows beyond the capacity with others, in place, until none is beyond it.
+    """Exchanges items of windows beyond the capacity with others, in place, as far as there is an exchange.
 
     An exchange gives an item of the full window for a smaller one (or for nothing) of a window that
-    has the space; the one that leaves the least excess is made, of equal ones the tightest. Where
-    no exchange is left, the window count rises: an empty window is added, which has space for any item.
+    has the space; the one that leaves the least excess is made, of equal ones the tightest.
     """
     far = np.iinfo(np.int64).max
+    offer = np.concatenate([sizes, np.zeros(len(sums), sizes.dtype)])
     for w in np.argsort(-sums, kind="stable"):
         while sums[w] > capacity:
-            offer, of = np.concatenate([sizes, np.zeros(len(sums), sizes.dtype)]), np.concatenate([window, np.arange(len(sums))])
+            of = np.concatenate([window, np.arange(len(sums))])
             space = capacity - sums[of]
             own = np.flatnonzero(window == w)
             gain = sizes[own][:, None] - offer[None, :]
             fits = (gain > 0) & (gain <= space[None, :]) & (of != w)[None, :]
             if not fits.any():
-                sums = np.append(sums, 0)
-                continue
+                break
             excess = np.where(fits, np.maximum(sums[w] - gain - capacity, 0), far)
             i, j = np.unravel_index(int(np.argmin(np.where(excess == excess.min(), space[None, :] - gain, far))), gain.shape)
             if j < len(sizes):
@@ -96,16 +95,35 @@ def relieve(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: i
             sums[w] -= gain[i, j]
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item; no window holds more than `capacity`, to which no item may come."""
+def pack(sizes: np.ndarray, capacity: int, exchange: bool = True) -> np.ndarray:
+    """Window of each item; no window holds more than `capacity`, to which no item may come.
+
+    The items are differenced for the least number of windows that could hold them. As long as a window is beyond the capacity the number
+    rises by one and items are differenced again: all of them, or with `exchange`, which first exchanges items between windows, those of the
+    windows that are still beyond it.
+    """
     if not len(sizes):
         return np.zeros(0, int)
-    window, sums = difference(sizes, max(1, -(-int(sizes.sum()) // capacity)))
-    relieve(sizes, window, sums, capacity)
+    windows = max(1, -(-int(sizes.sum()) // capacity))
+    window, sums = difference(sizes, windows)
+    while sums.max() > capacity:
+        if exchange:
+            relieve(sizes, window, sums, capacity)
+            full = np.flatnonzero(sums > capacity)
+            if not len(full):
+                break
+            again = np.flatnonzero(np.isin(window, full))
+            places = np.append(full, len(sums))
+            part, part_sums = difference(sizes[again], len(places))
+            window[again], sums = places[part], np.append(sums, 0)
+            sums[places] = part_sums
+        else:
+            windows += 1
+            window, sums = difference(sizes, windows)
     return np.unique(window, return_inverse=True)[1]
 
 
-def pack_items(items: DataFrame, rows: int, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack_items(items: DataFrame, rows: int, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, exchange: bool = True) -> DataFrame:
     """One row per piece: `container`, the id, `piece` (from 0), `first` (place of its first token) and `n_tokens`.
 
     items: one row per item; `rows` is their number, from which the number of groups follows. Items
@@ -121,11 +139,13 @@ def pack_items(items: DataFrame, rows: int, id_col: str = "doc_id", size_col: st
         part = part.sort_values(["n_tokens", "_id", "piece"], ascending=[False, True, True], kind="stable")
         sizes = part["n_tokens"].to_numpy()
         full = int((sizes == capacity).sum())  # these come first and are containers of their own
-        window = np.concatenate([np.arange(full), full + pack(sizes[full:], capacity)])
+        window = np.concatenate([np.arange(full), full + pack(sizes[full:], capacity, exchange)])
         return pd.DataFrame({"container": [f"{g}:{w}" for g, w in zip(part["_group"], window, strict=True)], id_col: part["_id"], "piece": part["piece"], "first": part["piece"].astype("int64") * capacity, "n_tokens": part["n_tokens"]})
 
     kind = items.schema[id_col].dataType.simpleString()
-    return pieces.groupBy("_group").applyInPandas(windows, f"container string, `{id_col}` {kind}, piece int, first long, n_tokens long")
+    # rows are few bytes, so the number of tasks follows from the groups, not from the size of the shuffle
+    tasks = max(1, min(groups, 3 * items.sparkSession.sparkContext.defaultParallelism), groups // 64)
+    return pieces.repartition(tasks, "_group").groupBy("_group").applyInPandas(windows, f"container string, `{id_col}` {kind}, piece int, first long, n_tokens long")
 
 
 def container_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -66,6 +66,19 @@ def test_containers(spark):
     assert packing.pack_items(items.limit(0), 0).count() == 0
 
 
+def test_windows_within_capacity():
+    """With and without the exchange: no window beyond the capacity, every item placed, and few windows more than the least."""
+    rng = np.random.default_rng(6)
+    for n, low, high in ((1, 1, 2047), (40, 700, 1100), (60, 1020, 1030), (500, 1, 2048), (300, 5, 50), (9, 2047, 2048)):
+        sizes = np.sort(rng.integers(low, high, n))[::-1]
+        for exchange in (True, False):
+            window = packing.pack(sizes, 2048, exchange)
+            assert len(window) == n and np.bincount(window, sizes).max() <= 2048 and set(window) == set(range(window.max() + 1))
+        assert packing.pack(sizes, 2048).max() + 1 <= n
+    few = rng.integers(1, 600, 1000)
+    assert packing.pack(few, 2048).max() + 1 <= 1.01 * few.sum() / 2048 + 1
+
+
 def test_quality_does_not_depend_on_the_cuts(spark):
     prose = "Bolaget ökade intäkterna med 5 %. Det var ett mycket bra år för alla.\n" * 4
     texts = {
