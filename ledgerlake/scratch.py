@@ -27,14 +27,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def durable_table(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet below the shared checkpoint folder and read again: smaller than a checkpoint and prunable."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """`df`, written as Parquet below the shared checkpoint folder and read again: smaller than a checkpoint and prunable. The file system deletes it when the application ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
