@@ -8,19 +8,21 @@ Method: a MinHash LSH forest, then exact verification.
   levels from the root. Rows of one branch meet in one task, sorted, so a bucket is a run; a branch of
   more than HEAVY rows is split into pairs of blocks, which are compared in tasks of their own.
 * Prefixes are shortened from full depth to one level above `prefix_depth`, the deepest at which the trees
-  together reach the target recall for pairs just at the threshold. All pairs of a bucket are candidates, whatever its size.
+  together should reach the target recall for pairs just at the threshold, and from there on as long as the last level
+  still adds more than the target allows to the pairs that verification confirms: what decides is the recall measured
+  on the data, not their size. All pairs of a bucket are candidates, whatever its size.
 * Candidates whose one-bit values already tell them apart are dropped: the limit is `SLACK` standard
   deviations below what a pair at the threshold has. The rest is compared exactly.
 
 Equal texts are one class before the forest, so copies cost one signature each and no candidates; no
-bucket is capped. Every stage is a shuffle on hashed keys; nothing is collected.
+bucket is capped. Every stage is a shuffle on hashed keys; only two counts are collected.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,27 +138,28 @@ def sign(texts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
 
 def groups(classes: DataFrame, high: int, heavy: int = HEAVY) -> DataFrame:
-    """Rows (branch, part, side, id, s1, s2) of what is compared together: a branch of at most `heavy` rows is one part.
+    """Rows (branch, part, side, key, id, s1, s2) of what is compared together: a branch of at most `heavy` rows is one part.
 
     A larger one is dealt into blocks by id; each block is a part, and so is each pair of blocks, of which one is side 0, the other 1.
     """
-    placed = classes.select(F.explode("keys").alias("key"), "id", "s1", "s2").select(F.shiftright("key", high).alias("branch"), "id", "s1", "s2")
+    placed = classes.select(F.explode("keys").alias("key"), "id", "s1", "s2").select(F.shiftright("key", high).alias("branch"), "key", "id", "s1", "s2")
     sizes = placed.groupBy("branch").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("branch", F.ceil(F.col("n") / heavy).alias("blocks"))
     # at most one row for `heavy` rows of a tree: short enough to be sent to every task
     dealt = placed.join(F.broadcast(sizes), "branch", "left").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     one, two = F.least("own", "other"), F.greatest("own", "other")
     return (
         dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-        .select("branch", F.coalesce(one * F.col("blocks") + two, F.lit(0).cast("long")).alias("part"), F.coalesce((F.col("own") > F.col("other")).cast("long"), F.lit(0).cast("long")).alias("side"), "id", "s1", "s2")
+        .select("branch", F.coalesce(one * F.col("blocks") + two, F.lit(0).cast("long")).alias("part"), F.coalesce((F.col("own") > F.col("other")).cast("long"), F.lit(0).cast("long")).alias("side"), "key", "id", "s1", "s2")
     )
 
 
-def candidates(classes: DataFrame, threshold: float, heavy: int = HEAVY) -> DataFrame:
-    """Pairs (a < b) of class representatives that share a bucket of the forest and whose sketches allow the threshold.
+def candidates(classes: DataFrame, threshold: float, depth: int, heavy: int = HEAVY) -> DataFrame:
+    """Pairs (a < b) of class representatives that share a bucket of the forest at this depth and whose sketches allow the threshold; `deeper` tells whether they share one a level deeper.
 
-    Buckets are branches at the depth described above, compared in the parts that `groups` makes of them.
+    Buckets are compared in the parts that `groups` makes of them.
     """
-    high = LEVEL_BITS * (DEPTH - max(1, prefix_depth(threshold) - 1))
+    high = LEVEL_BITS * (DEPTH - depth)
+    below = max(high - LEVEL_BITS, 0)
     bits = HASHES * BINS
     least = math.ceil(bits * (1 + threshold) / 2 - SLACK * math.sqrt(bits * (1 + threshold) * (1 - threshold)) / 2)
 
@@ -168,15 +171,16 @@ def candidates(classes: DataFrame, threshold: float, heavy: int = HEAVY) -> Data
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            differs = (held[0] != held[0][-1:]) | (held[1] != held[1][-1:])
+            branch = held[2] >> high
+            differs = (branch != branch[-1:]) | (held[0] != held[0][-1:])
             last = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
             if last:
                 yield from pairs(*(h[:last] for h in held))
                 held = [h[last:] for h in held]
         yield from pairs(*held)
 
-    def pairs(branch: np.ndarray, part: np.ndarray, side: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
+    def pairs(part: np.ndarray, side: np.ndarray, key: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, branch, deep = len(ids), key >> high, key >> below
         new = (branch[1:] != branch[:-1]) | (part[1:] != part[:-1])
         starts = np.concatenate([[0], new.nonzero()[0] + 1]) if n else np.zeros(0, np.int64)
         ends = np.concatenate([starts[1:], [n]]) if n else starts
@@ -201,9 +205,9 @@ def candidates(classes: DataFrame, threshold: float, heavy: int = HEAVY) -> Data
         for i, j in steps():
             ok = alike(s1, s2, i, j)
             if ok.any():
-                a, b = ids[i[ok]], ids[j[ok]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                size += len(a)
+                i, j = i[ok], j[ok]
+                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), (deep[i] == deep[j]).astype(np.int64)]))
+                size += len(i)
             if size > BATCH:
                 yield unique(found)
                 found, size = [], 0
@@ -211,15 +215,29 @@ def candidates(classes: DataFrame, threshold: float, heavy: int = HEAVY) -> Data
             yield unique(found)
 
     def unique(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        a, b, deeper = np.concatenate(found, axis=1)
+        order = np.lexsort((-deeper, b, a))
+        a, b, deeper = a[order], b[order], deeper[order]
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (a, b, deeper)], names=["a", "b", "deeper"])
 
     split = groups(classes, high, heavy).repartition("branch", "part").sortWithinPartitions("branch", "part", "side", "id")
-    return split.mapInArrow(run, "a long, b long").distinct()
+    return split.select("part", "side", "key", "id", "s1", "s2").mapInArrow(run, "a long, b long, deeper long").groupBy("a", "b").agg(F.max("deeper").alias("deeper"))
+
+
+def shorten(classes: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: float, target: float = TARGET, depth: int | None = None) -> DataFrame:
+    """Confirmed pairs (a, b, jaccard) of the shortest prefixes needed: a level is added as long as the one before it added more than 1 - `target` of the pairs that `check` confirms."""
+    depth = max(1, prefix_depth(threshold, target) - 1) if depth is None else depth
+    while True:
+        found = durable_table(check(durable_table(candidates(classes, threshold, depth), "candidates")), "links")
+        every, deeper = found.agg(F.count("*"), F.sum("deeper")).first()
+        if depth == 1 or (every - (deeper or 0)) <= (1 - target) * every:
+            return found.select("a", "b", "jaccard")
+        depth -= 1
 
 
 def verified(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int) -> DataFrame:
-    """The pairs that are at least the threshold alike, with `jaccard`."""
+    """The pairs (a, b, deeper) that are at least the threshold alike, with `jaccard`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grams(text: str) -> frozenset[str]:
@@ -228,8 +246,8 @@ def verified(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, thr
 
         for batch in batches:
             known: dict[int, frozenset[str]] = {}
-            kept: list[tuple[int, int, float]] = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            kept: list[tuple[int, int, int, float]] = []
+            for a, b, deeper, x, y in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 p = known.get(a)
                 if p is None:
                     p = known[a] = grams(x)
@@ -239,13 +257,14 @@ def verified(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, thr
                 shared = len(p & q)
                 either = len(p) + len(q) - shared
                 if either and shared >= threshold * either:
-                    kept.append((a, b, shared / either))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True) if kept else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "jaccard"])
+                    kept.append((a, b, deeper, shared / either))
+            columns = list(zip(*kept, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "deeper", "jaccard"])
 
     needed = pairs.select("a").union(pairs.select("b").withColumnRenamed("b", "a")).distinct()
     some = texts.select(F.col(id_col).cast("long").alias("a"), F.col(text_col).alias("x")).join(needed, "a", "left_semi")
     other = some.select(F.col("a").alias("b"), F.col("x").alias("y"))
-    return pairs.join(some, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, jaccard double")
+    return pairs.join(some, "a").join(other, "b").select("a", "b", "deeper", "x", "y").mapInArrow(run, "a long, b long, deeper long, jaccard double")
 
 
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -258,8 +277,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, threshold: flo
     classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("size"))
     members = durable_table(signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("class", "id", "size"), "members")
     heads = signed.select("id", "s1", "s2", "keys").join(members.where("class = id").select("id"), "id", "left_semi").where("keys is not null")
-    pairs = durable_table(candidates(heads, threshold), "candidates")
-    return verified(pairs, texts, id_col, text_col, threshold, shingle), members
+    return shorten(heads, lambda pairs: verified(pairs, texts, id_col, text_col, threshold, shingle), threshold), members
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

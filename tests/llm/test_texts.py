@@ -197,8 +197,25 @@ def test_candidates_of_large_buckets(spark):
     """Forty rows share four levels of one tree and differ in the fifth: all their pairs are candidates, as those of few rows are."""
     for n in (10, 40):
         rows = [(k, 5, 5, [(7 << neardup.LEVEL_BITS) | k]) for k in range(n)]
-        got = neardup.candidates(spark.createDataFrame(rows, "id long, s1 long, s2 long, keys array<long>"), 0.7).collect()
-        assert sorted(map(tuple, got)) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+        got = neardup.candidates(spark.createDataFrame(rows, "id long, s1 long, s2 long, keys array<long>"), 0.7, 4).collect()
+        assert sorted(map(tuple, got)) == [(a, b, 0) for a in range(n) for b in range(a + 1, n)]
+
+
+def test_prefixes_are_shortened_until_the_target(spark):
+    """One level is added after another while the last one adds more than the target allows; the pairs of the shortest prefixes stay."""
+    bits = neardup.LEVEL_BITS
+    key = lambda *levels: sum(x << bits * (4 - k) for k, x in enumerate(levels))
+    far = [(100 + k, 5, 5, [key(9, k, 0, 0, 0)]) for k in range(50)]  # share one level only
+    near = [(2 * k + j, 5, 5, [key(1, k, k, k, j if k % 2 else 0)]) for k in range(20) for j in (0, 1)]  # half share five levels, half four
+    df = spark.createDataFrame(far + near, "id long, s1 long, s2 long, keys array<long>")
+    asked = []
+
+    def check(pairs):
+        asked.append(pairs.count())
+        return pairs.withColumn("jaccard", F.lit(1.0))
+
+    got = {(r.a, r.b) for r in neardup.shorten(df, check, 0.7, 0.985, 4).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(20)} and asked == [20, 20]  # level 4 adds half, level 3 nothing
 
 
 def test_heavy_branches_are_split(spark):
@@ -207,8 +224,8 @@ def test_heavy_branches_are_split(spark):
     rows = [(k, rng.choice((5, -6)), 5, [(7 << 2 * neardup.LEVEL_BITS) | k, (9 << 2 * neardup.LEVEL_BITS) | (k % 70 << neardup.LEVEL_BITS)]) for k in range(300)]
     df = spark.createDataFrame(rows, "id long, s1 long, s2 long, keys array<long>")
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[3][0] >> 11 == b[3][0] >> 11 or a[3][1] >> 11 == b[3][1] >> 11) and a[1] == b[1]}
-    assert {tuple(r) for r in neardup.candidates(df, 0.7, heavy=10_000).collect()} == want
-    assert sorted(map(tuple, neardup.candidates(df, 0.7, heavy=50).collect())) == sorted(want)
+    assert {tuple(r)[:2] for r in neardup.candidates(df, 0.7, 4, heavy=10_000).collect()} == want
+    assert sorted(tuple(r)[:2] for r in neardup.candidates(df, 0.7, 4, heavy=50).collect()) == sorted(want)
     sizes = [r["count"] for r in neardup.groups(df, neardup.LEVEL_BITS, 50).groupBy("branch", "part").count().collect()]
     assert max(sizes) <= 2 * 2 * 50 and len(sizes) == 21 + 70
 
