@@ -54,7 +54,15 @@ INVISIBLE = "".join(map(chr, [0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF]))
 #: Occurrences of a pair of words from which its own counts give the first guess; behind closing signs the word's do, as what they enclose is mixed.
 PAIRS = 8
 #: A place where a unit may end: marks, closing signs, then white space or, after other terminal marks, anything.
-GAP = re.compile(f"(?:[{SPACED}][{ENDING}{HIDDEN}]*[{CLOSE}{HIDDEN}]*(?=\\s)|[{TERMINAL}]+[{CJK_CLOSE}{HIDDEN}]*)")
+def gap_pattern(spaced: str, terminal: str) -> re.Pattern[str]:
+    return re.compile(f"[{spaced}{terminal}](?:(?<=[{spaced}])[{spaced}{terminal}{HIDDEN}]*[{CLOSE}{HIDDEN}]*(?=\\s)|(?<=[{terminal}])[{terminal}]*[{CJK_CLOSE}{HIDDEN}]*)")
+
+
+GAP = gap_pattern(SPACED, TERMINAL)
+#: The same for texts that hold none of the rarer marks, as most do: small classes are searched faster.
+COMMON = ".!?…;;؟।", "。！？"
+COMMON_GAP = gap_pattern(*COMMON)
+RARE = frozenset(ENDING) - frozenset("".join(COMMON))
 THAI = "฀-๿"
 #: White space before a Thai letter, after a Thai letter or after a digit, sign or Latin letter.
 THAI_GAP = re.compile(f"(?<=\\S)\\s+(?=[{HIDDEN}]*[{THAI}])")
@@ -193,29 +201,31 @@ def parts(text: str) -> Iterator[tuple[int, int, bool]]:
         at = stop[1]
 
 
-def gaps(text: str, start: int, end: int) -> tuple[list[Gap], list[int]]:
-    """The open places of a stretch, and its certain ends but for the last."""
+def gaps(text: str, start: int, end: int, thai: bool = True, blanks: bool = True, rare: bool = True) -> tuple[list[Gap], list[int]]:
+    """The open places of a stretch, and its certain ends but for the last. The text may be known to hold no Thai, no white space that parts an unspaced script, or none of the rarer marks."""
     part = text[start:end]
     if NOTICE.match(part):
         return [], []
     mark = MARK.match(part)
     skip = mark.end() if mark else 0
     found: list[int] = []
-    for m in GAP.finditer(part, skip):
-        if m[0][0] == ";":  # the Greek question mark, where most letters before it are Greek
-            clause = re.split(r"[.!;]", part[skip : m.start()])[-1]
-            if 2 * len(GREEK.findall(clause)) <= len(LETTER.findall(clause)):
+    size = len(part.rstrip())
+    for m in (GAP if rare else COMMON_GAP).finditer(part, skip):
+        at = m.start()
+        if part[at] == ";":  # the Greek question mark, where most letters before it are Greek
+            clause = part[max(part.rfind(c, skip, at) for c in ".!;") + 1 : at]
+            if clause.isascii() or 2 * len(GREEK.findall(clause)) <= len(LETTER.findall(clause)):
                 continue
-        if m.end() < len(part.rstrip()):
+        if m.end() < size:
             found.append(m.end())
     certain: list[int] = []
-    if HAS_THAI.search(part):
+    if thai and HAS_THAI.search(part):
         ends = set(found)
         for m in THAI_GAP.finditer(part, skip):
             last = part[max(0, m.start() - 8) : m.start()].rstrip(INVISIBLE)[-1:]
             if m.start() not in ends:
                 (certain if HAS_THAI.match(last) else found).append(m.start())
-    if HAS_BLANK_GAP.search(part):
+    if blanks and HAS_BLANK_GAP.search(part):
         found += {m.start() for m in BLANK_GAP.finditer(part, skip)} - set(found)
     found.sort()
     out, past = [], 0
@@ -321,17 +331,20 @@ def read(text: str) -> tuple[int, list[tuple], list[tuple]] | None:
 
     def stop(at: int, *more: object) -> None:
         end, after = at, at
-        while end and (text[end - 1].isspace()):
+        while end and text[end - 1].isspace():
             end -= 1
         while after < size and text[after].isspace():
             after += 1
         stops.append((end, after, *more))
 
+    plain = text.isascii()
+    thai, blanks = not plain and HAS_THAI.search(text) is not None, not plain and HAS_BLANK_GAP.search(text) is not None
+    rare = not plain and not RARE.isdisjoint(text)
     for number, (start, end, table_line) in enumerate(parts(text)):
-        chain, certain = ([], []) if table_line else gaps(text, start, end)
+        chain, certain = ([], []) if table_line else gaps(text, start, end, thai, blanks, rare)
         open_places = iter(chain)
         gap = next(open_places, None)
-        for at in sorted([*certain, *(g.end for g in chain)]):
+        for at in sorted([*certain, *(g.end for g in chain)]) if certain else [g.end for g in chain]:
             if gap is not None and gap.end == at:
                 stop(start + at, number, gap.words, gap.before, gap.left, gap.right)
                 gap = next(open_places, None)
@@ -430,10 +443,16 @@ def split_sentences(texts: DataFrame, keys: list[str], text_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, no, begins, ends = [], [], [], []
-            for row, (first, at, after, chain, words, weights) in enumerate(zip(*(batch.column(len(keys) + k).to_pylist() for k in range(6)), strict=True)):
-                chosen = chosen_stops(chain, words, weights or [])
-                n, begin = 0, first
-                for place, end in enumerate(at):
+            first = batch.column(len(keys)).to_pylist()
+            lists = [batch.column(len(keys) + k) for k in range(1, 7)]
+            places, weights = lists[0].offsets.to_pylist(), lists[4].offsets.to_pylist()
+            at, after, chain, words = (x.values.to_pylist() for x in lists[:4])
+            boundary, none = (x.values.to_pylist() for x in lists[4:])
+            for row, begin in enumerate(first):
+                one, two = places[row], places[row + 1]
+                chosen = chosen_stops(chain[one:two], words[one:two], boundary[weights[row] : weights[row + 1]], none[weights[row] : weights[row + 1]])
+                n = 0
+                for place, end in enumerate(at[one:two]):
                     if not chosen[place]:
                         continue
                     if begin < end:
@@ -442,32 +461,32 @@ def split_sentences(texts: DataFrame, keys: list[str], text_col: str) -> DataFra
                         no.append(n)
                         begins.append(begin + 1)
                         ends.append(end)
-                    begin = max(begin, after[place])
+                    begin = max(begin, after[one + place])
             taken = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in range(len(keys))), pa.array(no, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=[*keys, "unit_no", "start_pos", "end_pos"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", unit_no int, start_pos long, end_pos long"
+    none = F.array().cast("array<double>")
     told = observed.select("_t", *keys, "first", *(F.col(f"stops.{c}").alias(f"_{c}") for c in ("at", "next", "chain", "words"))).join(scored, "_t", "left")
-    return told.select(*keys, "first", "_at", "_next", "_chain", "_words", F.transform("_w", lambda w: F.array(w["b"], w["c"])).alias("_w")).mapInArrow(run, schema)
+    return told.select(*keys, "first", "_at", "_next", "_chain", "_words", F.coalesce(F.col("_w.b"), none).alias("_b"), F.coalesce(F.col("_w.c"), none).alias("_c")).mapInArrow(run, schema)
 
 
-def chosen_stops(chain: list[int], words: list[int], weights: list[list[float]]) -> list[bool]:
+def chosen_stops(chain: list[int], words: list[int], boundary: list[float], none: list[float]) -> list[bool]:
     """Which of a text's places end a unit: the certain ones, and open ones whose posterior in their chain is at least one half."""
-    out, k = [True] * len(chain), 0
-    place = 0
-    while place < len(chain):
-        if chain[place] < 0:
-            place += 1
-            continue
-        mine = []
-        p = place
-        while p < len(chain) and chain[p] in (chain[place], -1):
-            if chain[p] >= 0:
-                mine.append(p)
-            p += 1
-        some = [(*weights[k + j], words[m]) for j, m in enumerate(mine)]
-        for m, posterior in zip(mine, odds_of(some), strict=True):
-            out[m] = posterior >= 0.5
-        k += len(mine)
-        place = p
+    out = [True] * len(chain)
+    if not boundary:
+        return out
+    open_places = [p for p, c in enumerate(chain) if c >= 0]
+    k = 0
+    while k < len(open_places):
+        stop = k + 1
+        while stop < len(open_places) and chain[open_places[stop]] == chain[open_places[k]]:
+            stop += 1
+        if stop == k + 1:
+            out[open_places[k]] = boundary[k] * LENGTH.get(words[open_places[k]], 1.0) >= none[k]
+        else:
+            some = [(boundary[j], none[j], words[open_places[j]]) for j in range(k, stop)]
+            for j, posterior in enumerate(odds_of(some), k):
+                out[open_places[j]] = posterior >= 0.5
+        k = stop
     return out
