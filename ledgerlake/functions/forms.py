@@ -8,12 +8,14 @@ from functools import lru_cache
 #: Letters with the shape of a Latin letter, by script, and the Latin letters.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁԛԝһ", "ABESIJKMHOPCTYXaesijopcyxdqwh"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυγκϳ", "ABEZHIKMNOPTYXovaipuykj"
+ARMENIAN = "ԼՍՏՕհոսցօ", "LUSOhnugo"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᏆᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHIJKLMPRSTVWZ"
 OTHER = "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ‐‑ɑɡıℓµ", "IVXLCDMivxlcdm--agilμ"
 
 
 def shapes() -> dict[str, str]:
     """Letter to the Latin letter of its shape."""
-    return {a: b for one, two in (CYRILLIC, GREEK, OTHER) for a, b in zip(one, two, strict=True)}
+    return {a: b for one, two in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, OTHER) for a, b in zip(one, two, strict=True)}
 
 
 SHAPES = str.maketrans(shapes())

@@ -113,8 +113,8 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
     parsed = filters.parse_filters(questions(spark, sf_dir), table(spark, sf_dir, "company_years")).withColumn("text", filters.expand_query(F.col("text")))
     some = parsed.select(F.col("query_id").alias("query"), "text", "company", "years", (F.col("company").isNotNull() | (F.size("years") > 0)).alias("filtered"))
-    hashed = durable_table(vectors.embed(corpus, "doc", "text", ["company", "fiscal_year"], vectors.HashingEmbedder()), "vectors")
-    embedded = vectors.embed(some, "query", "text", ["company", "years", "filtered"], vectors.HashingEmbedder())
+    hashed = durable_table(vectors.embed(corpus, "doc", "text", ["company", "fiscal_year"], vectors.HashingEmbedder(), "passage: "), "vectors")
+    embedded = vectors.embed(some, "query", "text", ["company", "years", "filtered"], vectors.HashingEmbedder(), "query: ")
     asked = durable_table(embedded.join(some.select("query", "text"), "query"), "asked")
     index = bm25.build(corpus, keep=("company", "fiscal_year"))
 
@@ -136,6 +136,45 @@ def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir).where("fused_rank <= 8").select("query", "doc", "vector_rank", "bm25_rank", "rrf_score", "fused_rank")
 
 
+def ranking_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's eight best chunks with the method that lifted them."""
+    return answer.ranking_lift(hybrid_questions(spark, sf_dir))
+
+
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's ranking in one row."""
+    return answer.trace_summary(ranking_lift(spark, sf_dir))
+
+
+def vector_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest chunks of each question by vector alone, with what a result shows and its distance."""
+    corpus = _corpus(spark, sf_dir)
+    near = vectors.nearest(vectors.embed(corpus, "doc", "text", [], vectors.HashingEmbedder(), "passage: "), vectors.embed(questions(spark, sf_dir), "query_id", "text", [], vectors.HashingEmbedder(), "query: "), 5, query_id="query_id")
+    return near.join(corpus, "doc").select("query", "rank", "doc", "document", "pages", "section", "chunk_type", F.round(1 - F.col("similarity"), 6).alias("distance"))
+
+
+def base_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each question, searched by the parts that a hosted store takes."""
+    parts = durable_table(byte_split(spark, sf_dir), "parts")
+    found = bm25.search(bm25.build(parts.select(F.col("chunk_id").alias("doc"), "text")), questions(spark, sf_dir), hybrid.DEPTH)
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"))
+    return hybrid.best_of_base(found.withColumnRenamed("rank", "fused_rank"), known, 5).select("query", "base", "score", "rank")
+
+
+def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents a hosted store takes whole."""
+    return files.split_report(byte_split(spark, sf_dir))
+
+
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with the answer given, whether it found nothing, and the outcome: right if it states the row's first value, partial if it only says something."""
+    first = F.element_at(F.filter("row_values", lambda v: v.isNotNull()), 1)
+    expected = table(spark, sf_dir, "financial_rows").select(F.col("row_id").alias("query_id"), first.alias("expected"))
+    judged = answers(spark, sf_dir).join(questions(spark, sf_dir).join(expected, "query_id").select("query_id", "text", "expected"), "query_id")
+    outcome = F.when(F.col("is_no_answer"), "wrong").when(F.coalesce(F.contains("answer", F.col("expected")), F.lit(False)), "right").otherwise("partial")
+    return judged.select("query_id", F.col("text").alias("question"), "expected", "answer", "is_no_answer", outcome.alias("outcome"))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extractive provider's answer to every question from its eight best chunks; the provider stands in for a language model."""
     found = hybrid_questions(spark, sf_dir).withColumnRenamed("fused_rank", "rank").join(_corpus(spark, sf_dir), "doc").withColumnRenamed("query", "query_id")
@@ -427,7 +466,7 @@ def column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        bm25_topk, p2_found, p2_base, bm25_filtered_topk, idf_table, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_trace, hybrid_fallback, hybrid_questions, answers, question_contexts, source_summary,
+        bm25_topk, p2_found, p2_base, bm25_filtered_topk, idf_table, vector_topk, vector_topk_filtered, rrf_fuse, hybrid_trace, hybrid_fallback, hybrid_questions, ranking_lift, trace_summary, vector_results, base_results, split_report, evaluation_run, answers, question_contexts, source_summary,
         result_lines, no_answer_flag, recall_mrr, outcome_pivot, parse_filters, expand_query, company_years, sentence_split, chunk_pack, oversize_split, byte_split, base_ids, latest_pages, text_pages_anti,
         text_chunks, fact_chunks, table_chunks, all_chunks, locate_headings, page_sections, balance_check, plain_integers, ratios, yoy_trend, row_violations, chunk_violations, repeated_ids, repeated_texts,
         metadata_export, metadata_import, document_overview, line_groups, phrases, year_clusters, interval_merge, gutter_detect, column_text, extract_rows, number_merge, column_assign,

@@ -192,11 +192,16 @@ def hashed(source: str, key: str) -> str:
 {key}_vec AS (SELECT {key}, place, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {key}_sums)"""
 
 
+def prefixed(prefix: str, key: str, source: str) -> str:
+    return f"(SELECT {key}, '{prefix}' || text AS text FROM {source} WHERE text <> '')"
+
+
+_PASSAGES = prefixed("passage: ", "doc", "corpus")
 _HYBRID = f"""corpus AS (SELECT chunk_no AS doc, text, company, fiscal_year FROM chunks), {_QUESTIONS},
 questions AS (SELECT query AS query_id, text FROM asked), {_PARSED}, {_ADDED},
 limits AS ({_FILTERED}), longer AS ({_EXPANDED}),
 want AS (SELECT l.query_id AS query, e.text, l.company, l.years, l.company IS NOT NULL OR len(l.years) > 0 AS filtered FROM limits l JOIN longer e USING (query_id)),
-{bm25('corpus', 'want')}, {hashed('corpus', 'doc')}, {hashed('want', 'query')},
+{bm25('corpus', 'want')}, {hashed(_PASSAGES, 'doc')}, {hashed(prefixed('query: ', 'query', 'want'), 'query')},
 cosines AS (SELECT query, doc, round(sum(a.x * b.x), 6) AS similarity FROM query_vec a JOIN doc_vec b USING (place) GROUP BY query, doc),
 near AS (SELECT query, doc, coalesce(similarity, 0) AS similarity FROM (SELECT query, doc FROM (SELECT DISTINCT query FROM query_vec), (SELECT DISTINCT doc FROM doc_vec)) LEFT JOIN cosines USING (query, doc)),
 near_own AS (SELECT n.* FROM near n JOIN want w USING (query) JOIN corpus c USING (doc) WHERE (w.company IS NULL OR w.company = c.company) AND (len(w.years) = 0 OR list_contains(w.years, c.fiscal_year))),
@@ -225,6 +230,13 @@ def assigned(centres: str, n: int) -> str:
     return f"list_transform(list_reduce(n, lambda a, x: {step}, {empty}), lambda h: h.text)"
 
 
+_LIFTED = """shown AS (SELECT query, doc, vector_rank, bm25_rank, rrf_score, fused_rank FROM fused WHERE fused_rank <= 8),
+lifted AS (SELECT *, round(rrf_score / max(rrf_score) OVER (PARTITION BY query), 6) AS bar,
+    CASE WHEN (vector_rank IS NULL OR vector_rank > 10) AND bm25_rank <= 10 THEN 'text' WHEN (bm25_rank IS NULL OR bm25_rank > 10) AND vector_rank <= 10 THEN 'vector' END AS lift FROM shown)"""
+_HYBRID_VECTORS = f"""corpus AS (SELECT chunk_no AS doc, text FROM chunks), {_QUESTIONS}, {hashed(_PASSAGES, 'doc')}, {hashed(prefixed('query: ', 'query', 'asked'), 'query')},
+cosines AS (SELECT query, doc, round(sum(a.x * b.x), 6) AS similarity FROM query_vec a JOIN doc_vec b USING (place) GROUP BY query, doc),
+near AS (SELECT query, doc, coalesce(similarity, 0) AS similarity FROM (SELECT query, doc FROM (SELECT DISTINCT query FROM query_vec), (SELECT DISTINCT doc FROM doc_vec)) LEFT JOIN cosines USING (query, doc))"""
+
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {_BM25_CHUNKS}, {_TOP} SELECT query, doc, score, rank FROM top",
     "bm25_filtered_topk": f"WITH {_BM25_CHUNKS}, {_TOP_FACTS} SELECT query, doc, score, rank FROM top",
@@ -255,6 +267,9 @@ FROM ranks JOIN asked USING (query) GROUP BY 1""",
     "parse_filters": f"WITH {_FILING_QUESTIONS},\n{_PARSED}\n{_FILTERED}",
     "expand_query": f"WITH {_FILING_QUESTIONS}, {_ADDED}\n{_EXPANDED}",
     "hybrid_questions": f"WITH {_HYBRID} SELECT query, doc, vector_rank, bm25_rank, rrf_score, fused_rank FROM fused WHERE fused_rank <= 8",
+    "ranking_lift": f"WITH {_HYBRID}, {_LIFTED} SELECT * FROM lifted",
+    "trace_summary": f"WITH {_HYBRID}, {_LIFTED} SELECT query, count(*) AS shown, max(rrf_score) AS best, count(*) FILTER (lift = 'text') AS lifted_by_text, count(*) FILTER (lift = 'vector') AS lifted_by_vector FROM lifted GROUP BY query",
+    "vector_results": f"WITH {_HYBRID_VECTORS} SELECT query, rank, doc, document, pages, section, chunk_type, round(1 - similarity, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM near QUALIFY rank <= 5) JOIN chunks ON doc = chunk_no",
     "company_years": "SELECT company, list_sort(list(DISTINCT fiscal_year) FILTER (fiscal_year IS NOT NULL)) AS fiscal_years FROM filings WHERE company IS NOT NULL GROUP BY company",
     "sentence_split": numbered(f"SELECT doc_id, {sentences('text')} AS list FROM documents WHERE text IS NOT NULL", "doc_id", "sentence"),
     "chunk_pack": f"WITH source AS (SELECT doc_id AS id, text FROM documents), {_PIECES} {numbered('SELECT id AS doc_id, list FROM packed', 'doc_id', 'piece')}",
@@ -316,3 +331,8 @@ SELECT *, CASE WHEN regexp_full_match(text, '[−–-]') THEN 'dash' WHEN regexp
 gaps AS (SELECT page, coalesce(lag(x1) OVER (PARTITION BY page ORDER BY x0), 180) AS a, x0 AS b FROM merged UNION ALL SELECT page, max(x1), 420 FROM merged GROUP BY page),
 best AS (SELECT page, a, b FROM gaps WHERE b > a QUALIFY row_number() OVER (PARTITION BY page ORDER BY b - a DESC, a) = 1) SELECT page, (a + b) / 2 AS gutter FROM best WHERE b - a >= 10""",
 }
+
+SQL["split_report"] = f"SELECT count(*) AS chunks, count(*) FILTER (n > 1) AS split, coalesce(sum(n), 0) AS parts FROM (SELECT regexp_replace(chunk_id, '::del[0-9]+$', '') AS base, count(*) AS n FROM ({SQL['byte_split']}) GROUP BY base)"
+SQL["all_chunks"] = f"""WITH {_LATEST_FILINGS} SELECT chunk_id, document, company, fiscal_year, chunk_type, section, pages, text FROM ({SQL['table_chunks']})
+UNION ALL SELECT chunk_id, document, company, fiscal_year, chunk_type, section, pages, text FROM ({SQL['fact_chunks']})
+UNION ALL SELECT document || '::p' || page_number || '::' || piece, document, company, fiscal_year, 'text', NULL, [page_number], text FROM ({SQL['text_chunks']}) JOIN heads USING (document)"""

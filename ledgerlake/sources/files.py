@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import tokens
-from ..operators import bm25
+from ..functions.text import base_id, tokens
+from ..operators import bm25, vectors
 from ..operators.chunking import byte_split
 
 
@@ -52,6 +52,29 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/postings")
 
 
+def search_index(spark: SparkSession, path: str, queries: DataFrame, documents: int, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The k best chunks of each query by the stored vectors (query, doc, distance, rank) and by the stored postings (query, doc, score, rank).
+
+    queries: query_id, text, vector and, to search within filters, `companies` and `years` (null or empty: any); filters reach the folders that the index is parted by.
+    `documents` is the number of chunks indexed.
+    """
+    stored_vectors, stored = read_index(spark, path)
+    limits = tuple((column, array) for column, array in (("company", "companies"), ("fiscal_year", "years")) if array in queries.columns)
+    rows = stored_vectors.withColumn("_n", F.xxhash64("chunk_id"))
+    asked = queries.withColumn("_q", F.xxhash64("query_id"))
+    near = vectors.nearest(rows, asked, k, id_col="_n", query_id="_q", within=list(limits))
+    named = near.join(rows.select("chunk_id", F.col("_n").alias("doc")), "doc").join(asked.select("query_id", F.col("_q").alias("query")), "query")
+    by_vector = named.select(F.col("query_id").alias("query"), F.col("chunk_id").alias("doc"), F.round(1 - F.col("similarity"), 6).alias("distance"), "rank")
+    counted = stored.groupBy("doc", "dl", "company", "fiscal_year").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    return by_vector, bm25.search(bm25.index_of(counted, documents), queries, k, within=limits)
+
+
+def split_report(parts: DataFrame) -> DataFrame:
+    """One row on the parts of a hosted copy: chunks, how many of them had to be split, and parts."""
+    sizes = parts.groupBy(base_id(F.col("chunk_id")).alias("base")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("chunks"), F.count_if(F.col("n") > 1).alias("split"), F.coalesce(F.sum("n"), F.lit(0)).alias("parts"))
+
+
 def flat_export(chunks: DataFrame) -> DataFrame:
     """Chunks as a vector store keeps them: pages as one string, a missing section as an empty one."""
     return chunks.select(F.col("chunk_id").alias("id"), "text", "document", "company", "fiscal_year", "chunk_type", F.coalesce("section", F.lit("")).alias("section"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))

@@ -148,6 +148,15 @@ def test_gutter(spark):
     assert {r.page: r.text for r in layout.column_text(df, widths).collect()} == {1: "w\nw\nw", 2: "w", 3: "stor"}
 
 
+def test_texts_from_elsewhere_count_for_pages_without_columns(spark):
+    """Of a page with a gutter the columns are read; other pages, and those without words, take the text that was given."""
+    words = [("d", 1, k, t, x, x + 100, 10.0 * k, 10.0 * k + 8) for k, (t, x) in enumerate([("a", 60.0), ("c", 350.0), ("b", 150.0)])] + [("d", 2, 0, "w", 0.0, 600.0, 0.0, 8.0), ("d", 4, 0, "v", 0.0, 600.0, 0.0, 8.0)]
+    df = spark.createDataFrame(words, "document string, page int, ord int, text string, x0 double, x1 double, top double, bottom double")
+    widths = spark.createDataFrame([("d", p, 600.0) for p in (1, 2, 4)], "document string, page int, page_width double")
+    other = spark.createDataFrame([("d", 1, "x"), ("d", 2, "y"), ("d", 3, "z")], "document string, page int, text string")
+    assert {r.page: r.text for r in layout.column_text(df, widths, other).collect()} == {1: "a\nb\nc", 2: "y", 3: "z", 4: "v"}
+
+
 def test_headings(spark):
     text = "Koncernens balansräkning\n  KONCERNENS RESULTATRÄKNING 2023\nKoncernens balansräkning " + "x" * 60 + "\nModerbolagets balansräkning\nKoncernens balansräkning"
     df = spark.createDataFrame([(1, "d", 4, text), (2, "d", 5, None)], "page_id long, document string, page_number int, text string")
@@ -191,6 +200,13 @@ def test_files_round_trip(spark, tmp_path):
     files.build_index(chunks, spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, vector array<float>"), str(tmp_path / "index"))
     vectors, postings = files.read_index(spark, str(tmp_path / "index"))
     assert vectors.count() == 1 and sorted((r.doc, r.term) for r in postings.collect()) == [("a", "ett"), ("a", "text"), ("b", "text"), ("b", "två")]
+    asked = spark.createDataFrame([("q", "text två", [0.6, 0.8], None, []), ("r", "ett", None, ["annat"], None)], "query_id string, text string, vector array<float>, companies array<string>, years array<string>")
+    near, found = files.search_index(spark, str(tmp_path / "index"), asked, 2)
+    assert [tuple(r) for r in near.select("query", "doc", "distance", "rank").collect()] == [("q", "a", 0.4, 1)]
+    assert {(r["query"], r["doc"]) for r in found.collect()} <= {("q", "a"), ("q", "b")} and not found.where("query = 'r'").count()
+    files.write_json(chunks.select("document", "chunk_id", "text"), str(tmp_path / "json"))
+    assert sorted(r.chunk_id for r in spark.read.json(str(tmp_path / "json")).collect()) == sorted(r.chunk_id for r in chunks.collect())
+    assert tuple(files.split_report(files.byte_split(chunks)).first()) == (chunks.count(), 0, chunks.count())
 
 
 def test_stream_of_pages(spark, tmp_path):

@@ -195,3 +195,28 @@ def test_prompts_and_answers(spark):
 def test_recall(spark):
     ranks = spark.createDataFrame([(1, 1), (2, 4), (3, None)], "query int, rank int")
     assert tuple(evaluate.recall_mrr(ranks).first()) == (3, 0.333333, 0.333333, 0.666667, 0.416667)
+
+
+def test_lift_and_summary(spark):
+    trace = spark.createDataFrame([(1, "a", 1, 20, 0.5, 1), (1, "b", None, 3, 0.25, 2), (1, "c", 2, 2, 0.2, 3), (1, "d", 11, None, 0.1, 4)], "query int, doc string, vector_rank int, bm25_rank int, rrf_score double, fused_rank int")
+    lifted = answer.ranking_lift(trace)
+    assert [(r.doc, r.bar, r.lift) for r in lifted.orderBy("fused_rank").collect()] == [("a", 1.0, "vector"), ("b", 0.5, "text"), ("c", 0.4, None), ("d", 0.2, None)]
+    assert tuple(answer.trace_summary(lifted).first()) == (1, 4, 0.5, 1, 1)
+    assert answer.trace_summary(lifted.limit(0)).count() == 0
+
+
+def test_question_limits(spark):
+    asked = [(k, f"fråga {k}", "s" if k < 12 else None, k) for k in range(14)] + [(20, " ", "s", 0), (21, "x" * 301, "s", 0), (22, None, "s", 0)]
+    df = spark.createDataFrame(asked, "query_id int, text string, session string, asked_at int")
+    assert answer.valid_questions(df).count() == 14
+    assert sorted(r.query_id for r in answer.valid_questions(df, session_col="session", order_col="asked_at").collect()) == [*range(10), 12, 13]
+
+
+def test_progress(spark):
+    from ledgerlake.operators.progress import Progress
+
+    seen = []
+    progress = Progress(seen.append)
+    df = progress.step(progress.step(spark.range(10), "all").where("id < 4"), "some")
+    assert progress.run("count", lambda: len(df.collect())) == 4
+    assert progress.rows() == {"all": 10, "some": 4} and seen[0]["step"] == "count" and progress.total_ms() >= 0
