@@ -1,20 +1,18 @@
 """One form for texts that look the same but differ in their characters.
 
 Method: text is parted into words; words that hold nothing but characters known to be in final form
-are left (a quick check). The others are exploded to positioned code points; a broadcast join gives
+are left (a quick check). The others are exploded, each distinct word once, to positioned code points; a broadcast join gives
 each code point its decomposition with look-alike letters replaced and the combining class of each
 part; parts are grouped into a base and its marks, marks ordered by class; a second broadcast join
 recomposes; words and texts are rebuilt in order.
 
 The form: full and half width and ligatures resolved, letters of other scripts replaced by the Latin
 letter of the same shape, accents composed where one character has the base and all its marks (else marks in the
-order of their classes), invisible characters dropped, each run of white space one
-blank, none at the ends. Case, accents, superscripts and other signs stay. Hangul syllables stay as
-they are (conjoining jamo aren't composed).
+order of their classes), conjoining jamo as syllables, invisible characters dropped, each run of white space one
+blank, none at the ends. Case, accents, superscripts and other signs stay.
 
 Both mappings follow from the Unicode character data of Python by rule; their size is bounded by
-the standard (some thousand rows), so they are broadcast. Texts are hashed to partitions once, by id; every later
-step keeps that partitioning.
+the standard (some ten thousand short rows), so they are broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.forms import shapes
@@ -32,18 +30,22 @@ DASHES = "-‐‑‒–—―−﹘﹣－"
 #: White space of any kind, as a Java character class.
 BLANK = r"[\s\u0085   -     　\u001C-\u001F]"
 #: Characters in final form whatever stands beside them, as a Java character class.
-FINAL = r"[!-~¡-¬®-´¶-İĲ-ňŊ-ž‒-‧‰-⁞−€、-〩ぁ-ゖァ-ヾ一-鿿]"
+FINAL = r"[!-~¡-¬®-´¶-İĲ-ňŊ-ž‒-‧‰-⁞−€、-〩ぁ-ゖァ-ヾ一-鿿가-힣]"
 
 
 @lru_cache(maxsize=1)
 def mappings() -> tuple[list, list]:
     """Rows (code point, parts with class) of every code point that isn't its own only part, and rows (parts, composed)."""
     same = shapes()
-    resolved = ("<wide>", "<narrow>", "<noBreak>")
+    resolved = ("<wide>", "<narrow>", "<noBreak>", "<font>")
+    follows = lambda c: "\u1160" <= c <= "\u11ff"  # vowels and finals of Hangul stand behind a base as marks do
+    order = lambda c: 1 if follows(c) else unicodedata.combining(c)
 
     def parts(c: str) -> str:
         if unicodedata.category(c) == "Cf" or "︀" <= c <= "️" or c == "͏":
             return ""
+        if "가" <= c <= "힣":
+            return unicodedata.normalize("NFD", c)
         how = unicodedata.decomposition(c)
         ligature = how.startswith("<compat>") and 0xFB00 <= ord(c) <= 0xFB06
         if how and (not how.startswith("<") or how.split()[0] in resolved or ligature):
@@ -53,11 +55,11 @@ def mappings() -> tuple[list, list]:
     split, joined = [], {}
     for n in range(0xA0, 0x30000):
         c = chr(n)
-        if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n <= 0xDFFF or unicodedata.category(c) == "Cn":
+        if 0xD800 <= n <= 0xDFFF or unicodedata.category(c) == "Cn":
             continue
         to = parts(c)
-        if to != c or unicodedata.combining(c):
-            split.append((c, [(x, unicodedata.combining(x)) for x in to]))
+        if to != c or order(c):
+            split.append((c, [(x, order(x)) for x in to]))
         full = unicodedata.normalize("NFD", c)
         if len(full) > 1 and unicodedata.normalize("NFC", full) == c:
             joined[full] = c
@@ -84,24 +86,21 @@ def one_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     split, joined = mapping_tables(df.sparkSession)
     words = F.split(F.regexp_replace(text_col, f"^{BLANK}+|{BLANK}+$", ""), f"{BLANK}+")
-    texts = df.select(F.col(id_col).alias("_id"), words.alias("_words")).repartition("_id")
+    texts = df.select(F.col(id_col).alias("_id"), words.alias("_words"))
     numbered = F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
     final = f"^{FINAL}*$"
-    others = texts.select("_id", F.explode(F.filter(numbered, lambda x: ~x.w.rlike(final))).alias("_x"))
-    points = others.select("_id", F.col("_x.i").alias("_i"), F.posexplode(F.regexp_extract_all(F.col("_x.w"), F.lit(r"(?s)(.)"), F.lit(1))).alias("_at", "c"))
-    mapped = points.join(split, "c", "left").select("_id", "_i", "_at", F.coalesce("parts", F.array(F.struct(F.col("c").alias("p"), F.lit(0).alias("k")))).alias("parts"))
-    rebuilt = mapped.groupBy("_id", "_i").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "parts"))), lambda x: x.parts)).alias("parts"))
+    others = texts.select("_id", F.explode(F.filter(numbered, lambda x: ~x.w.rlike(final))).alias("_x")).select("_id", F.col("_x.i").alias("i"), F.col("_x.w").alias("w"))
+    word = ["_a", "_b"]  # 128 bits of a word
+    hashed = others.withColumns({"_a": F.xxhash64("w"), "_b": F.xxhash64(F.lit(1), F.reverse("w"))})
+    points = hashed.select(*word, "w").distinct().select(*word, F.posexplode(F.regexp_extract_all("w", F.lit(r"(?s)(.)"), F.lit(1))).alias("_at", "c"))
+    parts = points.join(split, "c", "left").select(*word, "_at", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("c").alias("p"), F.lit(0).alias("k"))))).alias("_j", "x"))
     # base letters count clusters up; marks come in the order of their class, equal ones as written
-    at = F.expr("""transform(parts, (x, i) -> struct(x.p as p, x.k as k, i as i))""")
-    counted = F.expr("""aggregate(numbered, struct(cast(0 as int) as n, cast(array() as array<struct<n:int,k:int,i:int,p:string>>) as out),
-        (acc, x) -> struct(acc.n + int(x.k = 0) as n, concat(acc.out, array(struct(acc.n + int(x.k = 0) as n, x.k as k, x.i as i, x.p as p))) as out)).out""")
-    plain = ~F.exists("parts", lambda x: x.k > 0)
-    rows = rebuilt.withColumn("numbered", at).select("_id", "_i", F.when(plain, F.transform("numbered", lambda x: F.struct((x.i + 1).alias("n"), x.k.alias("k"), x.i.alias("i"), x.p.alias("p")))).otherwise(counted).alias("marked"))
-    marked = rows.select("_id", "_i", F.explode("marked").alias("m"))
-    clusters = marked.groupBy("_id", "_i", F.col("m.n").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m.k", "m.i", "m.p"))), lambda x: x.p), "").alias("cluster"))
-    composed = clusters.join(joined, "cluster", "left").select("_id", "_i", "n", F.coalesce("composed", "cluster").alias("s"))
-    folded = composed.groupBy("_id", "_i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x.s), "").alias("w"))
-    lists = folded.groupBy("_id").agg(F.collect_list(F.struct(F.col("_i").alias("i"), "w")).alias("_folded"))
+    order = Window.partitionBy(*word).orderBy("_at", "_j")
+    numbers = parts.select(*word, "_at", "_j", "x.p", "x.k", F.sum((F.col("x.k") == 0).cast("int")).over(order).alias("n"))
+    clusters = numbers.groupBy(*word, "n").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "_at", "_j", "p")))["p"], "").alias("cluster"))
+    composed = clusters.join(joined, "cluster", "left").select(*word, "n", F.coalesce("composed", "cluster").alias("s"))
+    folded = composed.groupBy(*word).agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "s")))["s"], "").alias("look"))
+    lists = hashed.drop("w").join(folded, word, "left").groupBy("_id").agg(F.collect_list(F.struct("i", F.coalesce("look", F.lit("")).alias("w"))).alias("_folded"))
     together = texts.join(lists, "_id", "left")
     kept = F.filter(numbered, lambda x: x.w.rlike(final))
     words = F.array_sort(F.concat(kept, F.coalesce("_folded", F.array().cast("array<struct<i:int,w:string>>"))))
@@ -114,9 +113,14 @@ def value_look(look: Column) -> Column:
     return F.regexp_replace(look, f"^[{DASHES.replace('-', '')}-]", "-")
 
 
+def _known(df: DataFrame, keys: list[str], content: Column) -> DataFrame:
+    """The rows with keys and content, with `_raw`, 128 bits of the content."""
+    return df.withColumn("_raw", F.md5(content)).where(" and ".join(f"`{k}` is not null" for k in keys) + " and _raw is not null")
+
+
 def _differing(df: DataFrame, keys: list[str], content: Column) -> DataFrame:
-    """The rows whose keys other rows with other content share, with `_raw`, 128 bits of the content."""
-    known = df.withColumn("_raw", F.md5(content)).where(" and ".join(f"`{k}` is not null" for k in keys) + " and _raw is not null")
+    """Those of them whose keys other rows with other content share."""
+    known = _known(df, keys, content)
     several = known.groupBy(*keys).agg(F.min("_raw").alias("_least"), F.max("_raw").alias("_most")).where("_least < _most").select(*keys)
     return known.join(several, keys, "left_semi")
 
@@ -128,11 +132,35 @@ def _pairs(looks: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return one.join(two, [*keys, "_look"]).where("id_a < id_b and _a <> _b").select("id_a", "id_b")
 
 
+def _classes(looks: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """One row per row with keys and content: the id, `class` (the least id with the same keys and look), `members` and `forms` (different contents) of the class."""
+    one = looks.groupBy(*keys, "_look").agg(F.min(id_col).alias("class"), F.count("*").alias("members"), F.count_distinct("_raw").alias("forms"))
+    return looks.select(id_col, *keys, "_look").join(one, [*keys, "_look"]).select(F.col(id_col).alias("id"), "class", "members", "forms")
+
+
+def _text_looks(df: DataFrame, id_col: str, keys: list[str], text_col: str, some) -> DataFrame:  # noqa: ANN001
+    rows = some(df.select(id_col, *keys, text_col), keys, F.col(text_col))
+    return rows.join(one_form(rows, id_col, text_col), id_col).withColumn("_look", F.md5("look"))
+
+
+def _value_looks(df: DataFrame, id_col: str, keys: list[str], values_col: str, some) -> DataFrame:  # noqa: ANN001
+    rows = some(df.select(id_col, *keys, values_col), keys, place_key(F.col(values_col)))
+    return rows.join(one_form_values(rows, id_col, values_col), id_col).withColumn("_look", F.md5(place_key(F.col("looks"))))
+
+
+def text_classes(df: DataFrame, id_col: str, keys: list[str], text_col: str) -> DataFrame:
+    """Classes of texts that look the same, without pairs. Rows with a null key or text have no row."""
+    return _classes(_text_looks(df, id_col, keys, text_col, _known), keys, id_col)
+
+
+def value_classes(df: DataFrame, id_col: str, keys: list[str], values_col: str) -> DataFrame:
+    """Classes of arrays that look the same place by place, without pairs."""
+    return _classes(_value_looks(df, id_col, keys, values_col, _known), keys, id_col)
+
+
 def same_looking_texts(df: DataFrame, id_col: str, keys: list[str], text_col: str) -> DataFrame:
     """Pairs of rows (`id_a` < `id_b`) with equal keys whose texts differ but look the same. Null keys and texts have no pairs."""
-    some = _differing(df.select(id_col, *keys, text_col), keys, F.col(text_col))
-    looks = some.join(one_form(some, id_col, text_col), id_col).withColumn("_look", F.md5("look"))
-    return _pairs(looks, keys, id_col)
+    return _pairs(_text_looks(df, id_col, keys, text_col, _differing), keys, id_col)
 
 
 def one_form_values(df: DataFrame, id_col: str, values_col: str) -> DataFrame:
@@ -151,6 +179,4 @@ def place_key(values: Column) -> Column:
 
 def same_looking_values(df: DataFrame, id_col: str, keys: list[str], values_col: str) -> DataFrame:
     """Pairs of rows (`id_a` < `id_b`) with equal keys whose values differ but look the same place by place."""
-    some = _differing(df.select(id_col, *keys, values_col), keys, place_key(F.col(values_col)))
-    looks = some.join(one_form_values(some, id_col, values_col), id_col).withColumn("_look", F.md5(place_key(F.col("looks"))))
-    return _pairs(looks, keys, id_col)
+    return _pairs(_value_looks(df, id_col, keys, values_col, _differing), keys, id_col)

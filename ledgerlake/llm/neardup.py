@@ -168,19 +168,19 @@ def candidates(classes: DataFrame, threshold: float, depth: int, heavy: int = HE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by branch, part and side; the rows of a part are in one partition."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            branch = held[2] >> high
-            differs = (branch != branch[-1:]) | (held[0] != held[0][-1:])
+            branch, part = held[1] >> high, held[0] >> 1
+            differs = (branch != branch[-1:]) | (part != part[-1:])
             last = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
             if last:
                 yield from pairs(*(h[:last] for h in held))
                 held = [h[last:] for h in held]
         yield from pairs(*held)
 
-    def pairs(part: np.ndarray, side: np.ndarray, key: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, branch, deep = len(ids), key >> high, key >> below
+    def pairs(place: np.ndarray, key: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, branch, deep, part, side = len(ids), key >> high, key >> below, place >> 1, place & 1
         new = (branch[1:] != branch[:-1]) | (part[1:] != part[:-1])
         starts = np.concatenate([[0], new.nonzero()[0] + 1]) if n else np.zeros(0, np.int64)
         ends = np.concatenate([starts[1:], [n]]) if n else starts
@@ -221,8 +221,9 @@ def candidates(classes: DataFrame, threshold: float, depth: int, heavy: int = HE
         first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         return pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (a, b, deeper)], names=["a", "b", "deeper"])
 
-    split = groups(classes, high, heavy).repartition("branch", "part").sortWithinPartitions("branch", "part", "side", "id")
-    return split.select("part", "side", "key", "id", "s1", "s2").mapInArrow(run, "a long, b long, deeper long").groupBy("a", "b").agg(F.max("deeper").alias("deeper"))
+    branch, part = F.shiftright("key", high), F.shiftright("place", 1)
+    split = groups(classes, high, heavy).select((F.col("part") * 2 + F.col("side")).alias("place"), "key", "id", "s1", "s2").repartition(branch, part).sortWithinPartitions(branch, "place", "id")
+    return split.mapInArrow(run, "a long, b long, deeper long").groupBy("a", "b").agg(F.max("deeper").alias("deeper"))
 
 
 def shorten(classes: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: float, target: float = TARGET, depth: int | None = None) -> DataFrame:
@@ -293,3 +294,21 @@ def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
     """One row per text: `id`, `class`, `copies` (texts of the class) and `links` (other classes that are near)."""
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"))
     return members.join(degree, "class", "left").select("id", "class", F.col("size").alias("copies"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
+def components(links: DataFrame, members: DataFrame) -> DataFrame:
+    """`id` and `cluster` of every text: the least class that links lead to, over any number of them.
+
+    Each round every class takes the least label among its neighbours', then the label of that label; rounds go on until nothing changes.
+    """
+    edges = durable_table(links.select("a", "b").union(links.select("b", "a")), "edges")
+    labels = members.select("class").distinct().withColumn("cluster", F.col("class"))
+    while True:
+        near = edges.join(labels, F.col("b") == F.col("class")).groupBy("a").agg(F.min("cluster").alias("_near"))
+        lower = labels.join(near, F.col("class") == F.col("a"), "left").select("class", F.col("cluster").alias("_old"), F.least("cluster", "_near").alias("_new"))
+        lower = durable_table(lower, "labels")
+        jumped = lower.join(lower.select(F.col("class").alias("_new"), F.col("_new").alias("cluster")), "_new").select("class", "_old", "cluster")
+        jumped = durable_table(jumped, "labels")
+        labels = jumped.select("class", "cluster")
+        if not jumped.where("_old <> cluster").limit(1).count():
+            return members.join(labels, "class").select("id", "cluster")

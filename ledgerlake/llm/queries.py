@@ -31,6 +31,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.lit("page_texts").alias("tab"), "id_a", "id_b").unionByName(rows.select(F.lit("financial_rows").alias("tab"), "id_a", "id_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and row with the class of those of its page or row that look the same."""
+    pages = lookalike.text_classes(table(spark, sf_dir, "page_texts"), "page_id", ["document", "page_number"], "text")
+    rows = lookalike.value_classes(table(spark, sf_dir, "financial_rows"), "row_id", ["document", "page", "label"], "row_values")
+    return union_all(pages.withColumn("tab", F.lit("page_texts")), rows.withColumn("tab", F.lit("financial_rows")))
+
+
 def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's text in one form."""
     return lookalike.one_form(table(spark, sf_dir, "page_texts"), "page_id", "text")
@@ -41,7 +48,8 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.one_form_values(table(spark, sf_dir, "financial_rows"), "row_id", "row_values")
 
 
-LIKENESS = 0.7
+#: Least likeness of the pairs asked for, and of documents that count as copies.
+LIKENESS, COPIES = 0.7, 0.8
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +81,10 @@ def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines repeated within a source of the documents, over distinct texts and distinct dates."""
-    docs = table(spark, sf_dir, "documents").withColumn("cluster", F.md5("text"))
+    """Lines repeated within a source of the documents, over clusters of near copies and distinct dates."""
+    docs = table(spark, sf_dir, "documents")
+    clusters = neardup.components(*neardup.near_duplicates(spread(docs.select("doc_id", "text")), "doc_id", "text", COPIES))
+    docs = docs.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
     return boilerplate.repeated_lines(docs, "doc_id", "text", "source", "cluster", "crawled_at", min_dates=3)
 
 
@@ -110,7 +120,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_texts": p3_texts, "p3_values": p3_values,
+    "p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_classes": p3_classes, "p3_texts": p3_texts, "p3_values": p3_values,
     "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pages": p5_pages, "p5_sources": p5_sources, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report,
     "p8_found": p8_found, "p8_stats": p8_stats,
 }

@@ -143,14 +143,14 @@ def fold(text):
         if unicodedata.category(c) == "Cf":
             return ""
         how = unicodedata.decomposition(c)
-        if how and (how[0] != "<" or how.split()[0] in ("<wide>", "<narrow>", "<noBreak>") or 0xFB00 <= ord(c) <= 0xFB06):
+        if how and (how[0] != "<" or how.split()[0] in ("<wide>", "<narrow>", "<noBreak>", "<font>") or 0xFB00 <= ord(c) <= 0xFB06):
             return "".join(parts(chr(int(x, 16))) for x in how.split() if x[0] != "<")
         return same.get(c, c)
 
     return None if text is None else " ".join(unicodedata.normalize("NFC", "".join(map(parts, text))).split())
 
 
-LOOKS = ["Å ä", "Å ä", "Ｈｕｒ ８", "К⁠арасіtet", "ạ̈ ạ̈ q̣̇ q̣̇", "ﬁnans   x　", "x² x2 ½", "", " \t", None, "​", "é́ ́", "ﾊﾞ カﾞ", "ήταν; ά", "ÅŽ" * 3000]
+LOOKS = ["Å ä", "Å ä", "Ｈｕｒ ８", "К⁠арасіtet", "ạ̈ ạ̈ q̣̇ q̣̇", "ﬁnans   x　", "x² x2 ½", "", " \t", None, "​", "é́ ́", "ﾊﾞ カﾞ", "ήταν; ά", "ÅŽ" * 3000, "각 한국", "\u1100\u1161\u11a8 \u1112\u1161\u11ab국", "각\u11a8 가\u11a8", "𝐀𝒷 ԼՍ ᎪᏴ"]
 
 
 def test_one_form(spark):
@@ -158,9 +158,28 @@ def test_one_form(spark):
     got = {r.page_id: r.look for r in lookalike.one_form(df, "page_id", "text").collect()}
     assert {k: v and unicodedata.normalize("NFC", v) for k, v in got.items()} == {k: fold(t) for k, t in enumerate(LOOKS)}
     assert len({got[k] for k in (4,)}) == 1 and len(set(got[4].split()[:2])) == 1 and len(set(got[4].split()[2:])) == 1
+    at = LOOKS.index("각 한국")
+    assert got[at] == got[at + 1] == "각 한국" and got[at + 3] == "Ab LU AB"
     assert lookalike.one_form(df.limit(0), "page_id", "text").count() == 0
 
 
+def test_classes_of_looks(spark):
+    pages = [(1, "d", 1, "\u00c5 x"), (2, "d", 1, "A\u030a x"), (3, "d", 1, "\u00c5 x"), (4, "d", 2, "\u00c5 x"), (6, "d", 1, None), (7, None, 1, "\u00c5 x"), (8, "d", 1, "y")]
+    df = spark.createDataFrame(pages, "page_id long, document string, page_number int, text string")
+    got = sorted(map(tuple, lookalike.text_classes(df, "page_id", ["document", "page_number"], "text").collect()))
+    assert got == [(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2), (4, 4, 1, 1), (8, 8, 1, 1)]
+    rows = spark.createDataFrame([(1, "d", ["\u20135", None]), (2, "d", ["\u22125", None]), (3, "d", []), (4, None, ["1"])], "row_id long, document string, row_values array<string>")
+    assert sorted(map(tuple, lookalike.value_classes(rows, "row_id", ["document"], "row_values").collect())) == [(1, 1, 2, 2), (2, 1, 2, 2), (3, 3, 1, 1)]
+
+
+def test_components(spark):
+    """A chain of links is one cluster however long; texts without links are their own; copies go with their class."""
+    links = spark.createDataFrame([(k, k + 1, 0.9) for k in range(1, 30)] + [(50, 52, 0.9), (51, 52, 0.9)], "a long, b long, jaccard double")
+    members = spark.createDataFrame([(k, k, 1) for k in [*range(1, 31), 50, 51, 52, 60]] + [(60, 61, 2)], "class long, id long, size long")
+    got = dict(map(tuple, neardup.components(links, members).select("id", "cluster").collect()))
+    assert got == {k: 1 for k in range(1, 31)} | {50: 50, 51: 50, 52: 50, 60: 60, 61: 60}
+
+
 def test_same_looking_pairs(spark):
     pages = [(1, "d", 1, "Å x"), (2, "d", 1, "Å x"), (3, "d", 1, "Å x"), (4, "d", 2, "Å x"), (5, "d", 1, "A x"), (6, "d", 1, None), (7, None, 1, "Å x")]
     df = spark.createDataFrame(pages, "page_id long, document string, page_number int, text string")
