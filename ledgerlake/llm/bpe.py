@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,16 +178,22 @@ class Encoder:
         return sum(map(len, self.stretches(text)))
 
 
+def send(df: DataFrame, path: str) -> str:
+    """Sends the vocabulary along with the job, so that executors needn't have it; its name among the files sent."""
+    df.sparkSession.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of `df`: its id and `ids`, the token ids of its text without special tokens.
 
     Strings of special tokens are ordinary text. Null and empty texts have an empty list. Rows are
     independent, so there is no shuffle; other columns of `df` are pruned.
     """
-    path = f"{tokenizer_dir}/{vocabulary}.tiktoken"
+    name = send(df, f"{tokenizer_dir}/{vocabulary}.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(path))
+        encoder = Encoder(load_ranks(SparkFiles.get(name)))
         for batch in batches:
             flat, ends = array("i"), [0]
             for text in batch.column(1).to_pylist():
@@ -204,10 +211,10 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of `df`: its id and `n_tokens`; 0 for a null or empty text."""
-    path = f"{tokenizer_dir}/{vocabulary}.tiktoken"
+    name = send(df, f"{tokenizer_dir}/{vocabulary}.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(path))
+        encoder = Encoder(load_ranks(SparkFiles.get(name)))
         for batch in batches:
             counts = [encoder.count(text) if text else 0 for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[id_col, "n_tokens"])
