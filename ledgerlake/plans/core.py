@@ -217,7 +217,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcome_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions by the statement that their document's page belongs to, and by how well they are answered."""
+    """Questions on amounts per share and on other items, by how well they are answered."""
     ranks, asked = _ranks(spark, sf_dir)
     kind = F.when(F.col("label").contains("per aktie"), "per aktie").otherwise("post")
     judged = ranks.join(asked.select(F.col("query_id").alias("query"), kind.alias("type")), "query")
