@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.forms import shapes
+from ..scratch import durable_table
 
 #: Signs taken for a dash or a minus sign.
 DASHES = "-‐‑‒–—―−﹘﹣－"
@@ -138,14 +139,19 @@ def _classes(looks: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return looks.select(id_col, *keys, "_look").join(one, [*keys, "_look"]).select(F.col(id_col).alias("id"), "class", "members", "forms")
 
 
+def _kept(rows: DataFrame, id_col: str, keys: list[str], look: Column) -> DataFrame:
+    """Ids, keys and 128 bits of content and look, written once: whatever joins them with themselves doesn't make the looks again."""
+    return durable_table(rows.select(id_col, *keys, "_raw", F.md5(look).alias("_look")), "looks")
+
+
 def _text_looks(df: DataFrame, id_col: str, keys: list[str], text_col: str, some) -> DataFrame:  # noqa: ANN001
     rows = some(df.select(id_col, *keys, text_col), keys, F.col(text_col))
-    return rows.join(one_form(rows, id_col, text_col), id_col).withColumn("_look", F.md5("look"))
+    return _kept(rows.join(one_form(rows, id_col, text_col), id_col), id_col, keys, F.col("look"))
 
 
 def _value_looks(df: DataFrame, id_col: str, keys: list[str], values_col: str, some) -> DataFrame:  # noqa: ANN001
     rows = some(df.select(id_col, *keys, values_col), keys, place_key(F.col(values_col)))
-    return rows.join(one_form_values(rows, id_col, values_col), id_col).withColumn("_look", F.md5(place_key(F.col("looks"))))
+    return _kept(rows.join(one_form_values(rows, id_col, values_col), id_col), id_col, keys, place_key(F.col("looks")))
 
 
 def text_classes(df: DataFrame, id_col: str, keys: list[str], text_col: str) -> DataFrame:
