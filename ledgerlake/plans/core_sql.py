@@ -237,6 +237,11 @@ _HYBRID_VECTORS = f"""corpus AS (SELECT chunk_no AS doc, text FROM chunks), {_QU
 cosines AS (SELECT query, doc, round(sum(a.x * b.x), 6) AS similarity FROM query_vec a JOIN doc_vec b USING (place) GROUP BY query, doc),
 near AS (SELECT query, doc, coalesce(similarity, 0) AS similarity FROM (SELECT query, doc FROM (SELECT DISTINCT query FROM query_vec), (SELECT DISTINCT doc FROM doc_vec)) LEFT JOIN cosines USING (query, doc))"""
 
+#: Line numbers (from 0) of the list w of words by top: a word belongs to a line if its top is near that of the line's first word.
+_LINE_FOLD = """list_reduce(w, lambda a, x: {'lines': list_append(a.lines, CAST(CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.n ELSE a.n + 1 END AS INTEGER)),
+    'n': CAST(CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.n ELSE a.n + 1 END AS INTEGER), 'anchor': CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.anchor ELSE x.top END},
+    {'lines': []::INTEGER[], 'n': -1::INTEGER, 'anchor': NULL::DOUBLE}).lines"""
+
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {_BM25_CHUNKS}, {_TOP} SELECT query, doc, score, rank FROM top",
     "bm25_filtered_topk": f"WITH {_BM25_CHUNKS}, {_TOP_FACTS} SELECT query, doc, score, rank FROM top",
@@ -311,9 +316,7 @@ UNION ALL SELECT chunk_no, 'text length' FROM chunks WHERE chunk_type = 'text' A
     "document_overview": f"""WITH {_LATEST_FILINGS}, held AS (SELECT document, count(DISTINCT page_number) AS pages_held, CAST(sum(coalesce(len({words('text')}), 0)) AS BIGINT) AS words FROM page_texts GROUP BY document)
 SELECT h.document, company, fiscal_year, n_pages, pages_held, words FROM heads h LEFT JOIN held USING (document)""",
     "line_groups": f"""WITH {_BOXES}, pages AS (SELECT page, list({{'top': top, 'ord': ord}} ORDER BY top, ord) AS w FROM boxes GROUP BY page),
-folded AS (SELECT page, w, list_reduce(w, lambda a, x: {{'lines': list_append(a.lines, CAST(CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.n ELSE a.n + 1 END AS INTEGER)),
-    'n': CAST(CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.n ELSE a.n + 1 END AS INTEGER), 'anchor': CASE WHEN a.anchor IS NOT NULL AND abs(x.top - a.anchor) <= 2 THEN a.anchor ELSE x.top END}},
-    {{'lines': []::INTEGER[], 'n': -1::INTEGER, 'anchor': NULL::DOUBLE}}).lines AS lines FROM pages)
+folded AS (SELECT page, w, {_LINE_FOLD} AS lines FROM pages)
 SELECT page, w[i].ord AS ord, lines[i] AS line FROM (SELECT page, w, lines, unnest(range(1, len(w) + 1)) AS i FROM folded)""",
     "phrases": f"WITH {_BOXES}, {islands('boxes', 'page', 'x0', 'x1', 8)} SELECT page, island AS phrase, string_agg(text, ' ' ORDER BY x0, ord) AS text, min(x0) AS x0, list(x1 ORDER BY x0, ord)[-1] AS x1 FROM chained GROUP BY page, island",
     "year_clusters": f"WITH centred AS (SELECT l_orderkey AS page, l_linenumber AS ord, CAST(l_partkey * 7 % 560 AS DOUBLE) + 12 AS centre FROM lineitem), {islands('centred', 'page', 'centre', 'centre', 150)} SELECT page, ord, island AS cluster FROM chained",
@@ -336,3 +339,12 @@ SQL["split_report"] = f"SELECT count(*) AS chunks, count(*) FILTER (n > 1) AS sp
 SQL["all_chunks"] = f"""WITH {_LATEST_FILINGS} SELECT chunk_id, document, company, fiscal_year, chunk_type, section, pages, text FROM ({SQL['table_chunks']})
 UNION ALL SELECT chunk_id, document, company, fiscal_year, chunk_type, section, pages, text FROM ({SQL['fact_chunks']})
 UNION ALL SELECT document || '::p' || page_number || '::' || piece, document, company, fiscal_year, 'text', NULL, [page_number], text FROM ({SQL['text_chunks']}) JOIN heads USING (document)"""
+SQL["column_text"] = f"""WITH {_BOXES}, gut AS ({SQL['gutter_detect']}),
+placed AS (SELECT b.*, gutter, CASE WHEN (x0 + x1) / 2 < gutter THEN 0 ELSE 1 END AS half FROM boxes b LEFT JOIN gut USING (page)),
+sided AS (SELECT page, ord, text, x0, top, CASE WHEN gutter IS NULL OR count(DISTINCT half) OVER (PARTITION BY page) < 2 THEN 0 ELSE half END AS side FROM placed),
+pages AS (SELECT page, side, list({{'top': top, 'ord': ord, 'x0': x0, 'text': text}} ORDER BY top, ord) AS w FROM sided GROUP BY page, side),
+folded AS (SELECT page, side, w, {_LINE_FOLD} AS lines FROM pages),
+told AS (SELECT page, side, lines[i] AS line, w[i] AS x FROM (SELECT page, side, w, lines, unnest(range(1, len(w) + 1)) AS i FROM folded)),
+lined AS (SELECT page, side, line, string_agg(x.text, ' ' ORDER BY x.x0, x.top, x.ord) AS t FROM told GROUP BY page, side, line),
+halves AS (SELECT page, side, string_agg(t, chr(10) ORDER BY line) AS t FROM lined GROUP BY page, side)
+SELECT 'orders' AS document, page, string_agg(t, chr(10) ORDER BY side) AS text FROM halves GROUP BY page"""
