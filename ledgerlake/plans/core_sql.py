@@ -213,14 +213,14 @@ vf AS (SELECT vo.* FROM vo JOIN wide USING (query) WHERE NOT up UNION ALL SELECT
 lf AS (SELECT lo.* FROM lo JOIN wide USING (query) WHERE NOT up UNION ALL SELECT le.* FROM le JOIN wide USING (query) WHERE up), {traced('vf', 'lf')}"""
 
 
-def assigned(centres: str, n: int) -> str:
+def assigned(centres: str, n: int | str) -> str:
     """A fold of the list `n` of numbers (at, text) on centres: the texts that the columns hold."""
     far = f"list_transform({centres}, lambda c: abs(x.at - c))"
     best = f"list_position({far}, list_min({far}))"
     own = f"{{'text': x.text, 'far': list_min({far})}}"
     nearer = f"(list_min({far}) < a[{best}].far)"
     put = lambda held, place, v: f"list_transform({held}, lambda o, k: CASE WHEN k = {place} THEN {v} ELSE o END)"
-    free = lambda test, pick: f"{pick}(list_filter(range(1, {n + 1}), lambda i: a[i].text IS NULL AND i {test} {best}))"
+    free = lambda test, pick: f"{pick}(list_filter(range(1, {n} + 1), lambda i: a[i].text IS NULL AND i {test} {best}))"
     right, left = free(">", "list_min"), free("<", "list_max")
     to = f"CASE WHEN x.at >= {centres}[{best}] THEN coalesce({right}, {left}) ELSE coalesce({left}, {right}) END"
     moved = f"{{'text': CASE WHEN {nearer} THEN a[{best}].text ELSE x.text END, 'far': 'inf'::DOUBLE}}"
@@ -348,3 +348,44 @@ told AS (SELECT page, side, lines[i] AS line, w[i] AS x FROM (SELECT page, side,
 lined AS (SELECT page, side, line, string_agg(x.text, ' ' ORDER BY x.x0, x.top, x.ord) AS t FROM told GROUP BY page, side, line),
 halves AS (SELECT page, side, string_agg(t, chr(10) ORDER BY line) AS t FROM lined GROUP BY page, side)
 SELECT 'orders' AS document, page, string_agg(t, chr(10) ORDER BY side) AS text FROM halves GROUP BY page"""
+_AREA = "document, page, head, region"
+SQL["extract_rows"] = f"""WITH {_LATEST_PAGES},
+lines AS (SELECT document, page_number AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln0 FROM latest WHERE text IS NOT NULL AND document IS NOT NULL AND page_number IS NOT NULL),
+cells AS (SELECT document, page, ln0, unnest(c) AS t, generate_subscripts(c, 1) - 1 AS cell FROM (SELECT *, regexp_split_to_array(regexp_replace(line, '^ +| +$', '', 'g'), ' {{2,}}') AS c FROM lines)),
+parts AS (SELECT document, page, ln0, cell, length(t) AS n, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS k, ws FROM (SELECT *, string_split(t, ' ') AS ws FROM cells WHERE t <> '')),
+begun AS (SELECT document, page, ln0 * 100000 + cell * 1000 + k AS ord, text, ln0 * 12.0::DOUBLE AS top, CASE WHEN cell = 0 THEN 40.0::DOUBLE ELSE 300.0 + 90.0 * cell - 5.0 * n END + 5.0 * (length(array_to_string(ws[1:k], ' ')) + CASE WHEN k > 0 THEN 1 ELSE 0 END) AS x0 FROM parts WHERE text <> ''),
+w AS (SELECT *, x0 + 5.0 * length(text) AS x1, length(text) <= 14 AND regexp_matches(text, '(19|20)[0-9]{{2}}') AS year, dense_rank() OVER (PARTITION BY document, page ORDER BY top) - 1 AS ln FROM begun),
+h AS (SELECT *, sum(CAST(year AS INT)) OVER l >= 2 OR sum(CAST(year AS INT)) OVER l >= 1 AND bool_or(lower(regexp_replace(text, '^:+|:+$', '', 'g')) IN ('mkr', 'msek', 'tsek', 'tkr', 'ksek', 'sek')) OVER l AS header FROM w WINDOW l AS (PARTITION BY document, page, ln)),
+g AS (SELECT *, max(CASE WHEN header THEN ln END) OVER (PARTITION BY document, page ORDER BY ln) AS head FROM h),
+y AS (SELECT *, (x0 + x1) / 2 AS centre FROM g WHERE header AND year),
+ya AS (SELECT *, coalesce(CAST(centre - lag(centre) OVER (PARTITION BY document, page, ln ORDER BY centre, ord) > 150 AS INT), 0) AS apart FROM y),
+yc AS (SELECT *, sum(apart) OVER (PARTITION BY document, page, ln ORDER BY centre, ord ROWS UNBOUNDED PRECEDING) AS region FROM ya),
+cl AS (SELECT document, page, ln AS head, region, any_value(top) AS line_top, min(x0) AS anchor, list(centre ORDER BY centre, ord) AS centres, list(trim(text) ORDER BY centre, ord) AS labels FROM yc GROUP BY document, page, ln, region),
+cn AS (SELECT *, lag(anchor) OVER o AS before, lead(anchor) OVER o IS NULL AS last, count(*) OVER (PARTITION BY document, page, head) AS n FROM cl WINDOW o AS (PARTITION BY document, page, head ORDER BY region)),
+own AS (SELECT c.document, c.page, c.head, c.region, min(g.x0) AS lo FROM cn c JOIN g ON g.document = c.document AND g.page = c.page AND g.ln = c.head
+    WHERE NOT g.year AND (g.x1 <= anchor OR last) AND (before IS NULL OR g.x1 > before) AND (n = 1 OR anchor - g.x1 <= 400) GROUP BY ALL),
+lefts AS (SELECT cn.*, least(anchor, lo) AS "left" FROM cn LEFT JOIN own USING ({_AREA})),
+reg AS (SELECT *, coalesce(lead("left") OVER (PARTITION BY document, page, head ORDER BY region), 'inf'::DOUBLE) AS "right" FROM lefts),
+pa AS (SELECT *, coalesce(CAST(x0 - lag(x1) OVER (PARTITION BY document, page, ln ORDER BY x0, ord) > 8 AS INT), 0) AS apart FROM g WHERE NOT year),
+pc AS (SELECT *, sum(apart) OVER (PARTITION BY document, page, ln ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) AS phrase FROM pa),
+pn AS (SELECT document, page, ln, any_value(top) AS top, phrase, string_agg(text, ' ' ORDER BY x0, ord) AS name, (min(x0) + arg_max(x1, (x0, ord))) / 2 AS middle FROM pc GROUP BY document, page, ln, phrase),
+pl AS (SELECT document, page, ln, any_value(top) AS top, list(name ORDER BY phrase) AS every, list(middle ORDER BY phrase) AS middles FROM pn WHERE regexp_matches(name, '\\p{{L}}') GROUP BY document, page, ln),
+cand AS (SELECT r.document, r.page, r.head, r.region, p.ln, every, len(centres) AS n, list_transform(centres, lambda c: every[list_position(list_transform(middles, lambda m: abs(c - m)), list_min(list_transform(middles, lambda m: abs(c - m))))]) AS names
+    FROM reg r JOIN pl p ON p.document = r.document AND p.page = r.page AND p.ln BETWEEN r.head - 4 AND r.head - 1 AND r.line_top - p.top > 0 AND r.line_top - p.top <= 45 WHERE len(list_distinct(labels)) < len(labels)),
+seg AS (SELECT {_AREA}, arg_max(names, ln) AS names FROM cand WHERE len(every) >= 2 AND len(every) < n AND n % len(every) = 0
+    AND len(list_filter(every, lambda e: len(list_filter(names, lambda x: x = e)) * len(every) <> n)) = 0 GROUP BY ALL),
+named AS (SELECT reg.* EXCLUDE (labels), CASE WHEN names IS NULL THEN labels ELSE list_transform(list_zip(names, labels), lambda z: z[1] || ' ' || z[2]) END AS labels FROM reg LEFT JOIN seg USING ({_AREA})),
+ins AS (SELECT g.document, g.page, g.head, r.region, r.centres, r.labels, g.ln, g.top, g.ord, g.text, g.x0, g.x1 FROM g JOIN named r ON r.document = g.document AND r.page = g.page AND r.head = g.head
+    WHERE NOT header AND g.x0 >= r."left" - 5 AND g.x0 < least(r."right", list_max(r.centres) + 25)),
+il AS (SELECT *, lag(text) OVER o AS prior, coalesce(x0 - lag(x1) OVER o <= 6, false) AS near FROM ins WINDOW o AS (PARTITION BY {_AREA}, ln ORDER BY x0, ord)),
+ig AS (SELECT *, CASE WHEN near AND regexp_full_match(prior, '[−–-]') AND regexp_full_match(text, '[0-9]+') THEN '' WHEN near AND regexp_full_match(prior, '[−–-]?[0-9][0-9.,]*') AND regexp_full_match(text, '[0-9]{{3}}') THEN ' ' END AS glue FROM il),
+it AS (SELECT *, sum(CAST(glue IS NULL AS INT)) OVER (PARTITION BY {_AREA}, ln ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) AS token FROM ig),
+tok AS (SELECT {_AREA}, ln, any_value(top) AS top, any_value(centres) AS centres, any_value(labels) AS labels, token, string_agg(coalesce(glue, '') || text, '' ORDER BY x0, ord) AS text, (min(x0) + arg_max(x1, (x0, ord))) / 2 AS mid FROM it GROUP BY {_AREA}, ln, token),
+kinds AS (SELECT *, regexp_full_match(text, '[−–-]') AS dash, regexp_full_match(text, '[−–-]?[0-9][0-9., ]*') AND list_min(list_transform(centres, lambda c: abs(mid - c))) <= 25 AS value FROM tok),
+ll AS (SELECT {_AREA}, ln, any_value(top) AS top, any_value(centres) AS centres, any_value(labels) AS labels, coalesce(list({{'at': mid, 'text': text}} ORDER BY mid, token) FILTER (value), []) AS n, coalesce(string_agg(text, ' ' ORDER BY token) FILTER (NOT value AND NOT dash), '') AS said FROM kinds GROUP BY {_AREA}, ln),
+lp AS (SELECT *, coalesce(sum(CAST(len(n) > 0 AS INT)) OVER (PARTITION BY {_AREA} ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ll),
+lb AS (SELECT *, trim(array_to_string(list_filter(list(said) OVER (PARTITION BY {_AREA}, part ORDER BY ln ROWS UNBOUNDED PRECEDING), lambda x: x <> ''), ' ')) AS label FROM lp),
+lr AS (SELECT *, CAST(len(n) > 0 AND length(label) BETWEEN 2 AND 120 AS INT) AS is_row FROM lb),
+lg AS (SELECT *, coalesce(CAST(top - lag(top) OVER (PARTITION BY {_AREA} ORDER BY ln) > 36 AND sum(is_row) OVER (PARTITION BY {_AREA} ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS INT), 0) AS apart FROM lr),
+le AS (SELECT *, max(apart) OVER (PARTITION BY {_AREA} ORDER BY ln ROWS UNBOUNDED PRECEDING) AS ended FROM lg)
+SELECT document, page, CAST(row_number() OVER (PARTITION BY document, page ORDER BY ln, region) AS INTEGER) AS row_no, label, {assigned('centres', 'len(centres)')} AS row_values, labels AS row_columns FROM le WHERE is_row = 1 AND ended = 0"""
