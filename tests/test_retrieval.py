@@ -162,6 +162,20 @@ def test_questions_search_chunks_of_their_year_only(spark, tmp_path):
     assert {r["doc"]: r["vector_rank"] for r in got} == {150 + k: k + 1 for k in range(5)}
 
 
+def test_evaluation_of_rows_without_values(spark, tmp_path):
+    """A row whose values are all null, none or unknown expects nothing; its question is judged all the same."""
+    from ledgerlake.plans import core
+
+    values = {20: ["5", "4"], 40: [None, None], 60: [], 80: None, 100: [None, "7"]}
+    chunks = [(n, f"Volvo 2024: Post{n} var {v and v[0]} (2024).", "volvo", "2024", "volvo_2024_1.pdf", "fact", None, [1]) for n, v in values.items()]
+    spark.createDataFrame(chunks, "chunk_no long, text string, company string, fiscal_year string, document string, chunk_type string, section string, pages array<int>").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(n, f"Post{n}", "volvo_2024_1.pdf", v) for n, v in values.items()], "row_id long, label string, document string, row_values array<string>").write.parquet(f"{tmp_path}/financial_rows.parquet")
+    spark.createDataFrame([("volvo", ["2024"])], "company string, fiscal_years array<string>").write.parquet(f"{tmp_path}/company_years.parquet")
+    got = {r["query_id"]: r for r in core.evaluation_run(spark, str(tmp_path)).collect()}
+    assert {n: r["expected"] for n, r in got.items()} == {20: "5", 40: None, 60: None, 80: None, 100: "7"}
+    assert got[20]["outcome"] == "right" and got[40]["outcome"] == "partial"
+
+
 def test_fusion_literals(spark):
     rank = lambda docs: spark.createDataFrame([(1, d, k + 1) for k, d in enumerate(docs)], "query int, doc string, rank int")
     best = lambda *lists: [r["doc"] for r in hybrid.fuse(list(map(rank, lists))).orderBy("fused_rank").collect()]
