@@ -92,6 +92,23 @@ def test_search_is_exact(spark):
         assert got == want
 
 
+def test_wide_search_moves_no_postings(spark):
+    """Many blocks and slices, rare and frequent terms, repeated texts, ids that aren't numbers: exact, and what is shuffled after the index is stored holds queries and hits only."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(200)]
+    docs = [(f"d{n}", " ".join(rng.choices(words, [1 / (1 + n) for n in range(200)], k=rng.randrange(1, 12)))) for n in range(800)]
+    docs = [(d, docs[n - 1][1] if n % 9 == 0 and n else t) for n, (d, t) in enumerate(docs)]
+    asked = [(q, " ".join(rng.sample(words[:20], 2) + rng.sample(words, 3))) for q in range(40)]
+    index = bm25.build(spark.createDataFrame(docs, "doc string, text string").repartition(6))
+    found = bm25.search(index, spark.createDataFrame(asked, "query_id int, text string"), 4, block=9, postings_slice=300)
+    got = {(r["query"], r["rank"]): (r["doc"], r["score"]) for r in found.collect()}
+    want = {(q, k + 1): hit for q, text in asked for k, hit in enumerate(sorted(okapi(text, docs).items(), key=lambda x: (-x[1], x[0]))[:4])}
+    assert got == want
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_companies_are_found_by_their_beginning(spark):
     companies = spark.createDataFrame([("volvo", ["2023"]), ("volvo cars", ["2023"]), ("ab", ["2023"]), ("", None), (None, None)], "company string, fiscal_years array<string>")
     queries = spark.createDataFrame([(1, "Volvo Cars 2023"), (2, "grabb"), (3, "volv"), (4, ""), (5, None)], "query_id int, text string")
