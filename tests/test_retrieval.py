@@ -109,6 +109,15 @@ def test_wide_search_moves_no_postings(spark):
     assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("name", "grouped"), [("source_summary", 0), ("question_contexts", 0), ("result_lines", 0), ("base_results", 0), ("rrf_fuse", 1), ("hybrid_trace", 1)])
+def test_queries_on_the_wide_search(spark, name, grouped):
+    """Only vectors are still dealt to groups by a shuffle."""
+    from ledgerlake.plans import core
+
+    plan = core.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == grouped
+
+
 def test_companies_are_found_by_their_beginning(spark):
     companies = spark.createDataFrame([("volvo", ["2023"]), ("volvo cars", ["2023"]), ("ab", ["2023"]), ("", None), (None, None)], "company string, fiscal_years array<string>")
     queries = spark.createDataFrame([(1, "Volvo Cars 2023"), (2, "grabb"), (3, "volv"), (4, ""), (5, None)], "query_id int, text string")
