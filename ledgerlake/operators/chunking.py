@@ -1,15 +1,19 @@
 """Chunks of paged documents: sentences packed to size, tables and their rows as sentences.
 
-All of it is column expressions and windows; texts stay in the JVM. Packing is a fold over an ordered
-array (each step depends on the one before), everything else joins and groupings on the document.
+All of it is column expressions and windows; texts stay in the JVM, but for those that exceed the bytes of a hosted record. Packing
+is a fold over an ordered array (each step depends on the one before), everything else joins and groupings on the document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import row_sentence, sentences, strip
+from ..tables import union_all
 
 #: Characters that a chunk aims at, at most has, and at least has; bytes of a hosted record.
 TARGET, MOST, LEAST, BYTES = 1000, 1400, 30, 15_000
@@ -59,22 +63,39 @@ def chunk_text(text: Column, target: int = TARGET, most: int = MOST) -> Column:
     return pack(F.flatten(F.transform(sentences(text), lambda s: split_oversized(s, most))), target, most)
 
 
-def byte_split(chunks: DataFrame, most: int = BYTES) -> DataFrame:
-    """`chunks` with texts beyond `most` bytes split after ". " into parts `id::del1`, `id::del2` and so on; others as they are."""
-    units = F.split("text", r"\. ")
-    last = F.size(units) - 1
-    pieces = F.transform(units, lambda s, k: F.when(k == last, s).otherwise(F.concat(s, F.lit(". "))))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+def split_bytes(text: str, most: int) -> list[str]:
+    """A text cut after ". " to parts of at most `most` bytes, as far as its pieces allow."""
+    parts, held, size = [], [], 0
+    units = text.split(". ")
+    for piece in [*(u + ". " for u in units[:-1]), units[-1]]:
+        more = len(piece.encode("utf-8", "surrogatepass"))
+        if size and size + more > most:
+            parts.append("".join(held))
+            held, size = [], 0
+        held.append(piece)
+        size += more
+    return [*parts, "".join(held)] if size else parts
 
-    def step(acc: Column, piece: Column) -> Column:
-        flush = (acc["cur"] != "") & (F.octet_length(acc["cur"]) + F.octet_length(piece) > most)
-        return F.when(flush, F.struct(F.concat(acc["out"], F.array(acc["cur"])).alias("out"), piece.alias("cur"))).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["cur"], piece).alias("cur")))
 
-    parts = F.aggregate(pieces, empty, step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
+def byte_split(chunks: DataFrame, most: int = BYTES) -> DataFrame:
+    """`chunks` with texts beyond `most` bytes split after ". " into parts `id::del1`, `id::del2` and so on; others as they are, and without a look at their pieces."""
+    kinds = chunks.dtypes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, texts = [], [], []
+            for row, (name, text) in enumerate(zip(batch["chunk_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
+                for k, part in enumerate(split_bytes(text, most), 1):
+                    rows.append(row)
+                    ids.append(None if name is None else f"{name}::del{k}")
+                    texts.append(part)
+            new = {"chunk_id": pa.array(ids, pa.string()), "text": pa.array(texts, pa.string())}
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([new.get(c, kept[c]) for c, _ in kinds], names=[c for c, _ in kinds])
+
     fits = F.col("text").isNull() | (F.octet_length("text") <= most)
-    split = chunks.withColumn("_parts", F.when(fits, F.array("text")).otherwise(parts)).select("*", F.posexplode("_parts").alias("_k", "_part"))
-    name = F.when(fits, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("::del"), (F.col("_k") + 1).cast("string")))
-    return split.withColumn("chunk_id", name).withColumn("text", F.col("_part")).drop("_parts", "_k", "_part")
+    schema = ", ".join(f"`{c}` {'string' if c in ('chunk_id', 'text') else kind}" for c, kind in kinds)
+    return union_all(chunks.where(fits).withColumn("chunk_id", F.col("chunk_id").cast("string")), chunks.where(~fits).mapInArrow(run, schema))
 
 
 def latest(df: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:

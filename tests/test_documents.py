@@ -67,6 +67,29 @@ def test_byte_split(spark):
     assert sorted(map(tuple, chunking.byte_split(df, 8).collect()), key=str) == sorted([("a::del1", "ö. ö. "), ("a::del2", "ö. z"), ("b", "kort"), ("c", None)], key=str)
 
 
+def test_byte_split_looks_into_long_texts_only(spark):
+    """The fold over pieces once ran on every text, and copied text at each step; other columns and odd texts are kept."""
+    texts = ["", ". ", ". . ", "ö. " * 9, "x" * 20, "x" * 20 + ". ", "a. " + "y" * 12 + ". b", None, "kort. text. ", "å" * 4 + ". " + "z" * 8]
+    df = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], "n int, chunk_id string, text string")
+    split = chunking.byte_split(df, 8)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and split.columns == df.columns
+    want = []
+    for k, text in enumerate(texts):
+        if text is None or len(text.encode()) <= 8:
+            want.append((k, str(k), text))
+            continue
+        parts, now = [], ""
+        units = text.split(". ")
+        for piece in [u + ". " for u in units[:-1]] + units[-1:]:
+            if now and len((now + piece).encode()) > 8:
+                parts.append(now)
+                now = ""
+            now += piece
+        want += [(k, f"{k}::del{n}", part) for n, part in enumerate([*parts, now][: len(parts) + bool(now)], 1)]
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(want, key=str)
+
+
 def test_repeats_of_a_document_are_dropped(spark):
     text = "Samma text som är lång nog att räknas."
     pages = spark.createDataFrame([("d", 1, text), ("d", 2, f" {text} "), ("e", 1, text), ("e", 2, "kort"), ("e", 3, None)], "document string, page_number int, text string")

@@ -220,6 +220,23 @@ def test_fallback_and_base(spark):
     assert [(r["base"], r["rank"]) for r in hybrid.best_of_base(fused, known, 5).orderBy("rank").collect()] == [("c", 1), ("d", 2)]
 
 
+def test_bases_are_ranked_in_one_shuffle(spark, tmp_path, monkeypatch):
+    """A base is taken where its first part comes, whole ids that look like parts stay; the hits move once for both windows, and the parts' texts aren't stored."""
+    from ledgerlake.operators import bm25 as searched
+    from ledgerlake.plans import core
+
+    hits = [(q, doc, 1.0 - k / 9, k + 1) for q in range(3) for k, doc in enumerate(["c::del2", "e::del1", "c", "gone", "e", "c::del1::del1", "d"])]
+    known = spark.createDataFrame([(x,) for x in ("c", "d", "e", "e::del1")], "doc string")
+    best = hybrid.best_of_base(spark.createDataFrame(hits, "query int, doc string, score double, fused_rank int"), known, 3)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(query#") == 1
+    assert sorted((r["query"], r["rank"], r["base"], r["doc"]) for r in best.collect()) == [(q, *x) for q in range(3) for x in ((1, "c", "c::del2"), (2, "e::del1", "e::del1"), (3, "e", "e"))]
+    stored = []
+    monkeypatch.setattr(core, "durable_table", lambda df, name: stored.append(name) or df)
+    monkeypatch.setattr(searched, "durable_table", lambda df, name, keep=searched.durable_table: stored.append(name) or keep(df, name))
+    core.base_results(spark, "/root/testdata/sf0.001")
+    assert stored == ["index", "terms", "slices"]
+
+
 def test_prompts_and_answers(spark):
     questions = spark.createDataFrame([(1, "Vad var nettoomsättningen 2023? "), (2, "Vem är störst?")], "query_id int, text string")
     results = spark.createDataFrame([(1, 1, "v.pdf", [62, 63], "resultaträkning", " Volvo: nettoomsättningen var 5 (2023). "), (1, 2, "w.pdf", [], None, "Annat.")], "query_id int, rank int, document string, pages array<int>, section string, text string")
