@@ -75,12 +75,16 @@ BLANK_LINE = re.compile(f"\\n[^\\S\\n{HIDDEN}]*\\n\\s*")
 MARK = re.compile(rf"[\s{HIDDEN}]*(?:[-–—•·▪‣◦*○●■→][\s{HIDDEN}]+|\(?\d{{1,3}}[.)][\s{HIDDEN}]+|\(?[A-Za-zÅÄÖåäöΑ-Ωα-ω][.)][\s{HIDDEN}]+|\([ivxIVX]{{1,5}}\)[\s{HIDDEN}]+)(?=\S)")
 NOTICE = re.compile(rf"[\s{HIDDEN}]*(?:©|\([cC]\)|Copyright\b)[^\n]*$")
 CELLS = re.compile(r"\S(?: {2,}|\t|\s*\|\s*)\S")
+NEXT_WORD = re.compile(r"\s*(\S{1,40})")
 NEXT_WORDS = re.compile(r"\s*(\S{1,40})(?:\s+(\S{1,40}))?")
 GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 LETTER = re.compile(r"[^\W\d_]")
 #: An end without a mark, of scripts in which white space may part sentences.
 BARE_END = re.compile(f"[{OTHER_UNSPACED}぀-ヿ一-鿿]$")
 UNSPACED = re.compile(f"[぀-ヿ一-鿿{THAI}{OTHER_UNSPACED}]")
+#: The same as sets: a text's characters are looked up once instead of searching it for each class.
+THAI_LETTERS = frozenset(map(chr, range(0xE00, 0xE80)))
+UNSPACED_LETTERS = frozenset(c for c in map(chr, [*range(0xE00, 0x1800), *range(0x3040, 0xA000)]) if UNSPACED.match(c))
 
 
 class Gap(NamedTuple):
@@ -111,8 +115,11 @@ def left_form(word: str) -> str:
 
 def right_form(text: str, at: int = 0) -> str:
     """The word after a gap; its first letter's case is kept as a sign in front. Unspaced scripts give their first characters."""
-    found = NEXT_WORDS.match(text, at)
-    return _right_form(found[1][:40], (found[2] or "")[:40] if found[1].lstrip(OPENING)[:1].isdigit() else "") if found else ""
+    found = NEXT_WORD.match(text, at)
+    if not found:
+        return ""
+    word = found[1]
+    return _right_form(word, NEXT_WORDS.match(text, at)[2] or "" if word.lstrip(OPENING)[:1].isdigit() else "")
 
 
 @lru_cache(maxsize=200_000)
@@ -163,8 +170,8 @@ def left_class(left: str) -> str:
     return f"{closed}{mark}{size}"
 
 
-def hard_lines(lines: list[str]) -> list[bool]:
-    """For each line of a block but the last, whether the line feed after it ends a unit."""
+def hard_lines(lines: list[str], unspaced: bool = True) -> list[bool]:
+    """For each line of a block but the last, whether the line feed after it ends a unit. The lines may be known to hold no letter of an unspaced script."""
     n = len(lines)
     if n < 2:
         return []
@@ -176,11 +183,11 @@ def hard_lines(lines: list[str]) -> list[bool]:
         return [True] * (n - 1)
     width = [len(x.strip()) for x in lines]
     most = max(width)
-    filled = sum(width[k] + 1 + len((lines[k + 1].split() or [""])[0]) > most - 4 or HAS_THAI.search(lines[k]) is not None or UNSPACED.search(lines[k]) is not None and width[k] > 0.6 * most for k in range(n - 1))
+    filled = sum(width[k] + 1 + len((lines[k + 1].split() or [""])[0]) > most - 4 or unspaced and (HAS_THAI.search(lines[k]) is not None or UNSPACED.search(lines[k]) is not None and width[k] > 0.6 * most) for k in range(n - 1))
     return [filled < 0.6 * (n - 1)] * (n - 1)
 
 
-def parts(text: str) -> Iterator[tuple[int, int, bool]]:
+def parts(text: str, unspaced: bool = True) -> Iterator[tuple[int, int, bool]]:
     """Stretches (start, end, table line) that no unit leaves: blocks, or their lines where these are units."""
     at = 0
     for stop in [*((m.start(), m.end()) for m in BLANK_LINE.finditer(text)), (len(text), len(text))]:
@@ -190,7 +197,7 @@ def parts(text: str) -> Iterator[tuple[int, int, bool]]:
                 yield at, stop[0], False
             else:
                 lines = block.split("\n")
-                hard = hard_lines(lines)
+                hard = hard_lines(lines, unspaced)
                 begin, here = at, at
                 for line, ends in zip(lines, [*hard, True], strict=True):
                     here += len(line)
@@ -230,7 +237,7 @@ def gaps(text: str, start: int, end: int, thai: bool = True, blanks: bool = True
     found.sort()
     out, past = [], 0
     for stop in found:
-        words = part[past:stop].split()
+        words = part[past:stop].rsplit(None, 3)
         near = right_form(part, stop)
         out.append(Gap(stop, word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]) if words else "", near, min(len(words), 3)))
         past = stop
@@ -338,9 +345,11 @@ def read(text: str) -> tuple[int, list[tuple], list[tuple]] | None:
         stops.append((end, after, *more))
 
     plain = text.isascii()
-    thai, blanks = not plain and HAS_THAI.search(text) is not None, not plain and HAS_BLANK_GAP.search(text) is not None
-    rare = not plain and not RARE.isdisjoint(text)
-    for number, (start, end, table_line) in enumerate(parts(text)):
+    letters = frozenset() if plain else frozenset(text)
+    thai, unspaced = not THAI_LETTERS.isdisjoint(letters), not UNSPACED_LETTERS.isdisjoint(letters)
+    blanks = unspaced and HAS_BLANK_GAP.search(text) is not None
+    rare = not RARE.isdisjoint(letters)
+    for number, (start, end, table_line) in enumerate(parts(text, unspaced)):
         chain, certain = ([], []) if table_line else gaps(text, start, end, thai, blanks, rare)
         open_places = iter(chain)
         gap = next(open_places, None)
@@ -357,7 +366,7 @@ def read(text: str) -> tuple[int, list[tuple], list[tuple]] | None:
             part = text[start:end].strip()
             if not MARK.match(part):
                 edges.append(("^", "", right_form(part)))
-            if part.rstrip(CLOSING)[-1:] in ENDING or HAS_THAI.search(part[-12:]) or BARE_END.search(part) and not any(c in ENDING for g in chain for c in g.left):
+            if part.rstrip(CLOSING)[-1:] in ENDING or thai and HAS_THAI.search(part[-12:]) or BARE_END.search(part) and not any(c in ENDING for g in chain for c in g.left):
                 words = part.rsplit(None, 2)[-2:]
                 edges.append((word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]), ""))
     return first, stops, edges

@@ -343,3 +343,17 @@ def test_posteriors_match_enumeration():
             total += weight
             marginal = [m + weight * b for m, b in zip(marginal, bits, strict=True)]
         assert sentences.odds_of(chain) == pytest.approx([m / total for m in marginal])
+
+
+def test_texts_are_searched_for_scripts_they_hold_only(monkeypatch):
+    """A text without letters of unspaced scripts is never searched for them; others are read as by a search for every class."""
+    plain = ["Åtta – nio. Tio!\n\nElva ©\nTolv. 3) Tretton 14. Femton", "Ett. Två\n1. Tre – fyra.\n2. Fem"]
+    mixed = ["สวัสดี ครับ. Hej. ดี 5 มาก", "これは文です。次 の文。ABC. Åter", "ພາສາ ລາວ. ខ្មែរ ភាសា. Då", "Ελληνικά; ναι. Όχι", "हिन्दी वाक्य। दूसरा। Ö."]
+    found = [sentences.read(t) for t in plain + mixed]
+    everything = frozenset("".join(mixed))
+    monkeypatch.setattr(sentences, "frozenset", lambda x=(): everything, raising=False)  # as if each text held all scripts
+    assert [sentences.read(t) for t in plain + mixed] == found
+    monkeypatch.delattr(sentences, "frozenset")
+    for name in ("HAS_THAI", "HAS_BLANK_GAP"):
+        monkeypatch.setattr(sentences, name, None)
+    assert [sentences.read(t) for t in plain] == found[: len(plain)]
