@@ -118,6 +118,24 @@ def test_queries_on_the_wide_search(spark, name, grouped):
     assert plan.count("FlatMapCoGroupsInArrow") == grouped
 
 
+@pytest.mark.parametrize("cells", [10_000_000, 2000])
+def test_long_queries_by_a_matrix_of_frequent_terms(spark, monkeypatch, cells):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{n}" for n in rng.zipf(1.3, size) % 300) for size in rng.integers(0, 80, 400)]
+    docs = spark.createDataFrame([(k, t, k % 3) for k, t in enumerate(texts + texts[:60])], "doc long, text string, part int")
+    index = bm25.build(docs, keep=("part",))
+    files = sorted(bm25.durable_table(bm25.inverted(index.stored.repartition(3, "doc"), ["part"], 4000), "slices").inputFiles())
+    said = bm25.query_terms(docs.where("doc % 5 = 0"), "doc", "text").join(index.weights, "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("terms"))
+    queries = said.withColumn("_part", F.when(F.col("query") % 2 == 0, F.array(F.lit(1), F.lit(2)))).toArrow()
+    built = []
+    monkeypatch.setattr(bm25, "CELLS", cells)
+    monkeypatch.setattr(bm25._Matrix, "__init__", lambda self, often, *more, old=bm25._Matrix.__init__: (built.append(int(often.sum())), old(self, often, *more))[1])
+    dense = bm25._best_of_slices(queries, files, 20, index.mean, ["part"])
+    assert len(built) > 1 and all(n > 2 for n in built)
+    monkeypatch.setattr(bm25, "DENSE", math.inf)
+    assert dense.equals(bm25._best_of_slices(queries, files, 20, index.mean, ["part"]))
+
+
 def test_companies_are_found_by_their_beginning(spark):
     companies = spark.createDataFrame([("volvo", ["2023"]), ("volvo cars", ["2023"]), ("ab", ["2023"]), ("", None), (None, None)], "company string, fiscal_years array<string>")
     queries = spark.createDataFrame([(1, "Volvo Cars 2023"), (2, "grabb"), (3, "volv"), (4, ""), (5, None)], "query_id int, text string")
