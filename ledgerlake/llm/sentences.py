@@ -27,8 +27,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,9 @@ ROUNDS = 6
 #: Fixed parameters: pseudo-counts of back-off, share of the exact word, odds of a sentence of one or two words, least and most probability of a boundary.
 BACK, EXACT, LENGTH, LEAST = 2.0, 0.85, {0: 0.02, 1: 0.05, 2: 0.6}, 1e-4
 
+#: The odds by number of words, the last for more of them.
+LENGTHS = np.array([LENGTH.get(n, 1.0) for n in range(max(LENGTH) + 2)])
+
 HIDDEN = "­​-‏⁠﻿"
 CLOSE = "\"'”’»«“›)\\]」』”）］】"
 CJK_CLOSE = "\"'”’»」』）)】"
@@ -63,6 +67,8 @@ GAP = gap_pattern(SPACED, TERMINAL)
 COMMON = ".!?…;;؟।", "。！？"
 COMMON_GAP = gap_pattern(*COMMON)
 RARE = frozenset(ENDING) - frozenset("".join(COMMON))
+#: And for ASCII texts.
+ASCII_GAP = re.compile("[.!?;]+[\"')\\]]*(?=\\s)")
 THAI = "฀-๿"
 #: White space before a Thai letter, after a Thai letter or after a digit, sign or Latin letter.
 THAI_GAP = re.compile(f"(?<=\\S)\\s+(?=[{HIDDEN}]*[{THAI}])")
@@ -86,16 +92,8 @@ UNSPACED = re.compile(f"[぀-ヿ一-鿿{THAI}{OTHER_UNSPACED}]")
 THAI_LETTERS = frozenset(map(chr, range(0xE00, 0xE80)))
 UNSPACED_LETTERS = frozenset(c for c in map(chr, [*range(0xE00, 0x1800), *range(0x3040, 0xA000)]) if UNSPACED.match(c))
 
-
-class Gap(NamedTuple):
-    """One open place: where it is, what stands around it, and words since the gap before (at most 3)."""
-
-    end: int
-    before: str
-    left: str
-    right: str
-    words: int
-
+#: What most texts hold nothing of: letters of the unspaced scripts' blocks, rarer marks, and anything beyond the first plane; one fast search.
+SPECIAL = re.compile(f"[\u0e00-\u17ff\u3040-\u9fff{''.join(sorted(re.escape(c) for c in RARE if c < chr(0x10000)))}\U00010000-\U0010ffff]")
 
 OPENING = "\"'“„”‘‚«»‹([「『（［【"
 CLOSING = "\"'”’»«“›)]」』）］】"
@@ -107,6 +105,11 @@ def word_form(word: str) -> str:
     return re.sub(r"\d+(?:[.,'’/–-]\d+)*", "0", clean(word)).lower()
 
 
+@lru_cache(maxsize=100_000)
+def before_form(word: str) -> str:
+    return word_form(word)[-12:]
+
+
 @lru_cache(maxsize=100_000)
 def left_form(word: str) -> str:
     left = word_form(word).lstrip(OPENING)[-24:]
@@ -170,16 +173,16 @@ def left_class(left: str) -> str:
     return f"{closed}{mark}{size}"
 
 
-def hard_lines(lines: list[str], unspaced: bool = True) -> list[bool]:
-    """For each line of a block but the last, whether the line feed after it ends a unit. The lines may be known to hold no letter of an unspaced script."""
+def hard_lines(lines: list[str], unspaced: bool = True, tables: bool = True) -> list[bool]:
+    """For each line of a block but the last, whether the line feed after it ends a unit. The lines may be known to hold no letter of an unspaced script, or nothing that parts cells."""
     n = len(lines)
     if n < 2:
         return []
     marked = [MARK.match(x) is not None for x in lines]
     if (marked[0] and sum(marked) > 0.5 * n) or sum(marked) > 1 and sum(marked) >= 0.6 * n:
         return [True] * (n - 1)
-    cells = [CELLS.search(x) is not None for x in lines]
-    if sum(cells) >= 0.6 * n and not all(len(re.findall(r"\S {2,}\S", x)) > 0.6 * (len(x.split()) - 1) for x in lines if len(x.split()) > 2):
+    cells = [CELLS.search(x) is not None for x in lines] if tables else ()
+    if tables and sum(cells) >= 0.6 * n and not all(len(re.findall(r"\S {2,}\S", x)) > 0.6 * (len(x.split()) - 1) for x in lines if len(x.split()) > 2):
         return [True] * (n - 1)
     width = [len(x.strip()) for x in lines]
     most = max(width)
@@ -197,27 +200,31 @@ def parts(text: str, unspaced: bool = True) -> Iterator[tuple[int, int, bool]]:
                 yield at, stop[0], False
             else:
                 lines = block.split("\n")
-                hard = hard_lines(lines, unspaced)
+                tables = "  " in block or "|" in block or "\t" in block
+                hard = hard_lines(lines, unspaced, tables)
                 begin, here = at, at
                 for line, ends in zip(lines, [*hard, True], strict=True):
                     here += len(line)
                     if ends:
-                        yield begin, here, bool(hard) and hard[0] and CELLS.search(line) is not None
+                        yield begin, here, tables and hard[0] and CELLS.search(line) is not None
                         begin = here + 1
                     here += 1
         at = stop[1]
 
 
-def gaps(text: str, start: int, end: int, thai: bool = True, blanks: bool = True, rare: bool = True) -> tuple[list[Gap], list[int]]:
-    """The open places of a stretch, and its certain ends but for the last. The text may be known to hold no Thai, no white space that parts an unspaced script, or none of the rarer marks."""
+def gaps(text: str, start: int, end: int, number: int, pattern: re.Pattern[str], thai: bool = True, blanks: bool = True, notices: bool = True) -> tuple[list[tuple], list[int]]:
+    """The open places of a stretch as stops of chain `number` (see `observe`), and its certain ends but for the last.
+
+    The pattern finds marks. The text may be known to hold no Thai, no white space that parts an unspaced script, or no copyright sign.
+    """
     part = text[start:end]
-    if NOTICE.match(part):
+    if notices and NOTICE.match(part):
         return [], []
     mark = MARK.match(part)
     skip = mark.end() if mark else 0
     found: list[int] = []
     size = len(part.rstrip())
-    for m in (GAP if rare else COMMON_GAP).finditer(part, skip):
+    for m in pattern.finditer(part, skip):
         at = m.start()
         if part[at] == ";":  # the Greek question mark, where most letters before it are Greek
             clause = part[max(part.rfind(c, skip, at) for c in ".!;") + 1 : at]
@@ -236,10 +243,13 @@ def gaps(text: str, start: int, end: int, thai: bool = True, blanks: bool = True
         found += {m.start() for m in BLANK_GAP.finditer(part, skip)} - set(found)
     found.sort()
     out, past = [], 0
-    for stop in found:
+    for stop in found:  # no white space before it, a word after it
         words = part[past:stop].rsplit(None, 3)
-        near = right_form(part, stop)
-        out.append(Gap(stop, word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]) if words else "", near, min(len(words), 3)))
+        n = len(words)
+        near = NEXT_WORD.match(part, stop)
+        word = near[1]
+        then = NEXT_WORDS.match(part, stop)[2] or "" if (word[0].isdigit() or word[0] in OPENING) and word.lstrip(OPENING)[:1].isdigit() else ""
+        out.append((start + stop, start + near.start(1), number, n if n < 3 else 3, before_form(words[-2]) if n > 1 else "", left_form(words[-1]) if n else "", _right_form(word, then)))
         past = stop
     return out, certain
 
@@ -336,37 +346,36 @@ def read(text: str) -> tuple[int, list[tuple], list[tuple]] | None:
     if first == size:
         return None
 
-    def stop(at: int, *more: object) -> None:
+    def stop(at: int) -> None:
         end, after = at, at
         while end and text[end - 1].isspace():
             end -= 1
         while after < size and text[after].isspace():
             after += 1
-        stops.append((end, after, *more))
+        stops.append((end, after, -1, 0, None, None, None))
 
     plain = text.isascii()
-    letters = frozenset() if plain else frozenset(text)
+    letters = frozenset() if SPECIAL.search(text) is None else frozenset(text)
     thai, unspaced = not THAI_LETTERS.isdisjoint(letters), not UNSPACED_LETTERS.isdisjoint(letters)
     blanks = unspaced and HAS_BLANK_GAP.search(text) is not None
-    rare = not RARE.isdisjoint(letters)
+    pattern = ASCII_GAP if plain else COMMON_GAP if RARE.isdisjoint(letters) else GAP
+    notices = "\u00a9" in text or "(c)" in text or "(C)" in text or "Copyright" in text
     for number, (start, end, table_line) in enumerate(parts(text, unspaced)):
-        chain, certain = ([], []) if table_line else gaps(text, start, end, thai, blanks, rare)
-        open_places = iter(chain)
-        gap = next(open_places, None)
-        for at in sorted([*certain, *(g.end for g in chain)]) if certain else [g.end for g in chain]:
-            if gap is not None and gap.end == at:
-                stop(start + at, number, gap.words, gap.before, gap.left, gap.right)
-                gap = next(open_places, None)
-            else:
-                stop(start + at, -1, 0, None, None, None)
-        stop(end, -1, 0, None, None, None)
+        chain, certain = ([], []) if table_line else gaps(text, start, end, number, pattern, thai, blanks, notices)
+        here = len(stops)
+        stops += chain
+        for at in certain:
+            stop(start + at)
+        if certain:
+            stops[here:] = sorted(stops[here:], key=itemgetter(0))
+        stop(end)
         for at in certain:
             edges.append(("^", "", right_form(text[start:end], at)))
         if chain:
             part = text[start:end].strip()
             if not MARK.match(part):
                 edges.append(("^", "", right_form(part)))
-            if part.rstrip(CLOSING)[-1:] in ENDING or thai and HAS_THAI.search(part[-12:]) or BARE_END.search(part) and not any(c in ENDING for g in chain for c in g.left):
+            if part.rstrip(CLOSING)[-1:] in ENDING or thai and HAS_THAI.search(part[-12:]) or BARE_END.search(part) and not any(c in ENDING for g in chain for c in g[5]):
                 words = part.rsplit(None, 2)[-2:]
                 edges.append((word_form(words[-2])[-12:] if len(words) > 1 else "", left_form(words[-1]), ""))
     return first, stops, edges
@@ -451,28 +460,24 @@ def split_sentences(texts: DataFrame, keys: list[str], text_col: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, no, begins, ends = [], [], [], []
-            first = batch.column(len(keys)).to_pylist()
-            lists = [batch.column(len(keys) + k) for k in range(1, 7)]
-            places, weights = lists[0].offsets.to_pylist(), lists[4].offsets.to_pylist()
-            at, after, chain, words = (x.values.to_pylist() for x in lists[:4])
-            boundary, none = (x.values.to_pylist() for x in lists[4:])
-            for row, begin in enumerate(first):
-                one, two = places[row], places[row + 1]
-                chosen = chosen_stops(chain[one:two], words[one:two], boundary[weights[row] : weights[row + 1]], none[weights[row] : weights[row + 1]])
-                n = 0
-                for place, end in enumerate(at[one:two]):
-                    if not chosen[place]:
-                        continue
-                    if begin < end:
-                        n += 1
-                        rows.append(row)
-                        no.append(n)
-                        begins.append(begin + 1)
-                        ends.append(end)
-                    begin = max(begin, after[one + place])
-            taken = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in range(len(keys))), pa.array(no, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=[*keys, "unit_no", "start_pos", "end_pos"])
+            first, lists = batch.column(len(keys)).to_numpy(), [batch.column(len(keys) + k) for k in range(1, 7)]
+            places, weights = lists[0].offsets.to_numpy(), lists[4].offsets.to_numpy()
+            at, after, chain, words = (x.values.to_numpy()[places[0] : places[-1]] for x in lists[:4])
+            boundary, none = (x.values.to_numpy()[weights[0] : weights[-1]] for x in lists[4:])
+            row = np.repeat(np.arange(len(batch)), np.diff(places))
+            chosen = chosen_stops(row, chain, words, boundary, none)
+            row, end, after = row[chosen], at[chosen].astype(np.int64), after[chosen].astype(np.int64)
+            begin = np.empty(len(row), np.int64)  # where the stop before says, but never before an earlier one
+            begin[1:] = after[:-1]
+            new = np.diff(row, prepend=-1) > 0
+            begin[new] = first[row[new]]
+            most = max(int(after.max(initial=0)), int(first.max(initial=0))) + 1
+            begin = np.maximum.accumulate(begin + row * most) - row * most
+            held = begin < end
+            row, begin, end = row[held], begin[held], end[held]
+            no = np.arange(1, len(row) + 1) - np.searchsorted(row, row)
+            taken = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in range(len(keys))), pa.array(no, pa.int32()), pa.array(begin + 1, pa.int64()), pa.array(end, pa.int64())], names=[*keys, "unit_no", "start_pos", "end_pos"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", unit_no int, start_pos long, end_pos long"
     none = F.array().cast("array<double>")
@@ -480,22 +485,45 @@ def split_sentences(texts: DataFrame, keys: list[str], text_col: str) -> DataFra
     return told.select(*keys, "first", "_at", "_next", "_chain", "_words", F.coalesce(F.col("_w.b"), none).alias("_b"), F.coalesce(F.col("_w.c"), none).alias("_c")).mapInArrow(run, schema)
 
 
-def chosen_stops(chain: list[int], words: list[int], boundary: list[float], none: list[float]) -> list[bool]:
-    """Which of a text's places end a unit: the certain ones, and open ones whose posterior in their chain is at least one half."""
-    out = [True] * len(chain)
-    if not boundary:
-        return out
-    open_places = [p for p, c in enumerate(chain) if c >= 0]
-    k = 0
-    while k < len(open_places):
-        stop = k + 1
-        while stop < len(open_places) and chain[open_places[stop]] == chain[open_places[k]]:
-            stop += 1
-        if stop == k + 1:
-            out[open_places[k]] = boundary[k] * LENGTH.get(words[open_places[k]], 1.0) >= none[k]
-        else:
-            some = [(boundary[j], none[j], words[open_places[j]]) for j in range(k, stop)]
-            for j, posterior in enumerate(odds_of(some), k):
-                out[open_places[j]] = posterior >= 0.5
-        k = stop
+def chosen_stops(row: np.ndarray, chain: np.ndarray, words: np.ndarray, boundary: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Which places of texts (by row) end a unit: the certain ones, and open ones whose posterior in their chain is at least one half. boundary and none: the weights of the open places.
+
+    The passes of `odds_of` run over all chains at once, from place to place.
+    """
+    out = np.ones(len(chain), bool)
+    places = np.flatnonzero(chain >= 0)
+    if len(places) != len(boundary):
+        raise ValueError("as many weights as open places are needed")
+    row, chain, step = row[places], chain[places], LENGTHS[np.minimum(words[places], len(LENGTHS) - 1)]
+    start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(chain, prepend=-1) != 0))
+    size = np.diff(start, append=len(places))
+    single = start[size == 1]
+    out[places[single]] = boundary[single] * step[single] >= none[single]
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 1]
+    start, size = start[order], size[order]  # the longest first, so those that go on are the first ones
+    going = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0))
+    forward = np.zeros((2, len(places)))
+    one, zero = np.zeros(len(size)), np.ones(len(size))
+    for k, n in enumerate(going.tolist()):
+        at, one, zero = start[:n] + k, one[:n], zero[:n]
+        b, c = boundary[at], none[at]
+        one, zero = (b * step[at], c * zero) if k == 0 else (b * (one * step[at] + zero), c * (one + zero))
+        total = one + zero
+        total[total == 0] = 1.0
+        one, zero = one / total, zero / total
+        forward[0, at], forward[1, at] = one, zero
+    ahead = np.ones((2, len(size)))
+    for k, n in enumerate(going.tolist()):
+        at = start[:n] + size[:n] - 1 - k
+        one, zero = ahead[0, :n], ahead[1, :n]
+        yes, no = forward[0, at] * one, forward[1, at] * zero
+        total = yes + no
+        total[total == 0] = 1.0
+        out[places[at]] = yes / total >= 0.5
+        b, c = boundary[at], none[at]
+        one, zero = b * step[at] * one + c * zero, b * one + c * zero
+        total = one + zero
+        total[total == 0] = 1.0
+        ahead[0, :n], ahead[1, :n] = one / total, zero / total
     return out

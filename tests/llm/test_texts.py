@@ -357,3 +357,33 @@ def test_texts_are_searched_for_scripts_they_hold_only(monkeypatch):
     for name in ("HAS_THAI", "HAS_BLANK_GAP"):
         monkeypatch.setattr(sentences, name, None)
     assert [sentences.read(t) for t in plain] == found[: len(plain)]
+
+
+def test_sentence_ends_are_chosen_over_all_chains_at_once(spark, monkeypatch):
+    """Equal to the passes over one chain after another; neither these nor loops over places run for a table."""
+    rng, open_odds, places, expected = random.Random(4), [], [], []
+    for row in range(30):
+        for chain in range(rng.randint(0, 5)):
+            some = [(rng.random() * rng.choice([0, 1, 1]), rng.random(), rng.randint(0, 3)) for _ in range(rng.randint(0, 6))]
+            odds = sentences.odds_of(some)
+            ends = [p >= 0.5 for p in odds] if len(some) > 1 else [b * sentences.LENGTH.get(w, 1.0) >= c for b, c, w in some]
+            open_odds += [x[:2] for x in some]
+            places += [(row, chain, w) for *_, w in some] + [(row, -1, 0)]
+            expected += [*ends, True]
+    got = sentences.chosen_stops(*(np.array(x) for x in zip(*places, strict=True)), *(np.array(x) for x in zip(*open_odds, strict=True)))
+    assert got.tolist() == expected
+    assert sentences.chosen_stops(*(np.zeros(0, int) for _ in range(3)), np.zeros(0), np.zeros(0)).tolist() == []
+    texts = ["Ett bolag växte. Det gick bra! Sedan kom 2023.  ", "\n\n", "a | b\nc | d", None, " Kort. Slut"]
+    got = sentences.split_sentences(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"], "text").orderBy("id", "unit_no").collect()
+    assert [(r.id, r.unit_no, texts[r.id][r.start_pos - 1 : r.end_pos]) for r in got] == [
+        (0, 1, "Ett bolag växte."), (0, 2, "Det gick bra!"), (0, 3, "Sedan kom 2023."), (2, 1, "a | b"), (2, 2, "c | d"), (4, 1, "Kort."), (4, 2, "Slut"),
+    ]
+
+
+def test_plain_texts_are_searched_once(monkeypatch):
+    texts = ["Åtta – nio. Tio!\n\nElva\nTolv. 3) Tretton 14. Femton", "One (a). Two; three?\n1. Four.\n2. Five"]
+    found = [sentences.read(t) for t in texts]
+    for name in ("CELLS", "NOTICE", "GAP"):  # neither cells nor notices nor rarer marks are looked for
+        monkeypatch.setattr(sentences, name, None)
+    monkeypatch.setattr(sentences, "frozenset", lambda x=(): pytest.fail("letters are gathered") if x else set(), raising=False)
+    assert [sentences.read(t) for t in texts] == found
